@@ -1,2 +1,175 @@
-def merge_fragments(lines):
-    raise NotImplementedError
+"""Joining broken line fragments, as found in pixel lines."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from planweave import constants as K
+from planweave.functions import geometry as G
+
+_OUT = (
+    "seq bigint, layer string, x1 double, y1 double, x2 double, y2 double, length double"
+)
+
+
+def _chains(plan: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Follow each free line from its end, always to the first free line that continues it."""
+    start = plan[["x1", "y1"]].to_numpy(float)
+    end = plan[["x2", "y2"]].to_numpy(float)
+    step = end - start
+    size = np.sqrt((step**2).sum(axis=1))
+    angle = np.degrees(np.arctan2(step[:, 1], step[:, 0])) % 180
+    unit = np.where(size[:, None] > 1e-9, step / np.maximum(size, 1e-300)[:, None], [1.0, 0.0])
+    middle = (start + end) / 2
+    free = np.ones(len(plan), dtype=bool)
+    for seed in range(len(plan)):
+        if not free[seed]:
+            continue
+        free[seed] = False
+        tail, tip = seed, end[seed]
+        while True:
+            turn = np.abs(angle - angle[tail])
+            offset = middle - middle[tail]
+            aside = np.abs(offset[:, 1] * unit[tail, 0] - offset[:, 0] * unit[tail, 1])
+            to_start = np.sqrt(((start - tip) ** 2).sum(axis=1))
+            to_end = np.sqrt(((end - tip) ** 2).sum(axis=1))
+            fits = (
+                free
+                & (np.minimum(turn, 180 - turn) <= K.PARALLEL_TOLERANCE)
+                & (aside <= K.FRAGMENT_OFFSET)
+                & (np.minimum(to_start, to_end) <= K.FRAGMENT_GAP)
+            )
+            if not fits.any():
+                break
+            tail = int(fits.argmax())
+            free[tail] = False
+            tip = start[tail] if to_end[tail] < to_start[tail] else end[tail]
+        yield seed, start[seed], tip
+
+
+def merge_fragments(lines: DataFrame) -> DataFrame:
+    """Exact, order-dependent joining: one output line per chain, carrying the seed's ``seq``.
+
+    The walk depends on the order of the lines, so each group of lines that could touch is
+    walked in one task. See ``touching_groups`` for how large plans are split.
+    """
+    plan_type = dict(lines.dtypes)["plan_id"]
+    if "length" not in lines.columns:
+        lines = lines.withColumn("length", G.length(G.ends()))
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("seq", kind="stable").reset_index(drop=True)
+        rows = []
+        for seed, first, last in _chains(group):
+            size = float(np.sqrt(((last - first) ** 2).sum()))
+            if size > 1e-6:
+                line = group.iloc[seed]
+                rows.append((line.plan_id, line.seq, line.layer, *first, *last, size))
+        return pd.DataFrame(rows, columns=columns)
+
+    columns = ["plan_id", "seq", "layer", "x1", "y1", "x2", "y2", "length"]
+    grouped = touching_groups(lines)
+    merged = grouped.groupBy("plan_id", "touching").applyInPandas(
+        walk, f"plan_id {plan_type}, {_OUT}"
+    )
+    sizes = merged.groupBy("plan_id").agg(
+        F.count("*").alias("plan_lines"), F.max("length").alias("plan_longest")
+    )
+    return merged.join(sizes, "plan_id")
+
+
+def touching_groups(lines: DataFrame, large_plan: int = 10_000) -> DataFrame:
+    """Add ``touching``: lines of one plan in different groups can never continue each other.
+
+    A plan of up to ``large_plan`` lines is one group.
+    """
+    from planweave.operators.touching import large_plan_groups
+
+    sizes = lines.groupBy("plan_id").agg(F.count("*").alias("_n"))
+    large = sizes.filter(F.col("_n") > large_plan).select("plan_id")
+    whole = F.lit(0).cast("bigint").alias("touching")
+    columns = ["plan_id", "seq", "layer", "x1", "y1", "x2", "y2"]
+    if large.isEmpty():
+        return lines.select(*columns, whole)
+    small = lines.join(large, "plan_id", "left_anti").select(*columns, whole)
+    return small.unionByName(large_plan_groups(lines.join(large, "plan_id", "left_semi").select(*columns)))
+
+
+def _line_key() -> tuple[Column, Column, Column, Column]:
+    """Direction in tenths of a degree, offset step, and the axial range on that direction."""
+    tenths = (F.bround(G.angle(G.ends()) * 10.0, 0).cast("int")) % 1800
+    turn = F.radians(tenths / 10.0)
+    ux, uy = F.cos(turn), F.sin(turn)
+    mx, my = G.midpoint(G.ends())
+    offset = F.bround((my * ux - mx * uy) / (2 * K.FRAGMENT_OFFSET), 0).cast("bigint")
+    p = F.col("x1") * ux + F.col("y1") * uy
+    q = F.col("x2") * ux + F.col("y2") * uy
+    return tenths, offset, F.least(p, q), F.greatest(p, q)
+
+
+def _islands(ranges: DataFrame, keys: list[str], gap: float) -> DataFrame:
+    before = Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    upto = Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    opens = (F.col("lo") > F.col("_reach") + gap) | F.col("_reach").isNull()
+    return (
+        ranges.withColumn("_reach", F.max("hi").over(before))
+        .withColumn("_opens", F.when(opens, 1).otherwise(0))
+        .withColumn("_island", F.sum("_opens").over(upto))
+        .groupBy(*keys, "_island")
+        .agg(
+            F.min("lo").alias("lo"),
+            F.max("hi").alias("hi"),
+            F.sum("fragments").alias("fragments"),
+            F.min("seq").alias("seq"),
+        )
+        .drop("_island")
+    )
+
+
+def merge_fragments_islands(
+    lines: DataFrame, gap: float = K.FRAGMENT_GAP, block: float = 64.0
+) -> DataFrame:
+    """Order-free joining for large corpora: ranges on one line merge across gaps up to ``gap``.
+
+    Lines share a key of direction (0.1 degree) and offset. Equal ranges are counted first,
+    then ranges merge inside blocks along the line, then the blocks' islands merge, so no task
+    sees all ranges of a busy line. By design not the same as ``merge_fragments``.
+    """
+    tenths, offset, lo, hi = _line_key()
+    distinct = (
+        lines.select(
+            "plan_id", "seq", tenths.alias("tenths"), offset.alias("offset"),
+            F.bround(lo, 6).alias("lo"), F.bround(hi, 6).alias("hi"),
+        )
+        .groupBy("plan_id", "tenths", "offset", "lo", "hi")
+        .agg(F.count("*").alias("fragments"), F.min("seq").alias("seq"))
+    )
+    keys = ["plan_id", "tenths", "offset"]
+    blocks = distinct.withColumn("_block", F.floor(F.col("lo") / block))
+    partial = _islands(blocks, [*keys, "_block"], gap).drop("_block")
+    merged = _islands(partial, keys, gap)
+    turn = F.radians(F.col("tenths") / 10.0)
+    aside = F.col("offset") * (2 * K.FRAGMENT_OFFSET)
+
+    def point(at: str) -> tuple[Column, Column]:
+        return (
+            F.col(at) * F.cos(turn) - aside * F.sin(turn),
+            F.col(at) * F.sin(turn) + aside * F.cos(turn),
+        )
+
+    (x1, y1), (x2, y2) = point("lo"), point("hi")
+    return merged.select(
+        "plan_id", "seq", "tenths", "offset", "fragments",
+        G.rounded(x1, 4).alias("x1"), G.rounded(y1, 4).alias("y1"),
+        G.rounded(x2, 4).alias("x2"), G.rounded(y2, 4).alias("y2"),
+        G.rounded(F.col("hi") - F.col("lo"), 4).alias("length"),
+    )

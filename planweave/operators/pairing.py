@@ -11,6 +11,7 @@ from planweave.functions import geometry as G
 # A plan with more lines than this is joined through a grid and matched in rounds.
 DENSE_PLAN_LINES = 1_000
 _COORDS = ("x1", "y1", "x2", "y2")
+_CELL = ["side", "level", "along", "across"]
 _CELL_BASE = 2.0
 _CELL_GROWTH = 4
 _AXIAL_MARGIN = 0.36
@@ -31,7 +32,7 @@ def _line_columns(lines: DataFrame) -> DataFrame:
     ).withColumn("angle", G.angle(G.ends()))
 
 
-def _renamed(df: DataFrame, prefix: str, keep: tuple[str, ...]) -> DataFrame:
+def _renamed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return df.select(
         *(F.col(c) if c in keep else F.col(c).alias(f"{prefix}{c}") for c in df.columns)
     )
@@ -91,7 +92,41 @@ def _near_cells(side: int, levels: Column) -> Column:
     return F.flatten(F.transform(levels, around))
 
 
-def pair_candidates(lines: DataFrame, dense_lines: int = DENSE_PLAN_LINES) -> DataFrame:
+def _placed_on_grid(
+    firsts: DataFrame, seconds: DataFrame, dense_lines: int
+) -> tuple[DataFrame, DataFrame]:
+    """Add the cell columns: one row per cell for dense plans, one neutral cell for the others.
+
+    Side 0 holds pairs whose first line is the longer one (by level), side 1 the rest, so a
+    pair meets in exactly one cell.
+    """
+    dense = F.col("plan_lines") > dense_lines
+
+    def levels_from(start: Column) -> Column:
+        last = F.col("top_level")
+        return F.when(start <= last, F.sequence(start, last)).otherwise(
+            F.array().cast("array<int>")
+        )
+
+    def placed(df: DataFrame, own_side: int, near_side: int, near_above: int) -> DataFrame:
+        near = _near_cells(near_side, levels_from(F.col("level") + near_above))
+        cells = F.when(dense, F.concat(_own_cell(own_side), near)).otherwise(F.array(_no_cell()))
+        return (
+            df.withColumns(
+                {
+                    "level": F.when(dense, _level("length")).otherwise(0),
+                    "top_level": F.when(dense, _level("plan_longest")).otherwise(0),
+                }
+            )
+            .withColumn("cell", F.explode(cells))
+            .withColumns({c: F.col("cell")[c] for c in _CELL})
+            .drop("cell", "top_level")
+        )
+
+    return placed(firsts, 0, 1, 1), placed(seconds, 1, 0, 0)
+
+
+def pair_candidates(lines: DataFrame, dense_lines: int | None = DENSE_PLAN_LINES) -> DataFrame:
     """Pairs i < j of one plan that may form a double-line wall, with their distance.
 
     Both lines share an angle bucket (j is listed in its own bucket and the next one, i looks
@@ -100,53 +135,22 @@ def pair_candidates(lines: DataFrame, dense_lines: int = DENSE_PLAN_LINES) -> Da
     Small plans join on plan and bucket alone. Plans above ``dense_lines`` lines also join on
     a grid: the longer line of a pair stands in one cell of its level, the shorter one looks
     in the nine cells around it, so a plan of any size is spread over many tasks.
+    ``dense_lines=None`` leaves the grid out; for tables known to hold small plans only.
     """
     base = _line_columns(lines)
-    dense = F.col("plan_lines") > dense_lines
-    base = base.withColumns(
-        {
-            "bucket": G.angle_bucket(F.col("angle")),
-            "level": F.when(dense, _level("length")).otherwise(0),
-            "top_level": F.when(dense, _level("plan_longest")).otherwise(0),
-        }
-    )
-
-    def keyed(df: DataFrame, cells: Column) -> DataFrame:
-        return (
-            df.withColumn("cell", F.explode(cells))
-            .withColumns({c: F.col("cell")[c] for c in cell_columns})
-            .drop("cell", "plan_longest", "top_level")
-        )
-
-    def levels_from(first: Column) -> Column:
-        last = F.col("top_level")
-        return F.when(first <= last, F.sequence(first, last)).otherwise(
-            F.array().cast("array<int>")
-        )
-
-    cell_columns = ("side", "level", "along", "across")
-    first = keyed(
-        base,
-        F.when(
-            dense,
-            F.concat(_own_cell(0), _near_cells(1, levels_from(F.col("level") + 1))),
-        ).otherwise(F.array(_no_cell())),
-    )
-    second = keyed(
-        base.withColumn(
-            "bucket",
-            F.explode(F.array(F.col("bucket"), (F.col("bucket") + 1) % K.ANGLE_BUCKETS)),
-        ),
-        F.when(
-            dense, F.concat(_own_cell(1), _near_cells(0, levels_from(F.col("level"))))
-        ).otherwise(F.array(_no_cell())),
+    base = base.withColumn("bucket", G.angle_bucket(F.col("angle")))
+    listed = base.withColumn(
+        "bucket", F.explode(F.array(F.col("bucket"), (F.col("bucket") + 1) % K.ANGLE_BUCKETS))
     )
-    shared = ("plan_id", "bucket", *cell_columns)
+    shared = ["plan_id", "bucket"]
+    if dense_lines is not None:
+        base, listed = _placed_on_grid(base, listed, dense_lines)
+        shared += _CELL
     a, b = G.ends("a_"), G.ends("b_")
     distance = G.perpendicular_distance(a, b, F.col("a_length"))
     return (
-        _renamed(first, "a_", shared)
-        .join(_renamed(second, "b_", shared), list(shared))
+        _renamed(base, "a_", shared)
+        .join(_renamed(listed, "b_", shared), shared)
         .filter(F.col("a_seq") < F.col("b_seq"))
         .filter(G.angle_difference(F.col("a_angle"), F.col("b_angle")) <= K.PARALLEL_TOLERANCE)
         .withColumn("distance", distance)
@@ -172,11 +176,11 @@ def pair_candidates_v1(lines: DataFrame) -> DataFrame:
         .withColumns({"cx": F.col("cx") + F.col("_dx"), "cy": F.col("cy") + F.col("_dy")})
         .drop("_dx", "_dy")
     )
-    shared = ("plan_id", "cx", "cy")
+    shared = ["plan_id", "cx", "cy"]
     a, b = G.ends("a_"), G.ends("b_")
     return (
         _renamed(base, "a_", shared)
-        .join(_renamed(near, "b_", shared), list(shared))
+        .join(_renamed(near, "b_", shared), shared)
         .filter(F.col("a_seq") < F.col("b_seq"))
         .filter(G.is_parallel_v1(F.col("a_angle"), F.col("b_angle")))
         .withColumn("distance", G.midpoint_distance(a, b))

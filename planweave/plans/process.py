@@ -78,9 +78,12 @@ def process(
     )
     if merge_fragments:
         lines = fragments.merge_fragments(lines)
-    candidates = (
-        pairing.pair_candidates_v1(lines) if profile == "v1" else pairing.pair_candidates(lines)
-    )
+    if profile == "v1":
+        candidates = pairing.pair_candidates_v1(lines)
+    else:
+        candidates = pairing.pair_candidates(
+            lines, pairing.DENSE_PLAN_LINES if large_plans else None
+        )
     matches = matching.greedy_match(candidates, large_plans)
     found = W.paired_walls(matches, wall_height, profile).unionByName(
         W.unpaired_walls(lines, matches, wall_thickness, wall_height, profile)
