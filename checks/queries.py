@@ -23,6 +23,7 @@ from planweave.operators import (
 from planweave.plans.process import Processed, process
 from planweave.sources import derived as D
 from planweave.sources import dxf, models, pixels
+from planweave.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -219,18 +220,14 @@ def greedy_match_in_rounds(spark, folder):
     return matching.greedy_match_rounds(candidates).select("plan_id", "i", "j", *_round(6, "distance"))
 
 
-def _wall_columns(walls: DataFrame) -> DataFrame:
-    return W.wall_record(walls).select("*")
-
-
 @query
 def paired_walls(spark, folder):
-    return _wall_columns(_chain(spark, folder).walls.filter("paired"))
+    return W.wall_record(_chain(spark, folder).walls.filter("paired"))
 
 
 @query
 def unpaired_walls(spark, folder):
-    return _wall_columns(_chain(spark, folder).walls.filter("not paired"))
+    return W.wall_record(_chain(spark, folder).walls.filter("not paired"))
 
 
 @query
@@ -599,7 +596,7 @@ def room_plan_segments(spark, folder):
 def room_plan_walls(spark, folder):
     """Room lists to drawings and drawings to walls."""
     drawn = R.plan_segments_from_rooms(_placed(spark, folder), mode="single")
-    return process(drawn).metadata.select("plan_id", "wall_count", "floor_count")
+    return process(materialize(drawn)).metadata.select("plan_id", "wall_count", "floor_count")
 
 
 # Uploads and jobs

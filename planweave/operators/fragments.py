@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,68 +17,79 @@ _OUT = (
 )
 
 
-def _chains(plan: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Follow each free line from its end, always to the first free line that continues it."""
-    start = plan[["x1", "y1"]].to_numpy(float)
-    end = plan[["x2", "y2"]].to_numpy(float)
-    step = end - start
-    size = np.sqrt((step**2).sum(axis=1))
-    angle = np.degrees(np.arctan2(step[:, 1], step[:, 0])) % 180
-    unit = np.where(size[:, None] > 1e-9, step / np.maximum(size, 1e-300)[:, None], [1.0, 0.0])
-    middle = (start + end) / 2
-    free = np.ones(len(plan), dtype=bool)
-    for seed in range(len(plan)):
-        if not free[seed]:
-            continue
-        free[seed] = False
-        tail, tip = seed, end[seed]
-        while True:
-            turn = np.abs(angle - angle[tail])
-            offset = middle - middle[tail]
-            aside = np.abs(offset[:, 1] * unit[tail, 0] - offset[:, 0] * unit[tail, 1])
-            to_start = np.sqrt(((start - tip) ** 2).sum(axis=1))
-            to_end = np.sqrt(((end - tip) ** 2).sum(axis=1))
-            fits = (
-                free
-                & (np.minimum(turn, 180 - turn) <= K.PARALLEL_TOLERANCE)
-                & (aside <= K.FRAGMENT_OFFSET)
-                & (np.minimum(to_start, to_end) <= K.FRAGMENT_GAP)
-            )
-            if not fits.any():
-                break
-            tail = int(fits.argmax())
-            free[tail] = False
-            tip = start[tail] if to_end[tail] < to_start[tail] else end[tail]
-        yield seed, start[seed], tip
-
-
-def merge_fragments(lines: DataFrame) -> DataFrame:
-    """Exact, order-dependent joining: one output line per chain, carrying the seed's ``seq``.
-
-    The walk depends on the order of the lines, so each group of lines that could touch is
-    walked in one task. See ``touching_groups`` for how large plans are split.
-    """
-    plan_type = dict(lines.dtypes)["plan_id"]
-    if "length" not in lines.columns:
-        lines = lines.withColumn("length", G.length(G.ends()))
+_COLUMNS = ["plan_id", "seq", "layer", "x1", "y1", "x2", "y2", "length"]
+
+
+def _walker(
+    columns: list[str], parallel: float, aside_limit: float, gap: float
+) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The walk over one group; self-contained, so that workers need nothing but pandas."""
+
+    def chains(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Follow each free line from its end, always to the first free line that continues it."""
+        step = end - start
+        size = np.sqrt((step**2).sum(axis=1))
+        angle = np.degrees(np.arctan2(step[:, 1], step[:, 0])) % 180
+        unit = np.where(size[:, None] > 1e-9, step / np.maximum(size, 1e-300)[:, None], [1.0, 0.0])
+        middle = (start + end) / 2
+        free = np.ones(len(start), dtype=bool)
+        for seed in range(len(start)):
+            if not free[seed]:
+                continue
+            free[seed] = False
+            tail, tip = seed, end[seed]
+            while True:
+                turn = np.abs(angle - angle[tail])
+                offset = middle - middle[tail]
+                aside = np.abs(offset[:, 1] * unit[tail, 0] - offset[:, 0] * unit[tail, 1])
+                to_start = np.sqrt(((start - tip) ** 2).sum(axis=1))
+                to_end = np.sqrt(((end - tip) ** 2).sum(axis=1))
+                fits = (
+                    free
+                    & (np.minimum(turn, 180 - turn) <= parallel)
+                    & (aside <= aside_limit)
+                    & (np.minimum(to_start, to_end) <= gap)
+                )
+                if not fits.any():
+                    break
+                tail = int(fits.argmax())
+                free[tail] = False
+                tip = start[tail] if to_end[tail] < to_start[tail] else end[tail]
+            yield seed, start[seed], tip
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("seq", kind="stable").reset_index(drop=True)
         rows = []
-        for seed, first, last in _chains(group):
+        for seed, first, last in chains(
+            group[["x1", "y1"]].to_numpy(float), group[["x2", "y2"]].to_numpy(float)
+        ):
             size = float(np.sqrt(((last - first) ** 2).sum()))
             if size > 1e-6:
                 line = group.iloc[seed]
                 rows.append((line.plan_id, line.seq, line.layer, *first, *last, size))
         return pd.DataFrame(rows, columns=columns)
 
-    columns = ["plan_id", "seq", "layer", "x1", "y1", "x2", "y2", "length"]
-    grouped = touching_groups(lines)
-    merged = grouped.groupBy("plan_id", "touching").applyInPandas(
-        walk, f"plan_id {plan_type}, {_OUT}"
+    return walk
+
+
+def merge_fragments(lines: DataFrame) -> DataFrame:
+    """Exact, order-dependent joining: one output line per chain, carrying the seed's ``seq``.
+
+    The walk depends on the order of the lines, so each group of lines that could touch is
+    walked in one task. See ``touching_groups`` for how large plans are split.
+    """
+    plan_type = dict(lines.dtypes)["plan_id"]
+    walk = _walker(_COLUMNS, K.PARALLEL_TOLERANCE, K.FRAGMENT_OFFSET, K.FRAGMENT_GAP)
+    merged = (
+        touching_groups(lines)
+        .groupBy("plan_id", "touching")
+        .applyInPandas(walk, f"plan_id {plan_type}, {_OUT}")
     )
-    sizes = merged.groupBy("plan_id").agg(
-        F.count("*").alias("plan_lines"), F.max("length").alias("plan_longest")
+    # Upper limits from the input, so that the walk runs once: a chain ends at given points.
+    width = F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))
+    depth = F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))
+    sizes = lines.groupBy("plan_id").agg(
+        F.count("*").alias("plan_lines"), F.sqrt(width * width + depth * depth).alias("plan_longest")
     )
     return merged.join(sizes, "plan_id")
 

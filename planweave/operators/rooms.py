@@ -287,12 +287,13 @@ def wall_edge_key(tolerance: float = K.EDGE_GRID) -> Column:
     def point(x: str, y: str) -> Column:
         return F.struct(grid(x).alias("gx"), grid(y).alias("gy"))
 
-    ordered = F.array_sort(F.array(point("x1", "y1"), point("x2", "y2")))
+    p, q = point("x1", "y1"), point("x2", "y2")
+    low, high = F.least(p, q), F.greatest(p, q)
     return F.struct(
-        F.get(ordered, F.lit(0))["gx"].alias("ax"),
-        F.get(ordered, F.lit(0))["gy"].alias("ay"),
-        F.get(ordered, F.lit(1))["gx"].alias("bx"),
-        F.get(ordered, F.lit(1))["gy"].alias("by"),
+        low["gx"].alias("lo_x"),
+        low["gy"].alias("lo_y"),
+        high["gx"].alias("hi_x"),
+        high["gy"].alias("hi_y"),
     )
 
 

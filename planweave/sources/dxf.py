@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,20 +32,28 @@ def as_drawings(texts: DataFrame) -> DataFrame:
     )
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` reads it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _tag_array(text: Column) -> Column:
     """Code and value lines as pairs."""
-    lines = F.split(text, "\n")
-    pairs = F.floor(F.size(lines) / 2).cast("int")
-    return F.when(
-        pairs > 0,
-        F.transform(
-            F.sequence(F.lit(0), pairs - 1),
-            lambda k: F.struct(
-                F.get(lines, k * 2).try_cast("int").alias("code"),
-                F.trim(F.get(lines, k * 2 + 1)).alias("value"),
+
+    def pairs(lines: Column) -> Column:
+        codes = F.filter(lines, lambda line, k: k % 2 == 0)
+        values = F.filter(lines, lambda line, k: k % 2 == 1)
+        whole = F.zip_with(
+            codes,
+            values,
+            lambda code, value: F.struct(
+                code.try_cast("int").alias("code"), F.trim(value).alias("value")
             ),
-        ),
-    )
+        )
+        # An odd last line has no value.
+        return F.filter(whole, lambda t: t["value"].isNotNull())
+
+    return _bound(F.split(text, "\n"), pairs)
 
 
 def dxf_tags(drawings: DataFrame) -> DataFrame:
@@ -99,26 +109,27 @@ def _entity(tags: Column) -> Column:
     )
 
 
+def _records(tags: Column) -> Column:
+    """Tags cut at every record start; vertices stay with their polyline."""
+
+    def starts(t: Column, k: Column) -> Column:
+        return F.when((t["code"] == 0) & ~t["value"].isin("VERTEX", "SEQEND"), k)
+
+    def cut(opens: Column) -> Column:
+        ends = F.concat(F.slice(opens, 2, F.size(opens)), F.array(F.size(tags)))
+        return F.zip_with(opens, ends, lambda start, end: F.slice(tags, start + 1, end - start))
+
+    opens = F.filter(F.transform(tags, starts), lambda k: k.isNotNull())
+    return F.when(F.size(opens) > 0, _bound(opens, cut))
+
+
 def _with_entities(drawings: DataFrame) -> DataFrame:
     """Add the model-space entities as an array; the text outside ENTITIES is cut first."""
     span = F.regexp_extract("text", _ENTITIES, 1)
-    tagged = drawings.withColumn("_tags", _tag_array(span))
-    opens = F.filter(
-        F.transform(
-            "_tags",
-            lambda t, k: F.when((t["code"] == 0) & ~t["value"].isin("VERTEX", "SEQEND"), k),
-        ),
-        lambda k: k.isNotNull(),
+    records = _bound(_tag_array(span), _records)
+    return drawings.withColumn(
+        "entities", F.filter(F.transform(records, _entity), lambda e: ~e["paper"])
     )
-    with_opens = tagged.withColumn("_opens", opens)
-
-    def record(start: Column, n: Column) -> Column:
-        end = F.coalesce(F.get(F.col("_opens"), n + 1), F.size("_tags"))
-        return F.slice(F.col("_tags"), start + 1, end - start)
-
-    records = with_opens.withColumn("_records", F.transform("_opens", record))
-    entities = F.filter(F.transform("_records", _entity), lambda e: ~e["paper"])
-    return records.withColumn("entities", entities).drop("_tags", "_opens", "_records")
 
 
 def dxf_entities(drawings: DataFrame) -> DataFrame:
@@ -133,7 +144,7 @@ def dxf_entities(drawings: DataFrame) -> DataFrame:
 
 def dxf_segments(drawings: DataFrame) -> DataFrame:
     """Segment table of a drawing corpus; ``seq`` is dense in file order."""
-    all_segments = F.flatten(F.transform("entities", segment_array))
+    all_segments = F.flatten(F.transform("entities", lambda e: segment_array(e)))
     return (
         _with_entities(drawings)
         .select("plan_id", F.posexplode(all_segments).alias("seq", "s"))

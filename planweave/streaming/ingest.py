@@ -8,11 +8,17 @@ from pyspark.sql.streaming import StreamingQuery
 from planweave.operators.jobs import job_status
 from planweave.plans.process import process
 from planweave.sources.dxf import as_drawings, drawing_plans, dxf_segments
+from planweave.storage import materialize
 
 
 def process_drawings(drawings: DataFrame, **options):
-    """The batch chain from drawing texts to results."""
-    return process(dxf_segments(drawings), plans=drawing_plans(drawings), **options)
+    """The batch chain from drawing texts to results.
+
+    The segments are stored first: the wall chain reads them several times and must not parse
+    the texts again each time.
+    """
+    segments = materialize(dxf_segments(drawings))
+    return process(segments, plans=materialize(drawing_plans(drawings)), **options)
 
 
 def ingest_stream(
