@@ -104,7 +104,7 @@ ends as (
          b.x1 as bx1, b.y1 as by1, b.x2 as bx2, b.y2 as by2,
          (a.x2 - a.x1) / a.length as ux, (a.y2 - a.y1) / a.length as uy
   from lines a join lines b on a.plan_id = b.plan_id and a.seq < b.seq),
-placed as (
+aligned as (
   select *,
          (bx1 - ax1) * ux + (by1 - ay1) * uy as p1, (bx2 - ax1) * ux + (by2 - ay1) * uy as p2,
          (ax2 - ax1) * ux + (ay2 - ay1) * uy as pa,
@@ -118,7 +118,7 @@ placed as (
 
 _CANDIDATES = _PAIRS + """,
 candidates as (
-  select *, across as distance from placed
+  select *, across as distance from aligned
   where cast(floor(ta / 5) as int) in (cast(floor(tb / 5) as int), (cast(floor(tb / 5) as int) + 1) % 36)
     and least(abs(ta - tb), 180.0 - abs(ta - tb)) <= 5.0
     and across between 0.01::double and 0.8::double
@@ -127,7 +127,7 @@ candidates as (
 
 _CANDIDATES_V1 = _PAIRS + """,
 candidates as (
-  select *, between_mids as distance from placed
+  select *, between_mids as distance from aligned
   where (abs(ta - tb) < 5.0 or abs(abs(ta - tb) - 180.0) < 5.0)
     and between_mids <= 1.0::double
     and greatest(0.0, pa) + 0.5::double >= least(p1, p2)
