@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave import constants as K
 from planweave.functions import geometry as G
+from planweave.operators.touching import large_plan_groups
 
 _OUT = (
     "seq bigint, layer string, x1 double, y1 double, x2 double, y2 double, length double"
@@ -18,56 +19,75 @@ _OUT = (
 
 
 _COLUMNS = ["plan_id", "seq", "layer", "x1", "y1", "x2", "y2", "length"]
+# Lines of a group up to which all continuations are looked up at once.
+_TABLE_LINES = 512
 
 
 def _walker(
-    columns: list[str], parallel: float, aside_limit: float, gap: float
-) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The walk over one group; self-contained, so that workers need nothing but pandas."""
-
-    def chains(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Follow each free line from its end, always to the first free line that continues it."""
+    columns: list[str], table_lines: int, parallel: float, aside_limit: float, gap: float
+) -> Callable[[pa.Table], pa.Table]:
+    """The walk over one group; self-contained, so that workers need nothing but pyarrow and numpy."""
+
+    def walk(group: pa.Table) -> pa.Table:
+        group = group.sort_by("seq")
+        start = np.column_stack([group["x1"].to_numpy(), group["y1"].to_numpy()])
+        end = np.column_stack([group["x2"].to_numpy(), group["y2"].to_numpy()])
+        n = len(start)
         step = end - start
         size = np.sqrt((step**2).sum(axis=1))
         angle = np.degrees(np.arctan2(step[:, 1], step[:, 0])) % 180
         unit = np.where(size[:, None] > 1e-9, step / np.maximum(size, 1e-300)[:, None], [1.0, 0.0])
         middle = (start + end) / 2
-        free = np.ones(len(start), dtype=bool)
-        for seed in range(len(start)):
+
+        def continuing(tails: slice, tip: np.ndarray) -> np.ndarray:
+            """Which lines may follow each tail whose free end is ``tip``."""
+            turn = np.abs(angle[tails, None] - angle)
+            offset = middle - middle[tails, None]
+            aside = np.abs(
+                offset[..., 1] * unit[tails, None, 0] - offset[..., 0] * unit[tails, None, 1]
+            )
+            near = np.minimum(
+                ((start - tip[tails, None]) ** 2).sum(axis=-1),
+                ((end - tip[tails, None]) ** 2).sum(axis=-1),
+            )
+            return (
+                (np.minimum(turn, 180 - turn) <= parallel)
+                & (aside <= aside_limit)
+                & (np.sqrt(near) <= gap)
+            )
+
+        tips = (start, end)
+        table = [continuing(slice(0, n), tip) for tip in tips] if n <= table_lines else None
+        free = np.ones(n, dtype=bool)
+        seeds, lasts = [], []
+        for seed in range(n):
             if not free[seed]:
                 continue
             free[seed] = False
-            tail, tip = seed, end[seed]
+            tail, side = seed, 1
             while True:
-                turn = np.abs(angle - angle[tail])
-                offset = middle - middle[tail]
-                aside = np.abs(offset[:, 1] * unit[tail, 0] - offset[:, 0] * unit[tail, 1])
-                to_start = np.sqrt(((start - tip) ** 2).sum(axis=1))
-                to_end = np.sqrt(((end - tip) ** 2).sum(axis=1))
-                fits = (
-                    free
-                    & (np.minimum(turn, 180 - turn) <= parallel)
-                    & (aside <= aside_limit)
-                    & (np.minimum(to_start, to_end) <= gap)
-                )
-                if not fits.any():
+                row = table[side][tail] if table else continuing(slice(tail, tail + 1), tips[side])[0]
+                fits = row & free
+                following = int(fits.argmax())
+                if not fits[following]:
                     break
-                tail = int(fits.argmax())
-                free[tail] = False
-                tip = start[tail] if to_end[tail] < to_start[tail] else end[tail]
-            yield seed, start[seed], tip
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq", kind="stable").reset_index(drop=True)
-        rows = []
-        for seed, first, last in chains(
-            group[["x1", "y1"]].to_numpy(float), group[["x2", "y2"]].to_numpy(float)
-        ):
-            size = float(np.sqrt(((last - first) ** 2).sum()))
-            if size > 1e-6:
-                line = group.iloc[seed]
-                rows.append((line.plan_id, line.seq, line.layer, *first, *last, size))
-        return pd.DataFrame(rows, columns=columns)
+                tip = tips[side][tail]
+                to_start = ((start[following] - tip) ** 2).sum()
+                to_end = ((end[following] - tip) ** 2).sum()
+                free[following] = False
+                tail, side = following, 0 if np.sqrt(to_end) < np.sqrt(to_start) else 1
+            seeds.append(seed)
+            lasts.append(tips[side][tail])
+        seeds, lasts = np.array(seeds, dtype=np.int64), np.array(lasts)
+        span = np.sqrt(((lasts - start[seeds]) ** 2).sum(axis=1))
+        real = span > 1e-6
+        kept = group.take(pa.array(seeds[real]))
+        firsts, lasts = start[seeds][real], lasts[real]
+        values = [
+            kept["plan_id"], kept["seq"], kept["layer"], pa.array(firsts[:, 0]),
+            pa.array(firsts[:, 1]), pa.array(lasts[:, 0]), pa.array(lasts[:, 1]), pa.array(span[real]),
+        ]
+        return pa.table(values, names=columns)
 
     return walk
 
@@ -75,15 +95,18 @@ def _walker(
 def merge_fragments(lines: DataFrame) -> DataFrame:
     """Exact, order-dependent joining: one output line per chain, carrying the seed's ``seq``.
 
-    The walk depends on the order of the lines, so each group of lines that could touch is
+    From each free line in order, the first free line that continues its end is added again
+    and again. The walk depends on that order, so each group of lines that could touch is
     walked in one task. See ``touching_groups`` for how large plans are split.
     """
     plan_type = dict(lines.dtypes)["plan_id"]
-    walk = _walker(_COLUMNS, K.PARALLEL_TOLERANCE, K.FRAGMENT_OFFSET, K.FRAGMENT_GAP)
+    walk = _walker(
+        _COLUMNS, _TABLE_LINES, K.PARALLEL_TOLERANCE, K.FRAGMENT_OFFSET, K.FRAGMENT_GAP
+    )
     merged = (
         touching_groups(lines)
         .groupBy("plan_id", "touching")
-        .applyInPandas(walk, f"plan_id {plan_type}, {_OUT}")
+        .applyInArrow(walk, f"plan_id {plan_type}, {_OUT}")
     )
     # Upper limits from the input, so that the walk runs once: a chain ends at given points.
     width = F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))
@@ -99,8 +122,6 @@ def touching_groups(lines: DataFrame, large_plan: int = 10_000) -> DataFrame:
 
     A plan of up to ``large_plan`` lines is one group.
     """
-    from planweave.operators.touching import large_plan_groups
-
     sizes = lines.groupBy("plan_id").agg(F.count("*").alias("_n"))
     large = sizes.filter(F.col("_n") > large_plan).select("plan_id")
     whole = F.lit(0).cast("bigint").alias("touching")

@@ -150,7 +150,7 @@ def pair_candidates(lines: DataFrame, dense_lines: int | None = DENSE_PLAN_LINES
     distance = G.perpendicular_distance(a, b, F.col("a_length"))
     return (
         _renamed(base, "a_", shared)
-        .join(_renamed(listed, "b_", shared), shared)
+        .join(_renamed(listed, "b_", shared).hint("merge"), shared)
         .filter(F.col("a_seq") < F.col("b_seq"))
         .filter(G.angle_difference(F.col("a_angle"), F.col("b_angle")) <= K.PARALLEL_TOLERANCE)
         .withColumn("distance", distance)
@@ -180,7 +180,7 @@ def pair_candidates_v1(lines: DataFrame) -> DataFrame:
     a, b = G.ends("a_"), G.ends("b_")
     return (
         _renamed(base, "a_", shared)
-        .join(_renamed(near, "b_", shared), shared)
+        .join(_renamed(near, "b_", shared).hint("merge"), shared)
         .filter(F.col("a_seq") < F.col("b_seq"))
         .filter(G.is_parallel_v1(F.col("a_angle"), F.col("b_angle")))
         .withColumn("distance", G.midpoint_distance(a, b))

@@ -10,7 +10,10 @@ from planweave.functions import geometry as G
 
 
 def paired_walls(
-    matches: DataFrame, height: float = K.DEFAULT_HEIGHT, profile: str = "v2"
+    matches: DataFrame,
+    height: float = K.DEFAULT_HEIGHT,
+    profile: str = "v2",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One wall per match: centre line, distance as thickness, layer of the first line."""
     a, b = G.ends("a_"), G.ends("b_")
@@ -28,6 +31,7 @@ def paired_walls(
         F.lit(float(height)).alias("height"),
         confidence.alias("confidence"),
         "plan_lines",
+        *keep,
     )
 
 
@@ -56,6 +60,50 @@ def unpaired_walls(
     )
 
 
+def detected_walls(
+    lines: DataFrame,
+    matches: DataFrame,
+    thickness: float = K.DEFAULT_THICKNESS,
+    height: float = K.DEFAULT_HEIGHT,
+    profile: str = "v2",
+) -> DataFrame:
+    """Paired and unpaired walls together, reading lines and matches once each.
+
+    Every match marks its two lines; a line marked as the first one becomes the paired wall,
+    the second one disappears and unmarked lines stay single.
+    """
+    names = ["paired", "layer", *G.Ends._fields, "thickness", "height", "confidence", "plan_lines"]
+    pairs = paired_walls(matches, height, profile, keep=("j",))
+    marks = pairs.select(
+        "plan_id",
+        F.explode(
+            F.array(
+                F.struct("seq", F.lit(True).alias("first")),
+                F.struct(F.col("j").alias("seq"), F.lit(False).alias("first")),
+            )
+        ).alias("mark"),
+        F.struct(*names).alias("pair"),
+    ).select("plan_id", "mark.seq", "mark.first", F.when(F.col("mark.first"), F.col("pair")).alias("pair"))
+    single = {
+        "paired": F.lit(False),
+        "thickness": F.lit(float(thickness)),
+        "height": F.lit(float(height)),
+        "confidence": F.lit(1.0 if profile == "v1" else K.SINGLE_LINE_CONFIDENCE),
+    }
+    return (
+        lines.join(marks, ["plan_id", "seq"], "left")
+        .filter(F.col("first").isNull() | F.col("first"))
+        .select(
+            "plan_id",
+            "seq",
+            *(
+                F.when(F.col("first"), F.col("pair")[n]).otherwise(single.get(n, F.col(n))).alias(n)
+                for n in names
+            ),
+        )
+    )
+
+
 def with_wall_params(walls: DataFrame, params: DataFrame) -> DataFrame:
     """Per-plan ``wall_height`` and ``wall_thickness`` in place of the defaults, where given."""
     given = params.select(

@@ -85,9 +85,7 @@ def process(
             lines, pairing.DENSE_PLAN_LINES if large_plans else None
         )
     matches = matching.greedy_match(candidates, large_plans)
-    found = W.paired_walls(matches, wall_height, profile).unionByName(
-        W.unpaired_walls(lines, matches, wall_thickness, wall_height, profile)
-    )
+    found = W.detected_walls(lines, matches, wall_thickness, wall_height, profile)
     if params is not None:
         found = W.with_wall_params(found, params)
     return Processed(
