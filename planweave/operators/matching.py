@@ -16,8 +16,9 @@ from planweave.storage import materialize
 
 # Candidates of one plan that may be folded in one row.
 FOLD_CANDIDATES = 20_000
-# Lowest line numbers of a stalled plan settled together per round.
-_PREFIX_LINES = 128
+# Lowest lines of a large plan settled together per round, and candidates they may take.
+_PREFIX_LINES = 8_192
+_PREFIX_CANDIDATES = 1_000_000
 
 
 def _accept_in_order(candidates: DataFrame) -> DataFrame:
@@ -45,6 +46,38 @@ def _accept_in_order(candidates: DataFrame) -> DataFrame:
     return picks.select("plan_id", *(F.col("e")[c].alias(c) for c in ("i", "j", "distance", *carried)))
 
 
+def _accept_by_line(candidates: DataFrame) -> DataFrame:
+    """The same fold line by line, for plans with many candidates per line; gives (i, j) only.
+
+    The partners of a line come nearest first; the first one outside the used lines is taken.
+    """
+    partners = F.transform(F.sort_array(F.collect_list(F.struct("distance", "j"))), lambda p: p["j"])
+    by_line = candidates.groupBy("plan_id", "i").agg(partners.alias("js"))
+    per_plan = by_line.groupBy("plan_id").agg(
+        F.sort_array(F.collect_list(F.struct("i", "js"))).alias("lines")
+    )
+    start = F.struct(
+        F.array().cast("array<bigint>").alias("used"),
+        F.array().cast("array<struct<i:bigint,j:bigint>>").alias("picks"),
+    )
+
+    def step(acc, line):
+        free = F.array_except(line["js"], acc["used"])
+        taken = F.array_contains(acc["used"], line["i"])
+        best = F.get(free, F.lit(0))
+        return F.when(taken | (F.size(free) == 0), acc).otherwise(
+            F.struct(
+                F.concat(acc["used"], F.array(line["i"], best)).alias("used"),
+                F.concat(
+                    acc["picks"], F.array(F.struct(line["i"].alias("i"), best.alias("j")))
+                ).alias("picks"),
+            )
+        )
+
+    picks = F.aggregate("lines", start, step, lambda acc: acc["picks"])
+    return per_plan.select("plan_id", F.explode(picks).alias("e")).select("plan_id", "e.i", "e.j")
+
+
 def _first_at_both_ends(edges: DataFrame) -> DataFrame:
     """Candidates that come first in (i, distance, j) order at i and at j."""
     key = F.struct("i", "distance", "j")
@@ -56,25 +89,35 @@ def _first_at_both_ends(edges: DataFrame) -> DataFrame:
         firsts.groupBy("plan_id", "edge")
         .count()
         .filter(F.col("count") == 2)
-        .select("plan_id", "edge.i", "edge.distance", "edge.j")
+        .select("plan_id", "edge.i", "edge.j")
     )
 
 
 def _leading_lines(edges: DataFrame) -> DataFrame:
     """Matches of the lowest lines of each plan, found in order.
 
-    The lines numbered below ``lowest + 128`` can use up at most 256 lines, so the nearest 257
-    partners of each are enough for an exact answer.
+    The lines before the n-th one use up at most 2n lines, so its nearest 2n + 1 partners are
+    enough for an exact answer. Lines are taken while their candidates stay within a budget.
     """
-    lowest = edges.groupBy("plan_id").agg(F.min("i").alias("_lowest"))
+    in_order = Window.partitionBy("plan_id").orderBy("i")
     nearest = Window.partitionBy("plan_id", "i").orderBy("distance", "j")
+    needed = F.least(F.col("count"), 2 * F.col("_rank") - 1)
+    lowest = (
+        edges.groupBy("plan_id", "i")
+        .count()
+        .withColumn("_rank", F.row_number().over(in_order))
+        .filter(F.col("_rank") <= _PREFIX_LINES)
+        .withColumn("_needed", needed)
+        .withColumn("_sum", F.sum("_needed").over(in_order))
+        .filter((F.col("_rank") == 1) | (F.col("_sum") <= _PREFIX_CANDIDATES))
+        .select("plan_id", "i", "_needed")
+    )
     leading = (
-        edges.join(lowest, "plan_id")
-        .filter(F.col("i") < F.col("_lowest") + _PREFIX_LINES)
-        .withColumn("_rank", F.row_number().over(nearest))
-        .filter(F.col("_rank") <= 2 * _PREFIX_LINES + 1)
+        edges.join(lowest, ["plan_id", "i"])
+        .withColumn("_near", F.row_number().over(nearest))
+        .filter(F.col("_near") <= F.col("_needed"))
     )
-    return _accept_in_order(leading.select("plan_id", "i", "j", "distance"))
+    return _accept_by_line(leading)
 
 
 def _without_used(edges: DataFrame, matches: DataFrame) -> DataFrame:
@@ -103,11 +146,10 @@ def greedy_match_rounds(candidates: DataFrame, fold_candidates: int = FOLD_CANDI
         large = edges.join(
             sizes.filter(F.col("count") > fold_candidates).select("plan_id"), "plan_id", "left_semi"
         )
-        leading = materialize(_leading_lines(large).select("plan_id", "i", "distance", "j"))
+        leading = materialize(_leading_lines(large))
         rest = materialize(_without_used(large, leading))
         picked = materialize(
-            _accept_in_order(small)
-            .select("plan_id", "i", "distance", "j")
+            _accept_by_line(small)
             .unionByName(leading)
             .unionByName(_first_at_both_ends(rest))
         )
@@ -115,7 +157,7 @@ def greedy_match_rounds(candidates: DataFrame, fold_candidates: int = FOLD_CANDI
         edges = materialize(_without_used(rest, picked))
     if found is None:
         return payload.limit(0)
-    return payload.join(found.select("plan_id", "i", "j"), ["plan_id", "i", "j"], "left_semi")
+    return payload.join(found, ["plan_id", "i", "j"], "left_semi")
 
 
 def greedy_match(candidates: DataFrame, large_plans: bool | None = None) -> DataFrame:
