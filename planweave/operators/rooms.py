@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from planweave import constants as K
 from planweave.functions import geometry as G
-from planweave.operators.entities import arc_segments, entity_segments
+from planweave.operators.entities import arc_array, polyline_array
 from planweave.operators.running import running_total
 
 # Rooms per report row; larger plans continue in further parts.
 REPORT_ROOMS = 10_000
-_SIDE_ORDER = {"main": 0, "side": 1, "hall": 2}
 
 
 def _fixed(value: Column, digits: int) -> Column:
@@ -64,25 +63,14 @@ def _side_rule(style: str) -> Column:
     )
 
 
-def _list_order(side: str, position: Column) -> Column:
+def _list_position(side: Column | str, room_no: Column) -> Column:
     """List position: main column, side column, hallway."""
-    return position.cast("bigint") + F.lit(_SIDE_ORDER[side] << 40)
-
-
-def _room_columns(side: str, x, y, w, h) -> list[Column]:
-    return [
-        F.col("plan_id"),
-        _list_order(side, F.col("room_no")).alias("room_no"),
-        F.col("name"),
-        F.col("room_type"),
-        x.alias("x"),
-        y.alias("y"),
-        w.alias("w"),
-        h.alias("h"),
-    ]
+    step = F.when(side == "main", 0).when(side == "side", 1).otherwise(2)
+    return room_no.cast("bigint") + step * F.lit(1 << 40)
 
 
 def _column_sizes(rooms: DataFrame, main_w: Column, main_h: Column) -> DataFrame:
+    """Widths and heights of the columns, the hallway and the whole plan, one row per plan."""
     side = F.col("side") == "side"
     zero = F.lit(0.0)
     sizes = rooms.groupBy("plan_id").agg(
@@ -97,31 +85,50 @@ def _column_sizes(rooms: DataFrame, main_w: Column, main_h: Column) -> DataFrame
             "hall_w": F.when(F.col("has_hall"), K.HALLWAY_WIDTH).otherwise(0.0),
             "total_h": F.greatest("main_h", "side_h"),
         }
-    ).withColumn("total_w", F.col("main_w") + F.col("hall_w") + F.col("side_w"))
+    ).withColumns(
+        {
+            "plan_width": G.rounded(F.col("main_w") + F.col("hall_w") + F.col("side_w"), 2),
+            "plan_height": G.rounded(F.col("total_h"), 2),
+        }
+    )
 
 
-def _with_extent(rooms: DataFrame, sizes: DataFrame) -> DataFrame:
-    extent = sizes.select(
-        "plan_id",
-        G.rounded(F.col("total_w"), 2).alias("plan_width"),
-        G.rounded(F.col("total_h"), 2).alias("plan_height"),
-    )
-    return rooms.join(extent, "plan_id")
+def _placed_room(position, name, room_type, x, y, w, h) -> list[Column]:
+    return [
+        F.col("plan_id"),
+        position.alias("room_no"),
+        name.alias("name"),
+        room_type.alias("room_type"),
+        x.alias("x"),
+        y.alias("y"),
+        w.alias("w"),
+        h.alias("h"),
+        F.col("plan_width"),
+        F.col("plan_height"),
+    ]
 
 
 def _hallway(sizes: DataFrame) -> DataFrame:
-    hall = sizes.filter("has_hall").withColumns(
-        {"name": F.lit("Hallway"), "room_type": F.lit("hallway"), "room_no": F.lit(0)}
-    )
-    return hall.select(
-        *_room_columns("hall", F.col("main_w"), F.lit(0.0), F.lit(K.HALLWAY_WIDTH), F.col("total_h"))
+    return sizes.filter("has_hall").select(
+        *_placed_room(
+            _list_position(F.lit("hall"), F.lit(0)), F.lit("Hallway"), F.lit("hallway"),
+            F.col("main_w"), F.lit(0.0), F.lit(K.HALLWAY_WIDTH), F.col("total_h"),
+        )
     )
 
 
-def _side_rooms(rooms: DataFrame, sizes: DataFrame) -> DataFrame:
-    side = room_names(stack_column(rooms.filter(F.col("side") == "side"), ["plan_id"]), ["plan_id"])
-    return side.join(sizes.select("plan_id", "main_w", "hall_w"), "plan_id").select(
-        *_room_columns("side", F.col("main_w") + F.col("hall_w"), F.col("y"), F.col("col_w"), F.col("h"))
+def _stacked(rooms: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rooms of both columns in place; the columns share one pass."""
+    keys = ["plan_id", "side"]
+    columns = rooms.filter(F.col("side") != "hall")
+    stacked = room_names(running_total(columns, keys, "room_no", F.col("h"), "y"), keys)
+    main = F.col("side") == "main"
+    return stacked.join(sizes, "plan_id").select(
+        *_placed_room(
+            _list_position(F.col("side"), F.col("room_no")), F.col("name"), F.col("room_type"),
+            F.when(main, 0.0).otherwise(F.col("main_w") + F.col("hall_w")), F.col("y"),
+            F.when(main, F.col("main_w")).otherwise(F.col("side_w")), F.col("h"),
+        )
     )
 
 
@@ -135,28 +142,24 @@ def layout_rectangular(rooms: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(main, F.col("w"))), zero),
         F.coalesce(F.sum(F.when(main, F.col("h"))), zero),
     )
-    left = room_names(stack_column(tagged.filter(main), ["plan_id"]), ["plan_id"]).select(
-        *_room_columns("main", F.lit(0.0), F.col("y"), F.col("col_w"), F.col("h"))
-    )
-    placed = left.unionByName(_side_rooms(tagged, sizes)).unionByName(_hallway(sizes))
-    return _with_extent(placed, sizes)
+    return _stacked(tagged, sizes).unionByName(_hallway(sizes))
 
 
 def layout_open_plan(rooms: DataFrame, open_w: float = 8.0, open_h: float = 5.5) -> DataFrame:
     """One merged living space of the given size left, the remaining rooms right of it.
 
-    Rooms may carry ``open_w`` and ``open_h`` per plan instead of the arguments.
+    Rooms may carry ``open_w`` and ``open_h`` per plan instead of the arguments. The space is
+    named after its room types in list order, each type once.
     """
     for name, value in (("open_w", open_w), ("open_h", open_h)):
         if name not in rooms.columns:
             rooms = rooms.withColumn(name, F.lit(float(value)))
     tagged = rooms.withColumn("side", _side_rule("open-plan"))
     sizes = _column_sizes(tagged, F.max("open_w"), F.max("open_h"))
-    # Types in list order, each as often as listed, but only a bounded number of names.
     types = (
         tagged.filter(F.col("side") == "main")
         .groupBy("plan_id", "room_type")
-        .agg(F.min("room_no").alias("first"), F.count("*").alias("times"))
+        .agg(F.min("room_no").alias("first"))
     )
     label = types.groupBy("plan_id").agg(
         F.array_join(
@@ -167,19 +170,14 @@ def layout_open_plan(rooms: DataFrame, open_w: float = 8.0, open_h: float = 5.5)
             " / ",
         ).alias("label")
     )
-    merged = (
-        sizes.join(label, "plan_id", "left")
-        .withColumns(
-            {
-                "name": F.coalesce("label", F.lit("Open Plan")),
-                "room_type": F.lit("living"),
-                "room_no": F.lit(0),
-            }
+    merged = sizes.join(label, "plan_id", "left").select(
+        *_placed_room(
+            _list_position(F.lit("main"), F.lit(0)), F.coalesce("label", F.lit("Open Plan")),
+            F.lit("living"), F.lit(0.0), F.lit(0.0), F.col("main_w"), F.col("main_h"),
         )
-        .select(*_room_columns("main", F.lit(0.0), F.lit(0.0), F.col("main_w"), F.col("main_h")))
     )
-    placed = merged.unionByName(_side_rooms(tagged, sizes)).unionByName(_hallway(sizes))
-    return _with_extent(placed, sizes)
+    others = _stacked(tagged.filter(F.col("side") != "main"), sizes)
+    return merged.unionByName(others).unionByName(_hallway(sizes))
 
 
 def layout_l_shape(rooms: DataFrame) -> DataFrame:
@@ -332,52 +330,76 @@ def double_line(edges: DataFrame, thickness: float = K.DEFAULT_THICKNESS, mode:
     )
 
 
-def _doors(rooms: DataFrame) -> DataFrame:
-    return rooms.filter(F.col("w") > K.DOOR_WIDTH + K.DOOR_CLEARANCE).withColumn(
-        "door_x", F.col("x") + F.col("w") * K.DOOR_POSITION
+def _drawn(item: int, part: Column, layer: Column, kind: Column, x1, y1, x2, y2) -> Column:
+    return F.struct(
+        F.lit(item).alias("item"), part.cast("int").alias("part"), layer.alias("layer"),
+        kind.alias("source_type"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"),
+    )
+
+
+def _numbered(item: int, segments: Column) -> Column:
+    """Segments of one entity as drawn items, numbered by part."""
+    return F.transform(
+        segments,
+        lambda s, k: _drawn(item, k, s["layer"], s["source_type"], s["x1"], s["y1"], s["x2"], s["y2"]),
+    )
+
+
+def _no_items() -> Column:
+    return F.array().cast(
+        "array<struct<item:int,part:int,layer:string,source_type:string,"
+        "x1:double,y1:double,x2:double,y2:double>>"
+    )
+
+
+def _entity(layer: str, xs, ys, radius=None, start=None, end=None, closed=False) -> Column:
+    def number(value) -> Column:
+        return F.lit(value).cast("double")
+
+    return F.struct(
+        F.lit(layer).alias("layer"), F.array(*xs).alias("xs"), F.array(*ys).alias("ys"),
+        number(radius).alias("radius"), number(start).alias("start_deg"),
+        number(end).alias("end_deg"), F.lit(closed).alias("closed"),
+    )
+
+
+def _opening_items() -> Column:
+    """Door line, door arc and window of a room row."""
+    y, w = F.col("y"), F.col("w")
+    door_x = F.col("x") + w * K.DOOR_POSITION
+    line, door, window = F.lit("LINE"), F.lit("DOOR"), F.lit("WINDOW")
+    leaf = F.array(_drawn(0, F.lit(0), door, line, door_x, y, door_x + K.DOOR_WIDTH, y))
+    swing = _numbered(1, arc_array(_entity("DOOR", [door_x], [y], K.DOOR_WIDTH, 0, 90)))
+    width = F.least(F.lit(K.WINDOW_WIDTH), w * K.WINDOW_SHARE)
+    start = F.col("x") + (w - width) / 2.0
+    pane = F.array(_drawn(2, F.lit(0), window, line, start, y, start + width, y))
+    return F.concat(
+        F.when(w > K.DOOR_WIDTH + K.DOOR_CLEARANCE, F.concat(leaf, swing)).otherwise(_no_items()),
+        F.when(~F.col("room_type").isin(*K.WINDOWLESS_ROOMS), pane).otherwise(_no_items()),
     )
 
 
+def _outline_items(inset: float) -> Column:
+    left, low = F.col("x") + inset, F.col("y") + inset
+    right, high = F.col("x") + F.col("w") - inset, F.col("y") + F.col("h") - inset
+    ring = _entity("ROOM", [left, right, right, left], [low, low, high, high], closed=True)
+    return _numbered(3, polyline_array(ring))
+
+
 def room_openings(rooms: DataFrame) -> DataFrame:
     """Doors (a line and a quarter arc) and windows on the bottom edge of rooms."""
-    doors = _doors(rooms)
-    leaf = doors.select(
-        "plan_id", "room_no", F.lit(0).alias("item"), F.lit(0).alias("part"),
-        F.lit("DOOR").alias("layer"), F.lit("LINE").alias("source_type"),
-        F.col("door_x").alias("x1"), F.col("y").alias("y1"),
-        (F.col("door_x") + K.DOOR_WIDTH).alias("x2"), F.col("y").alias("y2"),
-    )
-    swing = arc_segments(
-        doors.select(
-            "plan_id", F.col("room_no").alias("rec"), F.lit("DOOR").alias("layer"),
-            F.col("door_x").alias("cx"), F.col("y").alias("cy"), F.lit(K.DOOR_WIDTH).alias("radius"),
-            F.lit(0.0).alias("start_deg"), F.lit(90.0).alias("end_deg"),
-        )
-    ).select("plan_id", F.col("rec").alias("room_no"), F.lit(1).alias("item"), "part", "layer",
-             "source_type", "x1", "y1", "x2", "y2")
-    width = F.least(F.lit(K.WINDOW_WIDTH), F.col("w") * K.WINDOW_SHARE)
-    start = F.col("x") + (F.col("w") - width) / 2.0
-    windows = rooms.filter(~F.col("room_type").isin(*K.WINDOWLESS_ROOMS)).select(
-        "plan_id", "room_no", F.lit(2).alias("item"), F.lit(0).alias("part"),
-        F.lit("WINDOW").alias("layer"), F.lit("LINE").alias("source_type"),
-        start.alias("x1"), F.col("y").alias("y1"), (start + width).alias("x2"), F.col("y").alias("y2"),
+    return rooms.select("plan_id", "room_no", F.explode(_opening_items()).alias("s")).select(
+        "plan_id", "room_no", "s.*"
     )
-    return leaf.unionByName(swing).unionByName(windows)
 
 
 def room_outline(rooms: DataFrame, inset: float = K.OUTLINE_INSET) -> DataFrame:
     """Closed ring of each room, a little inside its edges, on layer ROOM."""
-    left, low = F.col("x") + inset, F.col("y") + inset
-    right, high = F.col("x") + F.col("w") - inset, F.col("y") + F.col("h") - inset
-    none = F.lit(None).cast("double")
-    rings = rooms.select(
-        "plan_id", F.col("room_no").alias("rec"), F.lit("LWPOLYLINE").alias("type"),
-        F.lit("ROOM").alias("layer"),
-        F.array(left, right, right, left).alias("xs"), F.array(low, low, high, high).alias("ys"),
-        none.alias("radius"), none.alias("start_deg"), none.alias("end_deg"),
-        F.lit(True).alias("closed"),
+    return (
+        rooms.select("plan_id", "room_no", F.explode(_outline_items(inset)).alias("s"))
+        .select("plan_id", "room_no", "s.*")
+        .drop("item")
     )
-    return entity_segments(rings).withColumnRenamed("rec", "room_no")
 
 
 def room_labels(rooms: DataFrame) -> DataFrame:
@@ -428,15 +450,16 @@ def plan_segments_from_rooms(
         {"seq": wall_seq, "layer": F.lit("WALL"), "source_type": F.lit("LINE")}
     ).select(*columns)
     step = K.ARC_STEPS + 6  # outline 4, door line 1, door arc, window 1
-    after_walls = F.lit(1 << 45)
-    outline = room_outline(rooms).withColumn("slot", F.col("part"))
-    slot = F.when(F.col("item") == 0, 4).when(F.col("item") == 1, 5 + F.col("part")).otherwise(
-        5 + K.ARC_STEPS
-    )
-    openings = room_openings(rooms).withColumn("slot", slot)
-    drawn = outline.select("room_no", "slot", *(c for c in columns if c != "seq")).unionByName(
-        openings.select("room_no", "slot", *(c for c in columns if c != "seq"))
-    )
-    return walls.unionByName(
-        drawn.withColumn("seq", after_walls + F.col("room_no") * step + F.col("slot")).select(*columns)
-    )
+    slot = (
+        F.when(F.col("item") == 3, F.col("part"))
+        .when(F.col("item") == 0, 4)
+        .when(F.col("item") == 1, 5 + F.col("part"))
+        .otherwise(5 + K.ARC_STEPS)
+    )
+    items = F.concat(_outline_items(K.OUTLINE_INSET), _opening_items())
+    drawn = (
+        rooms.select("plan_id", "room_no", F.explode(items).alias("s"))
+        .select("plan_id", "room_no", "s.*")
+        .withColumn("seq", F.lit(1 << 45) + F.col("room_no") * step + slot)
+    )
+    return walls.unionByName(drawn.select(*columns))
