@@ -671,8 +671,8 @@ def oracle_sql() -> dict[str, str]:
     )
     q["written_models"] = _with(
         _AUTO_WALLS + _METADATA + _PLANS,
-        """select plan_id, wall_count, coalesce(wall_count, 0) as stored_walls,
-                  coalesce(floor_count, 0) as stored_floors, format
+        """select plan_id, coalesce(wall_count, 0) as wall_count, coalesce(wall_count, 0) as stored_walls,
+                  coalesce(floor_count, 0) as stored_floors, 'floorplan-json-v1' as format
            from plans left join metadata using (plan_id) where parse_error is null""",
     )
     q["merge_fragments_islands"] = _with(

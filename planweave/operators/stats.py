@@ -76,6 +76,13 @@ def plan_stats(segments: DataFrame) -> DataFrame:
     )
 
 
+def with_all_plans(summary: DataFrame, plans: DataFrame) -> DataFrame:
+    """Statistics of all readable plans; those without segments get zero counts and no bounds."""
+    counts = [f"{name.lower()}_segments" for name in CATEGORIES] + ["segments_parsed"]
+    readable = plans.filter(F.col("parse_error").isNull()).select("plan_id")
+    return readable.join(summary, "plan_id", "left").fillna(0, [*counts, "longest"])
+
+
 def effective_params(params: DataFrame) -> DataFrame:
     """A requested scale of zero or less means 1.0; everything else passes unchanged."""
     return params.withColumn(
@@ -94,7 +101,7 @@ def with_scale(
 
     ``params`` may hold ``plan_id, scale, auto_scale`` rows that override the arguments.
     A scale of exactly 1.0 is replaced by the inferred one while ``auto_scale`` is on.
-    Profile "v1" never infers and leaves the bounds as drawn.
+    Profile "v1" never infers, leaves the bounds as drawn and gives an empty plan zero bounds.
     """
     wanted, auto = F.lit(float(scale)), F.lit(auto_scale)
     if params is not None:
@@ -114,7 +121,8 @@ def with_scale(
         auto_applied = auto & (wanted == 1.0) & (inferred != 1.0)
     result = stats.withColumns({"applied_scale": applied, "auto_scaled": auto_applied})
     for name in ("minx", "miny", "maxx", "maxy"):
-        result = result.withColumn(name, F.col(name) * bounds_scale)
+        drawn = F.coalesce(name, F.lit(0.0)) if profile == "v1" else F.col(name)
+        result = result.withColumn(name, drawn * bounds_scale)
     return result.drop("_scale", "_auto")
 
 

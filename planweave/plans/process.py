@@ -67,9 +67,13 @@ def process(
     ``params`` (plan_id, scale, auto_scale, wall_height, wall_thickness) overrides the
     arguments per plan. ``large_plans`` tells whether plans above the plain-join limit exist;
     left open, line counts are checked first, and only such plans take the grid and rounds.
+    ``plans`` (plan_id, source_type, parse_error) lists the drawings: those without segments
+    stay as empty models, unreadable ones fail alone.
     """
     scale = scale if scale > 0 else 1.0
     summary = S.plan_stats(segments)
+    if plans is not None:
+        summary = S.with_all_plans(summary, plans)
     if large_plans is None:
         large_plans = _has_large_plans(summary)
     stats = S.with_scale(summary, scale, auto_scale, params, profile)

@@ -168,6 +168,10 @@ def test_plans_without_segments(spark, drawing):
     rows = {r.plan_id: r for r in process(segs, plans=plans).results.collect()}
     assert rows["a"].success and rows["a"].model.metadata.wall_count == 1
     assert rows["empty"].success and len(rows["empty"].warnings) == 2
+    assert rows["empty"].model.metadata.wall_count == 0 and rows["empty"].model.metadata.bounds is None
+    assert rows["empty"].model.walls == [] and rows["empty"].model.floors == []
+    first = process(segs, plans=plans, profile="v1").results.filter("plan_id = 'empty'").first()
+    assert first.model.floors[0].dimensions.width == 0.0
     assert rows["pic"].warnings[0].startswith("The picture")
     assert not rows["bad"].success and rows["bad"].error and rows["bad"].model is None
 
