@@ -663,6 +663,8 @@ def oracle_sql() -> dict[str, str]:
     q["results_first_rules"] = _with(
         _V1_WALLS + _PLANS,
         f"""select plan_id, true as success, concat_ws(' | ',
+                     case when wall_segments = 0 and other_segments = 0 then
+                       'The drawing holds no usable geometry.' end,
                      case when wall_segments = 0 then
                        'No layer is named as a wall; all segments were taken as walls.' end,
                      case when walls_detected is null then 'No walls were found in this plan.' end) as warnings,

@@ -154,9 +154,14 @@ def warning_texts(
     applied_scale: Column,
     walls_detected: Column,
     parse_error: Column,
+    other_segments: Column,
     profile: str = "v2",
 ) -> Column:
-    """Messages of one plan, in the order in which the steps run."""
+    """Messages of one plan, in the order in which the steps run.
+
+    The first rules call a drawing unusable when it has neither walls nor untagged lines, even
+    if it has doors or windows.
+    """
     drawn = F.coalesce(segments_parsed, F.lit(0))
     no_walls_drawn = F.coalesce(wall_segments, F.lit(0)) == 0
     ok = parse_error.isNull()
@@ -166,7 +171,10 @@ def warning_texts(
     untagged = "No layer is named as a wall; all segments were taken as walls."
     if profile == "v1":
         found = [
-            F.when(ok & (drawn == 0), "The drawing holds no usable geometry."),
+            F.when(
+                ok & no_walls_drawn & (F.coalesce(other_segments, F.lit(0)) == 0),
+                "The drawing holds no usable geometry.",
+            ),
             F.when(ok & no_walls_drawn, untagged),
             none_found,
         ]
@@ -213,7 +221,7 @@ def result_rows(
     """
     counts = result_stats(walls, stats).withColumnRenamed("wall_segments", "used_segments")
     facts = stats.select(
-        "plan_id", "wall_segments", "applied_scale", "auto_scaled"
+        "plan_id", "wall_segments", "other_segments", "applied_scale", "auto_scaled"
     ).join(counts, "plan_id")
     if plans is None:
         rows = facts.withColumns(
@@ -240,6 +248,7 @@ def result_rows(
         F.col("applied_scale"),
         F.col("walls_detected"),
         F.col("parse_error"),
+        F.col("other_segments"),
         profile,
     )
     result = rows.select(

@@ -139,6 +139,12 @@ def test_fallback_order_and_warnings(spark, drawing):
     assert rows["mm"].applied_scale == 0.001 and "0.001" in rows["mm"].warnings[0]
 
 
+def test_first_rules_warn_of_doors_only(spark, drawing):
+    found = process(drawing({"d": [("DOOR", 0, 0, 3, 0)]}), profile="v1").summaries.first()
+    assert [w.split()[0] for w in found.warnings] == ["The", "No"]
+    assert found.stats.wall_segments == 1 and found.stats.walls_detected == 1
+
+
 def test_scale_requests(spark, drawing):
     segs = drawing({"p": [("WALL", 0, 0, 5000, 0)]})
 
