@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planweave.operators.walls import boxes_flat
+
 _POINT = "struct<x:double,y:double,z:double>"
 _SIZE = "struct<width:double,height:double,depth:double>"
 _WALL = (
@@ -59,7 +61,7 @@ def model_corpus_stats(models: DataFrame, keys: list[str], time: str = "processi
     )
 
 
-def _median(time: str):
+def _median(time: str) -> Column:
     return F.bround(F.percentile(time, 0.5, F.col("_times")), 4)
 
 
@@ -83,6 +85,5 @@ def write_models(results: DataFrame, path: str, buckets: int = 64, format: str =
 
 
 def write_boxes_flat(boxes: DataFrame, path: str, format: str = "parquet") -> None:
-    from planweave.operators.walls import boxes_flat
-
+    """Write the render table of all boxes."""
     boxes_flat(boxes).write.mode("overwrite").format(format).save(path)
