@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from planweave.llm.common import read
+from planweave.llm.simhash import near_duplicates
 from planweave.llm.sharding import shard_documents
 from planweave.llm.url_filter import judge_urls
 
 
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read(spark, folder, "documents"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(read(spark, folder, "documents"))
 
@@ -20,7 +25,7 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_sharding, op9_url_filter)}
+    return {f.__name__: f for f in (op1_simhash, op7_sharding, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
