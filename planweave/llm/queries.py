@@ -7,15 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from planweave.llm.common import read
-from planweave.llm.simhash import near_duplicates
+from planweave.llm.packing import pack
 from planweave.llm.sharding import shard_documents
+from planweave.llm.simhash import near_duplicates
+from planweave.llm.token_counts import token_counts
 from planweave.llm.url_filter import judge_urls
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(read(spark, folder, "documents"))
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(read(spark, folder, "documents"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(read(spark, folder, "documents"))
 
@@ -24,9 +36,11 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(read(spark, folder, "pages"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op7_sharding, op9_url_filter)}
+def queries() -> dict[str, Query]:
+    named = [f for name, f in globals().items() if name.startswith("op")]
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None of the operators has an SQL form: hashing, checksums, tokenizers and models are not in it."""
     return {}
