@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from planweave.llm.common import read
 from planweave.llm.packing import pack
+from planweave.llm.pii import digest, personal_data
 from planweave.llm.sharding import shard_documents
 from planweave.llm.simhash import near_duplicates
 from planweave.llm.token_counts import token_counts
@@ -20,6 +21,10 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"))
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return digest(personal_data(read(spark, folder, "documents")))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(read(spark, folder, "documents"))
 
