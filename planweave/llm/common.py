@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def utf8(column: str) -> Column:
 def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``most`` bytes of ``text``, at least one row."""
     for batch in batches:
-        sizes = [len(x) for x in batch.column(text)] if batch.num_rows else []
+        sizes = pc.binary_length(batch.column(text)).to_pylist()
         first = total = 0
         for n, size in enumerate(sizes):
             if total and total + size > most:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from planweave.llm.common import read
+from planweave.llm.language_id import identify
 from planweave.llm.packing import pack
 from planweave.llm.pii import digest, personal_data
 from planweave.llm.sharding import shard_documents
@@ -29,6 +30,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(read(spark, folder, "documents"))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(read(spark, folder, "documents"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read(spark, folder, "documents"))
 
