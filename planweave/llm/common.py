@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,14 @@ from pyspark.sql import functions as F
 
 from planweave.storage import materialize, shared_folder
 
-__all__ = ["materialize", "read", "shared_folder", "slices", "utf8"]
+__all__ = ["materialize", "read", "shared_folder", "slices", "stored", "utf8"]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``materialize``, in half the space: for tables of digests or texts."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from planweave.llm.common import read
 from planweave.llm.language_id import identify
+from planweave.llm.merkle import document_fingerprints
 from planweave.llm.packing import pack
 from planweave.llm.pii import digest, personal_data
 from planweave.llm.sharding import shard_documents
@@ -42,6 +43,10 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(read(spark, folder, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return document_fingerprints(read(spark, folder, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(read(spark, folder, "pages"))
 
