@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from planweave.llm.common import read
+from planweave.llm.decontaminate import contaminated
 from planweave.llm.language_id import identify
 from planweave.llm.merkle import document_fingerprints
 from planweave.llm.packing import pack
@@ -35,6 +36,10 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(read(spark, folder, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read(spark, folder, "documents"))
 
