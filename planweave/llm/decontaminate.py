@@ -213,6 +213,23 @@ _MATCH = pa.struct([
 ])
 
 
+def _matcher(held):
+    """A function from the name of a text column to its matches with the broadcast items."""
+
+    def matched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out: list = []
+            for part in slices([pa.record_batch([batch], ["data"])], "data", 1 << 20):
+                out += held.value.matches([x.as_py().decode("utf-8", "replace") for x in part.column("data")])
+            yield pa.array(out, pa.list_(_MATCH))
+
+    def column(name: str) -> Column:
+        kind = "array<struct<item: bigint, edits: bigint, start: bigint, end: bigint, similarity: double>>"
+        return arrow_udf(matched, kind)(utf8(name))
+
+    return column
+
+
 def match_columns(items: DataFrame, key: str = "item_id", text: str = "text", most: int = ITEM_CHARACTERS):
     """For each pass, the items it looks for and a function from a text column's name to its matches.
 
@@ -226,18 +243,7 @@ def match_columns(items: DataFrame, key: str = "item_id", text: str = "text", mo
         made = Items([tuple(r) for r in block.collect()])
         held = spark.sparkContext.broadcast(made)
 
-        def matched(batches: Iterator[pa.Array], held=held) -> Iterator[pa.Array]:
-            for batch in batches:
-                out: list = []
-                for part in slices([pa.record_batch([batch], ["data"])], "data", 1 << 20):
-                    out += held.value.matches([x.as_py().decode("utf-8", "replace") for x in part.column("data")])
-                yield pa.array(out, pa.list_(_MATCH))
-
-        def column(name: str, matched=matched) -> Column:
-            kind = "array<struct<item: bigint, edits: bigint, start: bigint, end: bigint, similarity: double>>"
-            return arrow_udf(matched, kind)(utf8(name))
-
-        yield made.ids, column
+        yield made.ids, _matcher(held)
 
 
 def contaminated(
