@@ -182,10 +182,11 @@ def digest(found: DataFrame) -> DataFrame:
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
+    def number(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint")
+
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
-    counts = [
-        F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE
-    ]
+    counts = [number(k).alias(f"n_{k}") for k in BASE]
     return found.select(
         "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
         F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0)).alias("highest_score"),
