@@ -14,6 +14,7 @@ from planweave.llm.packing import pack
 from planweave.llm.pii import digest, personal_data
 from planweave.llm.sharding import shard_documents
 from planweave.llm.simhash import near_duplicates
+from planweave.llm.suffix_dedup import remove_repeats
 from planweave.llm.token_counts import token_counts
 from planweave.llm.url_filter import judge_urls
 
@@ -56,6 +57,10 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(read(spark, folder, "pages"))
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(read(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     named = [f for name, f in globals().items() if name.startswith("op")]
     return {f.__name__: f for f in named}
