@@ -1,12 +1,69 @@
-"""A training-data pipeline over the documents table, one operator per stage."""
+"""A training-data pipeline over the documents table, one operator per stage.
+
+Every stage takes what its predecessor kept and reads whole texts. Stages but the last return the
+columns they were given, in the same order; columns that a stage does not name pass through.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from planweave.llm.common import read, stored
+from planweave.llm.decontaminate import match_columns
+from planweave.llm.language_id import prediction_column, train
+from planweave.llm.packing import pack
+from planweave.llm.pii import redacted_column
+from planweave.llm.simhash import near_duplicates
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a language that the models know; null and letterless texts go."""
+    rejected = prediction_column(spark, train(docs), "text")["rejected"]
+    return docs.filter(~rejected)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the lowest id of each group of near duplicates.
+
+    Rows that share an id are one document, and one of them stays. A row without an id cannot be
+    named by a group and stays.
+    """
+    kept = stored(near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct())
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    named = (
+        docs.join(kept, "doc_id", "left_semi").withColumn("__row_of_id", F.row_number().over(one)).filter("__row_of_id = 1")
+        .select(*docs.columns)
+    )
+    return named.unionByName(docs.filter("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item, or one within a fifth of its length in edits."""
+    for _, column in match_columns(read(spark, sf_dir, "benchmark")):
+        docs = docs.filter(F.size(column("text")) == 0)
+    return docs
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by the name of its kind; ``n_chars`` follows the text."""
+    return docs.withColumn("text", redacted_column("text")).withColumn(
+        "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)
+    ).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the texts into sequences of 1024 ids."""
+    return pack(docs)
 
-from planweave.llm.common import materialize, read
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("private_data", private_data),
+    ("packing", packing),
+]
 
 #: Language models, edit distances and packing have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
@@ -15,5 +72,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return docs
