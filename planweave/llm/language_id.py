@@ -179,9 +179,11 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = batch.column("lang").to_pylist()
         texts = [x.as_py().decode("utf-8", "replace") for x in batch.column("data")]
         for name in sorted(set(names)):
-            gram, _, times, _ = counted(["\n".join(t for t, n in zip(texts, names) if n == name)])
+            gram, _, times, _ = counted([t for t, n in zip(texts, names) if n == name])
+            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.empty(0, np.int64)
+            total = np.add.reduceat(times, first) if len(gram) else times
             yield pa.record_batch(
-                [pa.array([name] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(times)],
+                [pa.array([name] * len(first), pa.string()), pa.array(gram[first].astype(np.int64)), pa.array(total)],
                 ["lang", "gram", "n"],
             )
 
