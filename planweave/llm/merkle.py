@@ -52,7 +52,7 @@ def leaves(text: str) -> list[str]:
             out += [line] if line else []
             continue
         for sentence in _SENTENCE.split(line):
-            out += [sentence] if len(sentence) <= LONG else _own_cuts(sentence)
+            out += _own_cuts(sentence) if len(sentence) > LONG else [sentence] if sentence else []
     return out
 
 
