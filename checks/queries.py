@@ -130,7 +130,7 @@ def category_counts(spark, folder):
 @query
 def category_lists(spark, folder):
     """Split by category and concatenated again, counted by list."""
-    union = S.category_union(S.category_split(D.segments(spark, folder)))
+    union = S.category_union(D.segments(spark, folder))
     return union.groupBy("category", "category_order").agg(
         F.count("*").alias("segments"), F.sum("seq").alias("seq_sum")
     )
@@ -421,7 +421,7 @@ def drawing_text(spark, folder):
 @query
 def drawing_round_trip(spark, folder):
     """Segments to drawing text and back."""
-    texts = dxf.write_dxf_text(D.segments(spark, folder)).select("plan_id", "text")
+    texts = dxf.write_dxf_text(D.segments(spark, folder))
     return dxf.dxf_segments(texts).select(
         "plan_id", "seq", "layer", "source_type", *_round(4, "x1", "y1", "x2", "y2")
     )
@@ -430,13 +430,13 @@ def drawing_round_trip(spark, folder):
 @query
 def drawing_tags(spark, folder):
     """Code counts of the written drawings."""
-    texts = dxf.write_dxf_text(D.segments(spark, folder)).select("plan_id", "text")
+    texts = dxf.write_dxf_text(D.segments(spark, folder))
     return dxf.dxf_tags(texts).groupBy("plan_id", "code").agg(F.count("*").alias("tags"))
 
 
 @query
 def drawing_entities(spark, folder):
-    texts = dxf.write_dxf_text(D.segments(spark, folder)).select("plan_id", "text")
+    texts = dxf.write_dxf_text(D.segments(spark, folder))
     found = dxf.dxf_entities(texts)
     skipped = entities.skipped_entities(found)
     return skipped.join(dxf.dxf_units(texts), "plan_id")
@@ -445,7 +445,7 @@ def drawing_entities(spark, folder):
 @query
 def line_segments(spark, folder):
     """LINE entities with their coordinates, read from drawing text."""
-    texts = dxf.write_dxf_text(D.segments(spark, folder)).select("plan_id", "text")
+    texts = dxf.write_dxf_text(D.segments(spark, folder))
     found = dxf.dxf_entities(texts).filter(F.col("type") == "LINE")
     return entities.entity_segments(found).select(
         "plan_id", F.col("rec").cast("bigint").alias("rec"), "layer",

@@ -275,12 +275,9 @@ stacked as (
                                rows between unbounded preceding and 1 preceding), 0.0) as y,
          max(w) over (partition by plan_id, side) as col_w
   from sided),
-firsts as (
-  select plan_id, room_type, min(room_no) as first_no from sided where side = 'main'
-  group by plan_id, room_type),
 labels as (
-  select plan_id, string_agg(upper(room_type[1]) || room_type[2:], ' / ' order by first_no) as label
-  from firsts group by plan_id),
+  select plan_id, string_agg(upper(room_type[1]) || room_type[2:], ' / ' order by room_no) as label
+  from sided where side = 'main' group by plan_id),
 sizes0 as (
   select plan_id, {sizes}, coalesce(max(w) filter (side = 'side'), 0.0::double) as side_w,
          coalesce(sum(h) filter (side = 'side'), 0.0::double) as side_h,

@@ -91,7 +91,7 @@ def _nested_walls(boxes: DataFrame, profile: str, part_lines: int) -> DataFrame:
     spread = F.col("plan_lines") > F.greatest(F.lit(part_lines), F.lit(DENSE_PLAN_LINES))
     part = F.when(
         spread,
-        F.floor(F.col("seq") / part_lines)
+        1 + F.floor(F.col("seq") / part_lines)
         + F.when(F.col("paired"), 0).otherwise(F.lit(_UNPAIRED_STEP)),
     ).otherwise(F.lit(0))
     item = F.struct((~F.col("paired")).alias("single"), "seq", _box_struct(profile).alias("box"))
@@ -107,8 +107,9 @@ def assemble_model(
 ) -> DataFrame:
     """Nested model rows: walls array, floors array (none or one) and metadata.
 
-    One row per plan, with ``part_no`` 0. A plan of more than ``part_lines`` lines is spread
-    over several rows of bounded size; its walls are the arrays in ``part_no`` order.
+    Every plan has one row with ``part_no`` 0, which alone holds metadata and floors. A plan of more
+    than ``part_lines`` lines continues in further rows of bounded size that hold nothing but walls;
+    its walls are the arrays in ``part_no`` order.
     """
     floors = F.when(
         F.col("minx").isNotNull(),
@@ -133,13 +134,14 @@ def assemble_model(
     bounds = F.when(F.col("minx").isNotNull(), F.struct("minx", "miny", "maxx", "maxy"))
     head = model_metadata(boxes, stats).select(
         "plan_id",
+        F.lit(0).cast("bigint").alias("part_no"),
         F.struct(*meta_fields, bounds.alias("bounds"), "format").alias("metadata"),
         F.coalesce(floors, F.filter(floors, lambda f: F.lit(False)), F.array()).alias("floors"),
     )
     walls = _nested_walls(boxes, profile, part_lines)
-    return head.join(walls, "plan_id", "left").select(
+    return head.join(walls, ["plan_id", "part_no"], "full").select(
         "plan_id",
-        F.coalesce("part_no", F.lit(0)).cast("bigint").alias("part_no"),
+        "part_no",
         "metadata",
         F.coalesce("walls", F.filter("walls", lambda w: F.lit(False)), F.array()).alias("walls"),
         "floors",
@@ -213,7 +215,9 @@ def result_rows(
     profile: str = "v2",
     part_lines: int = PART_LINES,
 ) -> DataFrame:
-    """One result per plan (per model part): success, error, warnings, scale, counts and model.
+    """One result per plan: success, error, warnings, scale, counts and model.
+
+    A model of several parts continues in rows of the same plan that hold its walls alone.
 
     ``plans`` lists all plans with ``plan_id, source_type, parse_error``; a plan with a parse
     error fails alone. Without it every plan in ``stats`` counts as a readable drawing. Without
@@ -265,8 +269,10 @@ def result_rows(
     models = assemble_model(boxes, stats, profile, part_lines).select(
         "plan_id", "part_no", F.struct("metadata", "walls", "floors").alias("model")
     )
-    return (
-        result.join(models, "plan_id", "left")
-        .withColumn("model", F.when(F.col("success"), F.col("model")))
-        .withColumn("part_no", F.coalesce("part_no", F.lit(0).cast("bigint")))
+    whole = result.join(models, "plan_id", "left").withColumn(
+        "part_no", F.coalesce("part_no", F.lit(0).cast("bigint"))
     )
+    once = {
+        c: F.when(F.col("part_no") == 0, F.col(c)) for c in ("error", "warnings", "applied_scale", "stats")
+    }
+    return whole.withColumns({**once, "model": F.when(F.col("success"), F.col("model"))})

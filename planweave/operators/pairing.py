@@ -160,35 +160,23 @@ def pair_candidates(lines: DataFrame, dense_lines: int | None = DENSE_PLAN_LINES
     )
 
 
-def pair_candidates_v1(
-    lines: DataFrame, dense_lines: int | None = DENSE_PLAN_LINES
-) -> DataFrame:
+def pair_candidates_v1(lines: DataFrame) -> DataFrame:
     """First rule set: midpoints at most 1 m apart, no lower limit, no buckets.
 
-    In plans above ``dense_lines`` lines the midpoints also meet on a 1 m grid with its eight
-    neighbours, which loses no pair; small plans join on the plan alone.
+    Midpoints meet on a 1 m grid with its eight neighbours, which loses no pair and spreads a plan of
+    any size over its cells.
     """
     base = _line_columns(lines)
-    near, shared = base, ["plan_id"]
-    if dense_lines is not None:
-        dense = F.col("plan_lines") > dense_lines
-        mx, my = G.midpoint(G.ends())
-        reach = K.V1_MAX_PAIR_DISTANCE * 1.001
-        zero = F.lit(0).cast("bigint")
-        base = base.withColumns(
-            {
-                "cx": F.when(dense, F.floor(mx / reach)).otherwise(zero),
-                "cy": F.when(dense, F.floor(my / reach)).otherwise(zero),
-            }
+    mx, my = G.midpoint(G.ends())
+    reach = K.V1_MAX_PAIR_DISTANCE * 1.001
+    base = base.withColumns({"cx": F.floor(mx / reach), "cy": F.floor(my / reach)})
+    near = base
+    for name in ("cx", "cy"):
+        near = near.withColumn("_step", F.explode(F.array(*(F.lit(n) for n in (-1, 0, 1))))).withColumn(
+            name, F.col(name) + F.col("_step")
         )
-        steps = F.when(dense, F.array(*(F.lit(n) for n in (-1, 0, 1)))).otherwise(F.array(F.lit(0)))
-        near = base
-        for name in ("cx", "cy"):
-            near = near.withColumn("_step", F.explode(steps)).withColumn(
-                name, F.col(name) + F.col("_step")
-            )
-        near = near.drop("_step")
-        shared += ["cx", "cy"]
+    near = near.drop("_step")
+    shared = ["plan_id", "cx", "cy"]
     a, b = G.ends("a_"), G.ends("b_")
     return (
         _renamed(base, "a_", shared)

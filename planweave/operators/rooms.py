@@ -149,22 +149,17 @@ def layout_open_plan(rooms: DataFrame, open_w: float = 8.0, open_h: float = 5.5)
     """One merged living space of the given size left, the remaining rooms right of it.
 
     Rooms may carry ``open_w`` and ``open_h`` per plan instead of the arguments. The space is
-    named after its room types in list order, each type once.
+    named after the types of all its rooms in list order.
     """
     for name, value in (("open_w", open_w), ("open_h", open_h)):
         if name not in rooms.columns:
             rooms = rooms.withColumn(name, F.lit(float(value)))
     tagged = rooms.withColumn("side", _side_rule("open-plan"))
     sizes = _column_sizes(tagged, F.max("open_w"), F.max("open_h"))
-    types = (
-        tagged.filter(F.col("side") == "main")
-        .groupBy("plan_id", "room_type")
-        .agg(F.min("room_no").alias("first"))
-    )
-    label = types.groupBy("plan_id").agg(
+    label = tagged.filter(F.col("side") == "main").groupBy("plan_id").agg(
         F.array_join(
             F.transform(
-                F.sort_array(F.collect_list(F.struct("first", F.initcap("room_type").alias("label")))),
+                F.sort_array(F.collect_list(F.struct("room_no", F.initcap("room_type").alias("label")))),
                 lambda t: t["label"],
             ),
             " / ",

@@ -24,13 +24,11 @@ def category_split(segments: DataFrame) -> dict[str, DataFrame]:
     return {name: tagged.filter(F.col("category") == name) for name in CATEGORIES}
 
 
-def category_union(parts: dict[str, DataFrame]) -> DataFrame:
-    """One table again; ``category_order`` and ``seq`` give the list order wall, door, window, other."""
-    result = None
-    for position, name in enumerate(CATEGORIES):
-        part = parts[name].withColumn("category_order", F.lit(position))
-        result = part if result is None else result.unionByName(part)
-    return result
+def category_union(segments: DataFrame) -> DataFrame:
+    """One table in one pass; ``category_order`` and ``seq`` give the list order wall, door, window, other."""
+    names = F.array(*(F.lit(c) for c in CATEGORIES))
+    tagged = with_category(segments)
+    return tagged.withColumn("category_order", (F.array_position(names, F.col("category")) - 1).cast("int"))
 
 
 def _bounds() -> list[Column]:

@@ -42,8 +42,10 @@ def unpaired_walls(
     height: float = K.DEFAULT_HEIGHT,
     profile: str = "v2",
 ) -> DataFrame:
-    """Walls of default thickness from the lines left over by the matching."""
+    """Walls of default thickness from the lines left over by the matching, if long enough."""
     used = matches.select("plan_id", F.explode(F.array("i", "j")).alias("seq"))
+    if profile != "v1":
+        lines = lines.filter(G.length(G.ends()) >= K.MIN_WALL_LENGTH)
     return lines.join(used, ["plan_id", "seq"], "left_anti").select(
         "plan_id",
         "seq",
@@ -70,7 +72,8 @@ def detected_walls(
     """Paired and unpaired walls together, reading lines and matches once each.
 
     Every match marks its two lines; a line marked as the first one becomes the paired wall,
-    the second one disappears and unmarked lines stay single.
+    the second one disappears and unmarked lines stay single. A single line must have the least
+    length (again: joining fragments can make a line shorter); the first rules do not ask twice.
     """
     names = ["paired", "layer", *G.Ends._fields, "thickness", "height", "confidence", "plan_lines"]
     pairs = paired_walls(matches, height, profile, keep=("j",))
@@ -84,6 +87,7 @@ def detected_walls(
         ).alias("mark"),
         F.struct(*names).alias("pair"),
     ).select("plan_id", "mark.seq", "mark.first", F.when(F.col("mark.first"), F.col("pair")).alias("pair"))
+    long_enough = F.col("first").isNotNull() | (G.length(G.ends()) >= K.MIN_WALL_LENGTH)
     single = {
         "paired": F.lit(False),
         "thickness": F.lit(float(thickness)),
@@ -92,6 +96,7 @@ def detected_walls(
     }
     return (
         lines.join(marks, ["plan_id", "seq"], "left")
+        .filter(long_enough if profile != "v1" else F.lit(True))
         .filter(F.col("first").isNull() | F.col("first"))
         .select(
             "plan_id",

@@ -82,8 +82,10 @@ def process(
     )
     if merge_fragments:
         lines = fragments.merge_fragments(lines)
-    pairs = pairing.pair_candidates_v1 if profile == "v1" else pairing.pair_candidates
-    candidates = pairs(lines, pairing.DENSE_PLAN_LINES if large_plans else None)
+    if profile == "v1":
+        candidates = pairing.pair_candidates_v1(lines)
+    else:
+        candidates = pairing.pair_candidates(lines, pairing.DENSE_PLAN_LINES if large_plans else None)
     matches = matching.greedy_match(candidates, large_plans)
     found = W.detected_walls(lines, matches, wall_thickness, wall_height, profile)
     if params is not None:

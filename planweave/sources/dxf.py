@@ -4,31 +4,75 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planweave.functions.layers import unit_name
 from planweave.operators.entities import segment_array
+from planweave.operators.jobs import admit
 
 # Lines of one drawing text row; larger plans continue in further parts.
 TEXT_PART_LINES = 50_000
 
 _ENTITIES = r"(?s)(?:^|\n)[ \t]*2[ \t]*\n[ \t]*ENTITIES[ \t]*\n(.*?\n|)[ \t]*0[ \t]*\n[ \t]*ENDSEC"
+_OPENING = r"(?s)(?:^|\n)[ \t]*2[ \t]*\n[ \t]*ENTITIES[ \t]*\n(.*)$"
+_CLOSING = r"(?s)(?:(?<=\n)|^)[ \t]*0[ \t]*\n[ \t]*ENDSEC.*$"
 _UNITS = r"\$INSUNITS[ \t]*\n[ \t]*70[ \t]*\n[ \t]*(\d+)"
 
 
 def read_drawings(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: ``plan_id`` (file name without suffix), ``path``, ``text``."""
-    return as_drawings(spark.read.text(path, wholetext=True))
+    """One row per file: ``plan_id`` (the full path), ``name``, ``source_type``, ``reject_reason``, ``text``.
 
+    A rejected file (suffix or size) has no text; its content is never read.
+    """
+    return as_drawings(spark.read.format("binaryFile").load(path))
+
+
+def as_drawings(files: DataFrame) -> DataFrame:
+    """Admitted drawings from a scan of binary files, batch or stream.
 
-def as_drawings(texts: DataFrame) -> DataFrame:
-    """Drawings from a whole-text scan, batch or stream."""
-    path = F.col("_metadata.file_path")
-    return texts.select(
-        F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1).alias("plan_id"),
-        path.alias("path"),
-        F.regexp_replace("value", "\r", "").alias("text"),
+    Files of one name in two folders are two plans, so the full path is the id.
+    """
+    admitted = admit(
+        files.select(
+            "path", "content", F.col("length").alias("size_bytes"),
+            F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),
+        )
+    )
+    vector = F.col("reject_reason").isNull() & (F.col("source_type") == "dxf")
+    return admitted.select(
+        F.col("path").alias("plan_id"),
+        F.regexp_extract("filename", r"^(.+?)(?:\.[^.]*)?$", 1).alias("name"),
+        F.coalesce("source_type", F.lit("dxf")).alias("source_type"),
+        "reject_reason",
+        F.when(vector, F.regexp_replace(F.col("content").cast("string"), "\r", "")).alias("text"),
+    )
+
+
+def decoded_path(path: Column) -> Column:
+    """A file path as it was named; file metadata hold it with percent signs. A plus stays one."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
+def _in_parts(drawings: DataFrame) -> bool:
+    """Whether the texts are parts of drawings (``part_no``), as ``write_dxf_text`` makes them."""
+    return "part_no" in drawings.columns
+
+
+def _earlier(drawings: DataFrame, size: Column) -> Column:
+    """Items in the parts before this one; a window over the parts of a plan, none for whole files."""
+    if not _in_parts(drawings):
+        return F.lit(0).cast("bigint")
+    before = Window.partitionBy("plan_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(size).over(before), F.lit(0).cast("bigint"))
+
+
+def _numbered(drawings: DataFrame, items: Column, number: str, item: str) -> DataFrame:
+    """One row per item of an array, numbered through all parts of a plan in order."""
+    listed = drawings.withColumn("_items", items)
+    listed = listed.withColumn("_before", _earlier(drawings, F.greatest(F.size("_items"), F.lit(0))))
+    return listed.select("plan_id", "_before", F.posexplode("_items").alias(number, item)).select(
+        "plan_id", (F.col("_before") + F.col(number)).alias(number), item
     )
 
 
@@ -58,14 +102,15 @@ def _tag_array(text: Column) -> Column:
 
 def dxf_tags(drawings: DataFrame) -> DataFrame:
     """All code/value pairs: ``plan_id, tag_no, code, value``."""
-    return drawings.select(
-        "plan_id", F.posexplode(_tag_array(F.col("text"))).alias("tag_no", "tag")
-    ).select("plan_id", "tag_no", "tag.code", "tag.value")
+    tags = _numbered(drawings, _tag_array(F.col("text")), "tag_no", "tag")
+    return tags.select("plan_id", F.col("tag_no").cast("int").alias("tag_no"), "tag.code", "tag.value")
 
 
 def dxf_units(drawings: DataFrame) -> DataFrame:
     """Unit name of the header; only reported, never used to choose a scale."""
     code = F.regexp_extract("text", _UNITS, 1).try_cast("int")
+    if _in_parts(drawings):
+        return drawings.groupBy("plan_id").agg(unit_name(F.max(code)).alias("units"))
     return drawings.select("plan_id", unit_name(code).alias("units"))
 
 
@@ -124,8 +169,15 @@ def _records(tags: Column) -> Column:
 
 
 def _with_entities(drawings: DataFrame) -> DataFrame:
-    """Add the model-space entities as an array; the text outside ENTITIES is cut first."""
+    """Add the model-space entities as an array; the text outside ENTITIES is cut first.
+
+    A later part of a drawing continues the section of the part before it, and the section may go on
+    in the next part.
+    """
     span = F.regexp_extract("text", _ENTITIES, 1)
+    if _in_parts(drawings):
+        opened = F.when(F.col("text").rlike(_OPENING), F.regexp_extract("text", _OPENING, 1)).otherwise(F.col("text"))
+        span = F.regexp_replace(opened, _CLOSING, "")
     records = _bound(_tag_array(span), _records)
     return drawings.withColumn(
         "entities", F.filter(F.transform(records, _entity), lambda e: ~e["paper"])
@@ -134,31 +186,30 @@ def _with_entities(drawings: DataFrame) -> DataFrame:
 
 def dxf_entities(drawings: DataFrame) -> DataFrame:
     """Entity table; ``rec`` is the position in the file. A file is one row, so nothing shuffles."""
-    return (
-        _with_entities(drawings)
-        .select("plan_id", F.posexplode("entities").alias("rec", "e"))
-        .select("plan_id", "rec", "e.*")
-        .drop("paper")
-    )
+    found = _numbered(_with_entities(drawings), F.col("entities"), "rec", "e")
+    return found.select("plan_id", F.col("rec").cast("int").alias("rec"), "e.*").drop("paper")
 
 
 def dxf_segments(drawings: DataFrame) -> DataFrame:
     """Segment table of a drawing corpus; ``seq`` is dense in file order."""
     all_segments = F.flatten(F.transform("entities", lambda e: segment_array(e)))
-    return (
-        _with_entities(drawings)
-        .select("plan_id", F.posexplode(all_segments).alias("seq", "s"))
-        .select("plan_id", F.col("seq").cast("bigint").alias("seq"), "s.*")
-    )
+    return _numbered(_with_entities(drawings), all_segments, "seq", "s").select("plan_id", "seq", "s.*")
 
 
 def drawing_plans(drawings: DataFrame) -> DataFrame:
-    """One row per drawing with its read error, if any, for ``process(plans=...)``."""
-    readable = F.col("text").rlike(_ENTITIES)
+    """One row per drawing with its reason of rejection or read error, if any, for ``process(plans=...)``."""
+    readable = F.coalesce(F.col("text").rlike(_ENTITIES), F.lit(False))
+    if _in_parts(drawings):
+        drawings = drawings.groupBy("plan_id").agg(
+            (F.bool_or(F.col("text").rlike(_OPENING)) & F.bool_or(F.col("text").rlike(_CLOSING))).alias("_readable")
+        )
+        readable = F.col("_readable")
+    kind = F.col("source_type") if "source_type" in drawings.columns else F.lit("dxf")
+    rejected = F.col("reject_reason") if "reject_reason" in drawings.columns else F.lit(None)
     return drawings.select(
         "plan_id",
-        F.lit("dxf").alias("source_type"),
-        F.when(~readable, "no ENTITIES section").alias("parse_error"),
+        kind.alias("source_type"),
+        F.coalesce(rejected, F.when(~readable, "no ENTITIES section")).alias("parse_error"),
     )
 
 

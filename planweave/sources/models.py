@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planweave.operators.numbering import with_position
 from planweave.operators.walls import boxes_flat
+from planweave.sources.dxf import decoded_path
 
 _POINT = "struct<x:double,y:double,z:double>"
 _SIZE = "struct<width:double,height:double,depth:double>"
@@ -28,47 +30,69 @@ RESULT_SCHEMA = (
 )
 
 
-def scan_models(spark: SparkSession, path: str) -> DataFrame:
-    """Result files as one table; fields a generation lacks are null.
+def scan_models(spark: SparkSession, path: str, own: bool = False) -> DataFrame:
+    """Stored results as one table; fields a generation lacks are null.
 
-    ``generation`` follows from the fields present: 1 without source type, 3 with the paired
-    count of walls, 2 between.
+    Foreign files hold one record each and are named by their file; ``own`` reads what
+    ``write_models`` wrote, many records to a file, with their stored ``plan_id`` and ``part_no``.
+    ``state`` is ``model``, ``failed`` or ``corrupt``. Only models have a ``generation``: 1 without
+    source type, 3 with the paired count of walls, 2 between.
     """
-    generation = (
+    schema = f"{RESULT_SCHEMA}, _corrupt_record string"
+    if own:
+        schema = f"plan_id string, part_no bigint, {schema}"
+    files = spark.read.schema(schema).option("multiLine", not own).option(
+        "columnNameOfCorruptRecord", "_corrupt_record"
+    ).json(path)
+    state = (
+        F.when(F.col("_corrupt_record").isNotNull(), "corrupt")
+        .when(F.coalesce("success", F.lit(False)), "model")
+        .otherwise("failed")
+    )
+    generation = F.when(
+        F.col("state") == "model",
         F.when(F.col("source_type").isNull(), 1)
         .when(F.col("stats.paired_walls").isNotNull(), 3)
-        .otherwise(2)
-    )
-    files = spark.read.schema(RESULT_SCHEMA).option("multiLine", True).json(path)
-    return files.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("plan_id"),
-        "*",
-        generation.alias("generation"),
+        .otherwise(2),
     )
+    name = [] if own else [
+        F.regexp_extract(decoded_path(F.col("_metadata.file_path")), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("plan_id"),
+        F.lit(0).cast("bigint").alias("part_no"),
+    ]
+    found = files.select(*name, "*", state.alias("state")).drop("_corrupt_record")
+    return found.withColumn("generation", generation)
+
+
+def _whole_models(models: DataFrame) -> DataFrame:
+    """One row per model: no failed or unreadable files, no further parts."""
+    if "state" in models.columns:
+        models = models.filter(F.col("state") == "model")
+    return models.filter(F.col("part_no") == 0) if "part_no" in models.columns else models
 
 
 def model_corpus_stats(models: DataFrame, keys: list[str], time: str = "processing_time_ms") -> DataFrame:
     """Per key: number of models and lowest, median and highest processing time.
 
-    Times are counted per distinct value first, so the exact median works on bounded counts.
+    The exact median is read off at the middle positions of each key's times; positions inside a
+    large key are numbered over range partitions.
     """
-    counted = models.groupBy(*keys, time).agg(F.count("*").alias("_times"))
-    return counted.groupBy(*keys).agg(
-        F.sum("_times").alias("models"),
-        F.min(time).alias("min_ms"),
-        _median(time).alias("median_ms"),
-        F.max(time).alias("max_ms"),
+    rows = _whole_models(models).select(F.struct(*keys).alias("_key"), F.col(time).alias("_time"))
+    counts = rows.groupBy("_key").agg(
+        F.count("*").alias("models"), F.count("_time").alias("_times"),
+        F.min("_time").alias("min_ms"), F.max("_time").alias("max_ms"),
     )
-
-
-def _median(time: str) -> Column:
-    return F.bround(F.percentile(time, 0.5, F.col("_times")), 4)
+    placed = with_position(rows.filter(F.col("_time").isNotNull()), "_key", [F.col("_time")], "_at")
+    middle = F.col("_at").between(F.floor((F.col("_times") - 1) / 2), F.floor(F.col("_times") / 2))
+    medians = placed.join(counts.select("_key", "_times"), "_key").filter(middle).groupBy("_key").agg(
+        F.bround(F.avg("_time"), 4).alias("median_ms")
+    )
+    return counts.join(medians, "_key", "left").select("_key.*", "models", "min_ms", "median_ms", "max_ms")
 
 
 def model_wall_totals(models: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: walls, paired walls and total wall length of the stored models."""
     meta = F.col("model.metadata")
-    return models.groupBy(*keys).agg(
+    return _whole_models(models).groupBy(*keys).agg(
         F.count("*").alias("models"),
         F.sum(meta["wall_count"]).alias("walls"),
         F.sum(meta["paired_walls"]).alias("paired_walls"),
@@ -77,11 +101,15 @@ def model_wall_totals(models: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_models(results: DataFrame, path: str, buckets: int = 64, format: str = "json") -> None:
-    """Write the successful results, spread over ``buckets`` folders; failures write nothing."""
+    """Write the successful results, spread over ``buckets`` folders; failures write nothing.
+
+    Rows of a bucket come together first, so a bucket has few files; large ones are split again.
+    """
     kept = results.filter("success").withColumn(
         "bucket", F.pmod(F.xxhash64("plan_id"), F.lit(buckets)).cast("int")
     )
-    kept.write.mode("overwrite").partitionBy("bucket").format(format).save(path)
+    together = kept.hint("rebalance", "bucket")
+    together.write.mode("overwrite").partitionBy("bucket").format(format).save(path)
 
 
 def write_boxes_flat(boxes: DataFrame, path: str, format: str = "parquet") -> None:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from planweave.operators.jobs import job_status
 from planweave.plans.process import process
 from planweave.sources.dxf import as_drawings, drawing_plans, dxf_segments
-from planweave.storage import materialize
+from planweave.storage import materialize, scratch
 
 
 def process_drawings(drawings: DataFrame, **options):
@@ -21,6 +22,14 @@ def process_drawings(drawings: DataFrame, **options):
     return process(segments, plans=materialize(drawing_plans(drawings)), **options)
 
 
+def _write_events(plans: DataFrame, path: str, step: int, status: Column) -> None:
+    """Job events of one batch: job, time, number in the job, status."""
+    plans.select(
+        F.col("plan_id").alias("job"), F.current_timestamp().alias("ts"),
+        F.lit(step).cast("bigint").alias("event_id"), status.alias("status"),
+    ).write.mode("overwrite").parquet(f"{path}/step={step}")
+
+
 def ingest_stream(
     spark: SparkSession,
     path: str,
@@ -28,27 +37,37 @@ def ingest_stream(
     checkpoint: str,
     available_now: bool = False,
     max_files: int = 10_000,
+    events: str | None = None,
     **options,
 ) -> StreamingQuery:
     """Turn new drawings under ``path`` into result rows under ``out``.
 
-    A drawing is one file, so all its lines are in one batch. Each batch replaces its own
-    ``batch=N`` folder, so a batch run again after a failure writes the same rows once.
+    A drawing is one file, so all its lines are in one batch. Files are admitted first; rejected ones
+    become result rows with the reason. Each batch replaces its own ``batch=N`` folder, so a batch
+    run again after a failure writes the same rows once, and its intermediate tables are deleted.
+    ``events`` names a folder for job events: processing before, done or error after a batch.
     """
-    texts = (
-        spark.readStream.format("text")
-        .option("wholetext", True)
+    files = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("maxFilesPerTrigger", max_files)
         .load(path)
     )
 
     def write_batch(batch: DataFrame, number: int) -> None:
-        results = process_drawings(batch, **options).results
-        results.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
+        with scratch(spark):
+            drawings = as_drawings(batch)
+            if events:
+                _write_events(drawings, f"{events.rstrip('/')}/batch={number}", 0, F.lit("processing"))
+            results = process_drawings(drawings, **options).results
+            target = f"{out.rstrip('/')}/batch={number}"
+            results.write.mode("overwrite").parquet(target)
+            if events:
+                stored = spark.read.schema(results.schema).parquet(target).filter("part_no = 0")
+                ended = F.when(F.col("success"), "done").otherwise("error")
+                _write_events(stored, f"{events.rstrip('/')}/batch={number}", 1, ended)
 
-    writer = as_drawings(texts).writeStream.foreachBatch(write_batch).option(
-        "checkpointLocation", checkpoint
-    )
+    writer = files.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -37,10 +37,15 @@ def _write(folder, files):
         (folder / name).write_bytes(text.encode())
 
 
+def _name(row):
+    """File name of a plan id without folder and suffix."""
+    return row.plan_id.rsplit("/", 1)[1].removesuffix(".dxf")
+
+
 def test_drawing_entities(spark, tmp_path):
     _write(tmp_path, {"mixed.dxf": MIXED.replace("\n", "\r\n"), "empty.dxf": HEAD + TAIL, "broken.dxf": "hello"})
     drawings = dxf.read_drawings(spark, str(tmp_path))
-    found = dxf.dxf_entities(drawings).filter("plan_id = 'mixed'").orderBy("rec").collect()
+    found = dxf.dxf_entities(drawings).filter("plan_id like '%/mixed.dxf'").orderBy("rec").collect()
     assert [r.type for r in found] == ["LINE", "LWPOLYLINE", "ARC", "POLYLINE", "TEXT", "LINE", "LINE"]
     assert found[1].closed and found[1].xs == [0, 4, 4] and found[3].xs == [1, 3]
     assert found[-1].layer == "0"
@@ -49,18 +54,18 @@ def test_drawing_entities(spark, tmp_path):
     assert [s.seq for s in segs] == list(range(18))
     skipped = entities.skipped_entities(dxf.dxf_entities(drawings)).first()
     assert (skipped.entities, skipped.skipped_entities) == (7, 2)
-    assert {r.plan_id: r.units for r in dxf.dxf_units(drawings).collect()} == {
+    assert {_name(r): r.units for r in dxf.dxf_units(drawings).collect()} == {
         "mixed": "mm", "empty": "mm", "broken": "unitless"
     }
-    errors = {r.plan_id: r.parse_error for r in dxf.drawing_plans(drawings).collect()}
+    errors = {_name(r): r.parse_error for r in dxf.drawing_plans(drawings).collect()}
     assert errors["broken"] and errors["mixed"] is None and errors["empty"] is None
-    tags = dxf.dxf_tags(drawings).filter("plan_id = 'mixed' and tag_no = 3").first()
+    tags = dxf.dxf_tags(drawings).filter("plan_id like '%/mixed.dxf' and tag_no = 3").first()
     assert (tags.code, tags.value) == (70, "4")
 
 
 def test_bad_drawing_fails_alone(spark, tmp_path):
     _write(tmp_path, {"good.dxf": MIXED, "bad.dxf": "no drawing"})
-    rows = {r.plan_id: r for r in ingest.process_drawings(dxf.read_drawings(spark, str(tmp_path))).results.collect()}
+    rows = {_name(r): r for r in ingest.process_drawings(dxf.read_drawings(spark, str(tmp_path))).results.collect()}
     assert rows["good"].success and not rows["bad"].success
     assert rows["good"].model.metadata.wall_count == 2
 
@@ -137,8 +142,9 @@ def test_pixels(spark):
 
 
 def test_category_lists(drawing):
-    parts = category_split(drawing({"a": [("WALL", 0, 0, 1, 0), ("x", 0, 0, 1, 0), ("DOOR", 0, 0, 1, 0)]}))
-    joined = category_union(parts).orderBy("category_order", "seq").collect()
+    segments = drawing({"a": [("WALL", 0, 0, 1, 0), ("x", 0, 0, 1, 0), ("DOOR", 0, 0, 1, 0)]})
+    assert {k: v.count() for k, v in category_split(segments).items()} == {"WALL": 1, "DOOR": 1, "WINDOW": 0, "OTHER": 1}
+    joined = category_union(segments).orderBy("category_order", "seq").collect()
     assert [r.category for r in joined] == ["WALL", "DOOR", "OTHER"]
 
 
