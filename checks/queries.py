@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from planweave.operators import (
 from planweave.plans.process import Processed, process
 from planweave.sources import derived as D
 from planweave.sources import dxf, models, pixels
-from planweave.storage import materialize
+from planweave.storage import materialize, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -427,6 +428,33 @@ def drawing_round_trip(spark, folder):
     )
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def stored_drawings(spark, folder):
+    """Segments to drawing parts in the shared folder, read back; small parts, so plans have several."""
+    path = _new_folder(spark, "drawings")
+    dxf.write_drawings(dxf.write_dxf_text(D.segments(spark, folder), part_lines=20), path)
+    return dxf.dxf_segments(dxf.read_stored_drawings(spark, path)).select(
+        F.col("plan_id").cast("bigint").alias("plan_id"), "seq", "layer", "source_type",
+        *_round(4, "x1", "y1", "x2", "y2"),
+    )
+
+
+@query
+def stored_models(spark, folder):
+    """Results to model files in the shared folder, read back."""
+    path = _new_folder(spark, "models")
+    models.write_models(_chain(spark, folder, plans=_all_plans(spark, folder)).results, path)
+    return models.scan_models(spark, path, own=True).filter("part_no = 0").select(
+        F.col("plan_id").cast("bigint").alias("plan_id"), "state", "generation",
+        F.col("model.metadata.wall_count").alias("wall_count"),
+        F.size("model.walls").cast("bigint").alias("stored_walls"),
+    )
+
+
 @query
 def drawing_tags(spark, folder):
     """Code counts of the written drawings."""

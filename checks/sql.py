@@ -96,14 +96,16 @@ lines as (
         from measured where length >= {shortest}))"""
 
 
-_PAIRS = """,
+def _pairs(near: str) -> str:
+    """Measures of the line pairs i < j of a plan that meet by ``near``."""
+    return f""",
 ends as (
   select a.plan_id, a.seq as i, b.seq as j, a.layer, a.length as la, b.length as lb,
          a.angle as ta, b.angle as tb,
          a.x1 as ax1, a.y1 as ay1, a.x2 as ax2, a.y2 as ay2,
          b.x1 as bx1, b.y1 as by1, b.x2 as bx2, b.y2 as by2,
          (a.x2 - a.x1) / a.length as ux, (a.y2 - a.y1) / a.length as uy
-  from lines a join lines b on a.plan_id = b.plan_id and a.seq < b.seq),
+  from {near}),
 aligned as (
   select *,
          (bx1 - ax1) * ux + (by1 - ay1) * uy as p1, (bx2 - ax1) * ux + (by2 - ay1) * uy as p2,
@@ -116,7 +118,17 @@ aligned as (
               * ((ay1 + ay2) / 2.0::double - (by1 + by2) / 2.0::double)) as between_mids
   from ends)"""
 
-_CANDIDATES = _PAIRS + """,
+# Lines stand in their 5 degree bucket; partners also stand in the next one.
+_BUCKETS = """(select *, cast(floor(angle / 5) as int) as own from lines) a
+    join (select *, unnest([cast(floor(angle / 5) as int), (cast(floor(angle / 5) as int) + 1) % 36]) as met
+          from lines) b on a.plan_id = b.plan_id and a.own = b.met and a.seq < b.seq"""
+# Midpoints stand in cells of 1.001 m; partners also stand in the cells around.
+_CELLS = """(select *, floor((x1 + x2) / 2.002) as cx, floor((y1 + y2) / 2.002) as cy from lines) a
+    join (select l.*, floor((x1 + x2) / 2.002) + dx as cx, floor((y1 + y2) / 2.002) + dy as cy from lines l,
+            (values (-1), (0), (1)) h(dx), (values (-1), (0), (1)) v(dy)) b
+      on a.plan_id = b.plan_id and a.cx = b.cx and a.cy = b.cy and a.seq < b.seq"""
+
+_CANDIDATES = _pairs(_BUCKETS) + """,
 candidates as (
   select *, across as distance from aligned
   where cast(floor(ta / 5) as int) in (cast(floor(tb / 5) as int), (cast(floor(tb / 5) as int) + 1) % 36)
@@ -125,7 +137,7 @@ candidates as (
     and greatest(0.0, pa) + 0.3::double >= least(p1, p2)
     and greatest(p1, p2) + 0.3::double >= least(0.0, pa))"""
 
-_CANDIDATES_V1 = _PAIRS + """,
+_CANDIDATES_V1 = _pairs(_CELLS) + """,
 candidates as (
   select *, between_mids as distance from aligned
   where (abs(ta - tb) < 5.0 or abs(abs(ta - tb) - 180.0) < 5.0)
@@ -166,7 +178,8 @@ walls as (
   union all
   select plan_id, seq, false, layer, x1, y1, x2, y2, {thickness}::double, {height}::double, 0.8::double
   from lines l
-  where not exists (select 1 from matches m where m.plan_id = l.plan_id and l.seq in (m.i, m.j))),
+  where length >= 0.1::double
+    and not exists (select 1 from matches m where m.plan_id = l.plan_id and l.seq in (m.i, m.j))),
 sized as (
   select *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as length,
          greatest(thickness, 0.05::double) as thick from walls),
@@ -188,7 +201,8 @@ walls as (
   union all
   select plan_id, seq, false, layer, x1, y1, x2, y2, 0.2::double, 3.0::double
   from lines l
-  where not exists (select 1 from matches m where m.plan_id = l.plan_id and l.seq in (m.i, m.j))),
+  where length >= 0.1::double
+    and not exists (select 1 from matches m where m.plan_id = l.plan_id and l.seq in (m.i, m.j))),
 sized as (
   select *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as length,
          greatest(thickness, 0.05::double) as thick from walls),
@@ -222,6 +236,50 @@ _V1_LINES = _SEGMENTS + _stats("1.0::double", "false", bounds_scaled=False) + _l
 _V1_WALLS = _V1_LINES + _CANDIDATES_V1 + _MATCHES + _WALLS_V1
 
 
+# One step of the walk for all plans at once: the first free line that continues the chain's end, or
+# else the first free line as the next chain's start.
+_FRAGMENTS = _AUTO + _lines("0.1::double").replace("\nlines as (", "\npieces as (") + """,
+walk as (
+  select plan_id, 0 as step, [min(seq)] as used, min(seq) as seed, min(seq) as tail,
+         arg_min(x2, seq) as ex, arg_min(y2, seq) as ey
+  from pieces group by plan_id
+  union all
+  select plan_id, step + 1, list_append(used, coalesce(follower, fresh)), coalesce(seed_if, fresh),
+         coalesce(follower, fresh), fx, fy
+  from (
+    select plan_id, step, used, case when follower is null then null else seed end as seed_if, follower, fresh,
+           case when follower is null then nx else case when turned then fx1 else fx2 end end as fx,
+           case when follower is null then ny else case when turned then fy1 else fy2 end end as fy
+    from (
+      select plan_id, any_value(step) as step, any_value(used) as used, any_value(seed) as seed,
+             min(seq) filter (fits) as follower, min(seq) as fresh,
+             arg_min(x2, seq) as nx, arg_min(y2, seq) as ny,
+             arg_min(to_end < to_start, seq) filter (fits) as turned,
+             arg_min(x1, seq) filter (fits) as fx1, arg_min(y1, seq) filter (fits) as fy1,
+             arg_min(x2, seq) filter (fits) as fx2, arg_min(y2, seq) filter (fits) as fy2
+      from (
+        select w.plan_id, w.step, w.used, w.seed, l.seq, l.x1, l.y1, l.x2, l.y2,
+               sqrt((l.x1 - ex) * (l.x1 - ex) + (l.y1 - ey) * (l.y1 - ey)) as to_start,
+               sqrt((l.x2 - ex) * (l.x2 - ex) + (l.y2 - ey) * (l.y2 - ey)) as to_end,
+               least(abs(t.angle - l.angle), 180.0 - abs(t.angle - l.angle)) <= 5.0
+                 and abs(((l.y1 + l.y2) / 2 - (t.y1 + t.y2) / 2) * ((t.x2 - t.x1) / t.length)
+                         - ((l.x1 + l.x2) / 2 - (t.x1 + t.x2) / 2) * ((t.y2 - t.y1) / t.length)) <= 0.015::double
+                 and least(to_start, to_end) <= 0.5::double as fits
+        from walk w
+        join pieces t on t.plan_id = w.plan_id and t.seq = w.tail
+        join pieces l on l.plan_id = w.plan_id and not list_contains(w.used, l.seq))
+      group by plan_id))),
+chains as (
+  select plan_id, seed, arg_max(ex, step) as x2, arg_max(ey, step) as y2 from walk group by plan_id, seed),
+joined as (
+  select c.plan_id, c.seed as seq, p.layer, p.x1, p.y1, c.x2, c.y2,
+         sqrt((c.x2 - p.x1) * (c.x2 - p.x1) + (c.y2 - p.y1) * (c.y2 - p.y1)) as length
+  from chains c join pieces p on p.plan_id = c.plan_id and p.seq = c.seed),
+lines as (
+  select *, case when a < 0 then a + 180.0::double else a end as angle
+  from (select *, degrees(atan2(y2 - y1, x2 - x1)) % 180.0::double as a from joined where length > 1e-6))"""
+
+
 def _with(ctes: str, select: str) -> str:
     return f"with {ctes.strip().lstrip(',')}\n{select}"
 
@@ -430,11 +488,11 @@ measured as (
 lines as (
   select *, case when a < 0 then a + 180.0::double else a end as angle from measured),
 next_ends as (
-  select a.plan_id, a.seq, a.length as la, b.length as lb, a.angle as ta, b.angle as tb,
-         a.x1 as ax1, a.y1 as ay1, a.x2 as ax2, a.y2 as ay2,
-         b.x1 as bx1, b.y1 as by1, b.x2 as bx2, b.y2 as by2,
-         (a.x2 - a.x1) / a.length as ux, (a.y2 - a.y1) / a.length as uy
-  from lines a join lines b on a.plan_id = b.plan_id and a.seq + 1 = b.seq),
+  select plan_id, seq, length as la, angle as ta, x1 as ax1, y1 as ay1, x2 as ax2, y2 as ay2,
+         (x2 - x1) / length as ux, (y2 - y1) / length as uy,
+         lead(length) over w as lb, lead(angle) over w as tb, lead(x1) over w as bx1,
+         lead(y1) over w as by1, lead(x2) over w as bx2, lead(y2) over w as by2
+  from lines window w as (partition by plan_id order by seq) qualify lead(seq) over w is not null),
 placed as (
   select *, (bx1 - ax1) * ux + (by1 - ay1) * uy as p1, (bx2 - ax1) * ux + (by2 - ay1) * uy as p2,
          (ax2 - ax1) * ux + (ay2 - ay1) * uy as pa,
@@ -683,6 +741,13 @@ def oracle_sql() -> dict[str, str]:
                   round(hi * uy + "offset" * 0.03::double * ux, 4) + 0.0 as y2,
                   round(hi - lo, 4) + 0.0 as length from islands""",
     )
+    q["merge_fragments"] = "with recursive" + _with(
+        _FRAGMENTS, f"select plan_id, seq, {_rounded(4, *_ENDS, 'length')} from lines"
+    ).removeprefix("with")
+    q["merged_walls"] = "with recursive" + _with(
+        _FRAGMENTS + _CANDIDATES + _MATCHES + _walls() + _METADATA,
+        "select plan_id, wall_count, total_wall_length, paired_walls from metadata",
+    ).removeprefix("with")
     q["pixel_segments"] = _with(_PIXELS, "select * from pixel_segments")
     q["pixel_facts"] = _with(
         _PIXELS + """,
@@ -738,6 +803,13 @@ def oracle_sql() -> dict[str, str]:
     q["drawing_round_trip"] = _with(
         _SEGMENTS, f"select plan_id, seq, layer, source_type, {_rounded(4, *_ENDS)} from segments"
     )
+    q["stored_drawings"] = q["drawing_round_trip"]
+    q["stored_models"] = _with(
+        _AUTO_WALLS + _METADATA + _PLANS,
+        """select plan_id, 'model' as state, 3 as generation, coalesce(wall_count, 0) as wall_count,
+                  coalesce(wall_count, 0) as stored_walls
+           from plans left join metadata using (plan_id) where parse_error is null""",
+    )
     q["drawing_tags"] = _with(
         _SEGMENTS + ", sized as (select plan_id, count(*) as n from segments group by plan_id)",
         """select plan_id, code, n * per_line + fixed as tags

@@ -257,3 +257,13 @@ def write_dxf_text(
             F.when(F.col("part_no") == F.col("last"), tail).otherwise(""),
         ).alias("text"),
     )
+
+
+def write_drawings(texts: DataFrame, path: str) -> None:
+    """Store drawing texts of any size as parts: ``plan_id, part_no, text``."""
+    texts.select(F.col("plan_id").cast("string").alias("plan_id"), "part_no", "text").write.mode("overwrite").parquet(path)
+
+
+def read_stored_drawings(spark: SparkSession, path: str) -> DataFrame:
+    """Stored drawing parts, for all readers of drawings."""
+    return spark.read.schema("plan_id string, part_no bigint, text string").parquet(path)
