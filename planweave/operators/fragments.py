@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,22 +17,21 @@ from planweave.operators.touching import large_plan_groups
 _OUT = (
     "seq bigint, layer string, x1 double, y1 double, x2 double, y2 double, length double"
 )
-
-
 _COLUMNS = ["plan_id", "seq", "layer", "x1", "y1", "x2", "y2", "length"]
-# Lines of a group up to which all continuations are looked up at once.
-_TABLE_LINES = 512
+# Tails whose continuations are looked up together; bounds the table of a large group.
+_TABLE_ROWS = 512
 
 
 def _walker(
-    columns: list[str], table_lines: int, parallel: float, aside_limit: float, gap: float
-) -> Callable[[pa.Table], pa.Table]:
-    """The walk over one group; self-contained, so that workers need nothing but pyarrow and numpy."""
-
-    def walk(group: pa.Table) -> pa.Table:
-        group = group.sort_by("seq")
-        start = np.column_stack([group["x1"].to_numpy(), group["y1"].to_numpy()])
-        end = np.column_stack([group["x2"].to_numpy(), group["y2"].to_numpy()])
+    columns: list[str], table_rows: int, parallel: float, aside_limit: float, gap: float
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The walk over sorted groups; self-contained, so that workers need nothing but pyarrow and numpy.
+
+    Rows come sorted by group and ``seq``; the rows of a group may continue in the next batch.
+    """
+
+    def chains(start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[tuple[float, float]]]:
+        """First line and last end of every chain of one group."""
         n = len(start)
         step = end - start
         size = np.sqrt((step**2).sum(axis=1))
@@ -39,26 +39,32 @@ def _walker(
         unit = np.where(size[:, None] > 1e-9, step / np.maximum(size, 1e-300)[:, None], [1.0, 0.0])
         middle = (start + end) / 2
 
-        def continuing(tails: slice, tip: np.ndarray) -> np.ndarray:
-            """Which lines may follow each tail whose free end is ``tip``."""
+        def continuing(tails: slice) -> tuple[list, list]:
+            """For each tail, by its free end, the lines in order that may follow it."""
             turn = np.abs(angle[tails, None] - angle)
-            offset = middle - middle[tails, None]
+            offset = middle[None] - middle[tails, None]
             aside = np.abs(
                 offset[..., 1] * unit[tails, None, 0] - offset[..., 0] * unit[tails, None, 1]
             )
-            near = np.minimum(
-                ((start - tip[tails, None]) ** 2).sum(axis=-1),
-                ((end - tip[tails, None]) ** 2).sum(axis=-1),
-            )
-            return (
-                (np.minimum(turn, 180 - turn) <= parallel)
-                & (aside <= aside_limit)
-                & (np.sqrt(near) <= gap)
-            )
-
-        tips = (start, end)
-        table = [continuing(slice(0, n), tip) for tip in tips] if n <= table_lines else None
-        free = np.ones(n, dtype=bool)
+            along = (np.minimum(turn, 180 - turn) <= parallel) & (aside <= aside_limit)
+            out = []
+            for tip in (start, end):
+                near = np.minimum(
+                    ((start - tip[tails, None]) ** 2).sum(axis=-1),
+                    ((end - tip[tails, None]) ** 2).sum(axis=-1),
+                )
+                rows, found = np.nonzero(along & (np.sqrt(near) <= gap))
+                cuts = np.searchsorted(rows, np.arange(1, tails.stop - tails.start)).tolist()
+                found = found.tolist()
+                out.append([found[a:b] for a, b in zip([0, *cuts], [*cuts, len(found)])])
+            return out[0], out[1]
+
+        follow: tuple[list, list] = ([], [])
+        for at in range(0, n, table_rows):
+            for held, more in zip(follow, continuing(slice(at, min(n, at + table_rows)))):
+                held += more
+        points = start.tolist(), end.tolist()
+        free = [True] * n
         seeds, lasts = [], []
         for seed in range(n):
             if not free[seed]:
@@ -66,28 +72,62 @@ def _walker(
             free[seed] = False
             tail, side = seed, 1
             while True:
-                row = table[side][tail] if table else continuing(slice(tail, tail + 1), tips[side])[0]
-                fits = row & free
-                following = int(fits.argmax())
-                if not fits[following]:
+                following = next((k for k in follow[side][tail] if free[k]), None)
+                if following is None:
                     break
-                tip = tips[side][tail]
-                to_start = ((start[following] - tip) ** 2).sum()
-                to_end = ((end[following] - tip) ** 2).sum()
+                x, y = points[side][tail]
+                (ax, ay), (bx, by) = points[0][following], points[1][following]
+                to_start = math.sqrt((ax - x) ** 2 + (ay - y) ** 2)
+                to_end = math.sqrt((bx - x) ** 2 + (by - y) ** 2)
                 free[following] = False
-                tail, side = following, 0 if np.sqrt(to_end) < np.sqrt(to_start) else 1
+                tail, side = following, 0 if to_end < to_start else 1
             seeds.append(seed)
-            lasts.append(tips[side][tail])
-        seeds, lasts = np.array(seeds, dtype=np.int64), np.array(lasts)
+            lasts.append(points[side][tail])
+        return seeds, lasts
+
+    def walked(table: pa.Table) -> pa.RecordBatch:
+        """All chains of a table of whole groups."""
+        plans, groups = table["plan_id"].to_pylist(), table["touching"].to_pylist()
+        start = np.column_stack([table["x1"].to_numpy(), table["y1"].to_numpy()])
+        end = np.column_stack([table["x2"].to_numpy(), table["y2"].to_numpy()])
+        edges = [k for k in range(1, len(plans)) if (plans[k], groups[k]) != (plans[k - 1], groups[k - 1])]
+        seeds, lasts = [], []
+        for a, b in zip([0, *edges], [*edges, len(plans)]):
+            found, ends = chains(start[a:b], end[a:b])
+            seeds += [a + k for k in found]
+            lasts += ends
+        seeds, lasts = np.array(seeds, dtype=np.int64), np.array(lasts, dtype=float).reshape(-1, 2)
         span = np.sqrt(((lasts - start[seeds]) ** 2).sum(axis=1))
         real = span > 1e-6
-        kept = group.take(pa.array(seeds[real]))
+        kept = table.take(pa.array(seeds[real]))
         firsts, lasts = start[seeds][real], lasts[real]
         values = [
             kept["plan_id"], kept["seq"], kept["layer"], pa.array(firsts[:, 0]),
             pa.array(firsts[:, 1]), pa.array(lasts[:, 0]), pa.array(lasts[:, 1]), pa.array(span[real]),
         ]
-        return pa.table(values, names=columns)
+        values = [v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for v in values]
+        return pa.RecordBatch.from_arrays(values, names=columns)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            plans, groups = batch["plan_id"].to_pylist(), batch["touching"].to_pylist()
+            last = (plans[-1], groups[-1])
+            cut = batch.num_rows
+            while cut and (plans[cut - 1], groups[cut - 1]) == last:
+                cut -= 1
+            before = held[-1] if held else None
+            if before is not None and cut == 0 and (before["plan_id"][-1].as_py(), before["touching"][-1].as_py()) == last:
+                held.append(batch)
+                continue
+            whole = [*held, batch.slice(0, cut)] if cut else held
+            if whole:
+                yield walked(pa.Table.from_batches(whole))
+            held = [batch.slice(cut)]
+        if held:
+            yield walked(pa.Table.from_batches(held))
 
     return walk
 
@@ -97,16 +137,18 @@ def merge_fragments(lines: DataFrame) -> DataFrame:
 
     From each free line in order, the first free line that continues its end is added again
     and again. The walk depends on that order, so each group of lines that could touch is
-    walked in one task. See ``touching_groups`` for how large plans are split.
+    walked in one task, many groups to an Arrow batch. See ``touching_groups`` for how large plans
+    are split.
     """
     plan_type = dict(lines.dtypes)["plan_id"]
     walk = _walker(
-        _COLUMNS, _TABLE_LINES, K.PARALLEL_TOLERANCE, K.FRAGMENT_OFFSET, K.FRAGMENT_GAP
+        _COLUMNS, _TABLE_ROWS, K.PARALLEL_TOLERANCE, K.FRAGMENT_OFFSET, K.FRAGMENT_GAP
     )
     merged = (
         touching_groups(lines)
-        .groupBy("plan_id", "touching")
-        .applyInArrow(walk, f"plan_id {plan_type}, {_OUT}")
+        .repartition("plan_id", "touching")
+        .sortWithinPartitions("plan_id", "touching", "seq")
+        .mapInArrow(walk, f"plan_id {plan_type}, {_OUT}")
     )
     # Upper limits from the input, so that the walk runs once: a chain ends at given points.
     width = F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))

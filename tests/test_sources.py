@@ -1,6 +1,7 @@
 """Drawing text, stored models, catalogs, pixel lines, streams and jobs."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from planweave.operators import entities, jobs, numbering, rooms as R, running
 from planweave.operators.stats import category_split, category_union
 from planweave.plans.process import process
 from planweave.sources import catalog, dxf, models, pixels
+from planweave.storage import shared_folder
 from planweave.streaming import ingest
 
 
@@ -70,12 +72,60 @@ def test_bad_drawing_fails_alone(spark, tmp_path):
     assert rows["good"].model.metadata.wall_count == 2
 
 
+def test_same_names_and_spaces_are_plans_of_their_own(spark, tmp_path):
+    for folder, size in (("a", 5.0), ("b b+c%41", 4.0)):
+        (tmp_path / folder).mkdir()
+        text = HEAD + f"  0\nLINE\n  8\nWALL\n 10\n0\n 20\n0\n 11\n{size}\n 21\n0\n" + TAIL
+        _write(tmp_path / folder, {"plan one.dxf": text})
+    drawings = dxf.read_drawings(spark, f"{tmp_path}/*")
+    found = ingest.process_drawings(drawings).results.collect()
+    walls = {r.plan_id.split("/")[-2]: r.model.metadata for r in found}
+    assert {k: (m.wall_count, m.total_wall_length) for k, m in walls.items()} == {"a": (1, 5.0), "b b+c%41": (1, 4.0)}
+    assert {r.name for r in drawings.collect()} == {"plan one"}
+
+
+def test_rejected_files_are_result_rows(spark, tmp_path):
+    _write(tmp_path, {"a.dxf": MIXED, "b.txt": MIXED, "c.png": "x"})
+    rows = {r.plan_id.rsplit("/", 1)[1]: r for r in ingest.process_drawings(dxf.read_drawings(spark, str(tmp_path))).results.collect()}
+    assert rows["a.dxf"].success and not rows["b.txt"].success and not rows["c.png"].success
+    assert "400: unsupported format" in rows["b.txt"].warnings[0]
+    texts = {r.name: r.text for r in dxf.read_drawings(spark, str(tmp_path)).collect()}
+    assert texts["b"] is None and texts["c"] is None and texts["a"]
+
+
+def test_large_plan_goes_through_text_and_model(spark, drawing, tmp_path):
+    lines = 60_000
+    segs = spark.range(lines).selectExpr(
+        "'a' as plan_id", "id as seq", "'WALL' as layer", "'LINE' as source_type",
+        "cast(id % 300 * 10 as double) as x1", "cast(id div 300 * 10 as double) as y1",
+        "cast(id % 300 * 10 + 5 as double) as x2", "cast(id div 300 * 10 as double) as y2",
+    )
+    texts = dxf.write_dxf_text(segs)
+    assert texts.count() == 2
+    dxf.write_drawings(texts, str(tmp_path / "texts"))
+    drawings = dxf.read_stored_drawings(spark, str(tmp_path / "texts"))
+    back = dxf.dxf_segments(drawings)
+    assert back.count() == lines and back.exceptAll(segs.select(back.columns)).count() == 0
+    assert [r.parse_error for r in dxf.drawing_plans(drawings).collect()] == [None]
+    assert [r.units for r in dxf.dxf_units(drawings).collect()] == ["meters"]
+    assert dxf.dxf_tags(drawings).agg(F.countDistinct("tag_no"), F.count("*")).first()[:2] == (6 * lines + 10,) * 2
+    found = process(segs, auto_scale=False, plans=dxf.drawing_plans(drawings))
+    models.write_models(found.results, str(tmp_path / "models"))
+    stored = models.scan_models(spark, str(tmp_path / "models"), own=True)
+    assert stored.select(F.sum(F.size("model.walls"))).first()[0] == lines
+    total = models.model_wall_totals(stored, ["source_type"]).first()
+    assert (total.models, total.walls) == (1, lines)
+    assert stored.filter("stats is not null").count() == 1
+
+
 def test_text_round_trip_in_parts(spark, drawing):
     segs = drawing({"a": [("WALL", n, 0, n, 5) for n in range(25)]})
     parts = dxf.write_dxf_text(segs, part_lines=10).orderBy("part_no").collect()
     assert len(parts) == 3
     text = "".join(p.text for p in parts)
     assert text == dxf.write_dxf_text(segs).first().text
+    in_parts = dxf.dxf_segments(dxf.write_dxf_text(segs, part_lines=10))
+    assert in_parts.exceptAll(segs.select(in_parts.columns)).count() == 0 and in_parts.count() == 25
     back = dxf.dxf_segments(spark.createDataFrame([("a", text)], "plan_id string, text string"))
     assert back.exceptAll(segs.select(back.columns)).count() == 0 and back.count() == 25
 
@@ -92,9 +142,12 @@ def test_stored_models(spark, tmp_path):
                        "model": {"metadata": meta, "walls": [dict(wall, paired=True, confidence=0.9)]},
                        "stats": {"wall_segments": 4, "paired_walls": 1}},
     }
-    _write(tmp_path, {n: json.dumps(v, indent=2) for n, v in files.items()})
+    files["failed.json"] = {"success": False, "error": "x", "processing_time_ms": 1.0}
+    _write(tmp_path, {n: json.dumps(v, indent=2) for n, v in files.items()} | {"bad.json": '{"success": tr'})
     found = models.scan_models(spark, str(tmp_path))
-    assert {r.plan_id: r.generation for r in found.collect()} == {"one": 1, "two": 2, "three": 3}
+    assert {r.plan_id: (r.state, r.generation) for r in found.collect()} == {
+        "one": ("model", 1), "two": ("model", 2), "three": ("model", 3), "failed": ("failed", None), "bad": ("corrupt", None),
+    }
     stats = {r.source_type: r for r in models.model_corpus_stats(found, ["source_type"]).collect()}
     assert stats["dxf"].models == 2 and stats["dxf"].median_ms == 55.0 and stats[None].min_ms == 40.0
     assert models.model_wall_totals(found, ["source_type"]).filter("source_type = 'dxf'").first().walls == 2
@@ -105,8 +158,8 @@ def test_written_models_leave_failures_out(spark, drawing, tmp_path):
                                   "plan_id string, source_type string, parse_error string")
     found = process(drawing({"a": [("WALL", 0, 0, 5, 0)]}), plans=plans)
     models.write_models(found.results, str(tmp_path / "out"), buckets=2)
-    stored = spark.read.json(str(tmp_path / "out"))
-    assert [r.plan_id for r in stored.collect()] == ["a"]
+    stored = models.scan_models(spark, str(tmp_path / "out"), own=True)
+    assert [(r.plan_id, r.state, r.generation) for r in stored.collect()] == [("a", "model", 3)]
     models.write_boxes_flat(found.boxes, str(tmp_path / "boxes"))
     assert spark.read.parquet(str(tmp_path / "boxes")).first().width == 5.0
 
@@ -154,7 +207,11 @@ def test_stream_gives_the_batch_results(spark, tmp_path):
     _write(source, {"a.dxf": MIXED, "b.dxf": "broken"})
 
     def run():
-        ingest.ingest_stream(spark, str(source), str(out), str(tmp_path / "cp"), available_now=True).awaitTermination()
+        before = set(os.listdir(shared_folder(spark)))
+        ingest.ingest_stream(
+            spark, str(source), str(out), str(tmp_path / "cp"), available_now=True, events=str(tmp_path / "events")
+        ).awaitTermination()
+        assert {n for n in set(os.listdir(shared_folder(spark))) - before if n.startswith("planweave-")} == set()
         return spark.read.parquet(str(out))
 
     columns = ["plan_id", "success", "warnings", "applied_scale", "stats"]
@@ -164,6 +221,9 @@ def test_stream_gives_the_batch_results(spark, tmp_path):
     batch = ingest.process_drawings(dxf.read_drawings(spark, str(source))).results.select(columns)
     assert streamed.count() == 3
     assert {str(r) for r in streamed.collect()} == {str(r) for r in batch.collect()}
+    events = spark.read.parquet(str(tmp_path / "events"))
+    status = {r.job.rsplit("/", 1)[1]: r.status for r in jobs.job_status(events).collect()}
+    assert status == {"a.dxf": "done", "b.dxf": "error", "c.dxf": "done"} and events.count() == 6
 
 
 def test_job_status_stream(spark, tmp_path):
