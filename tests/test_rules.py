@@ -188,6 +188,7 @@ def test_large_model_is_written_in_parts(spark, drawing):
     whole = model.assemble_model(found.boxes, found.stats)
     assert whole.count() == 1
     parts = model.assemble_model(found.boxes, found.stats, part_lines=400).orderBy("part_no").collect()
-    assert len(parts) == 3
+    assert len(parts) == 4
+    assert [p.metadata is not None for p in parts] == [True, False, False, False]
     joined = [w for p in parts for w in p.walls]
     assert joined == whole.first().walls

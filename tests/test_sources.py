@@ -108,7 +108,7 @@ def test_large_plan_goes_through_text_and_model(spark, drawing, tmp_path):
     assert back.count() == lines and back.exceptAll(segs.select(back.columns)).count() == 0
     assert [r.parse_error for r in dxf.drawing_plans(drawings).collect()] == [None]
     assert [r.units for r in dxf.dxf_units(drawings).collect()] == ["meters"]
-    assert dxf.dxf_tags(drawings).agg(F.countDistinct("tag_no"), F.count("*")).first()[:2] == (6 * lines + 10,) * 2
+    assert dxf.dxf_tags(drawings).agg(F.countDistinct("tag_no"), F.count("*")).first()[:2] == (6 * lines + 9,) * 2
     found = process(segs, auto_scale=False, plans=dxf.drawing_plans(drawings))
     models.write_models(found.results, str(tmp_path / "models"))
     stored = models.scan_models(spark, str(tmp_path / "models"), own=True)
