@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from planweave.llm import sql
 from planweave.llm.common import read
 from planweave.llm.decontaminate import contaminated
 from planweave.llm.language_id import identify
@@ -67,5 +68,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the operators has an SQL form: hashing, checksums, tokenizers and models are not in it."""
-    return {}
+    """SQL where it can express an operator: the others hash, check or model in ways that it lacks."""
+    return {"op9_url_filter": sql.URL_FILTER, "op10_suffix_dedup": sql.SUFFIX_DEDUP}

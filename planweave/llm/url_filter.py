@@ -2,7 +2,7 @@
 
 Two smoothed variable-order Markov models are counted over all distinct URLs that a rule accepts or
 rejects. A URL that no rule fits is judged by the difference of its log-likelihoods per character
-against a threshold calibrated on a fifth of the ruled URLs that the counts leave out.
+against a threshold calibrated on 3 in 16 of the ruled URLs, which the counts leave out.
 
 URLs are mapped to an alphabet of 39 characters before counting, so a model of order 4 has at most
 39 + 39^2 + 39^3 + 39^4 = 2.4 million grams whatever the input is. That bounds what is broadcast
@@ -22,7 +22,7 @@ from planweave.llm.common import materialize
 
 ORDER = 4
 ALPHABET = 39
-HELD_OUT = 5  # one distinct ruled URL in so many calibrates the threshold
+HELD_OUT = 3  # of 16 distinct ruled URLs so many calibrate the threshold
 BIN = 0.01  # width of a calibration bin, in nats per character
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (
@@ -72,6 +72,11 @@ def _places(urls: DataFrame) -> DataFrame:
     return urls.select("*", last).select("*", *grams).drop("letters", "at")
 
 
+def held_out(key: Column) -> Column:
+    """Whether a URL calibrates the threshold, by the first digit of its hash."""
+    return F.conv(F.substring(F.md5(key), 1, 1), 16, 10).cast("int") < HELD_OUT
+
+
 def ratio_model(ruled: DataFrame) -> DataFrame:
     """``gram, ratio``: log of the accepted over the rejected probability of each seen gram.
 
@@ -115,7 +120,8 @@ def score_urls(urls: DataFrame, model: DataFrame) -> DataFrame:
         level = model.filter(F.length("gram") == k).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))
         places = places.join(F.broadcast(level), f"g{k}", "left")
     ratio = F.coalesce(*(F.col(f"r{k}") for k in range(ORDER, 0, -1)), F.lit(0.0))
-    means = places.groupBy("key").agg(F.avg(ratio).alias("score"))
+    # Rounded, so that the order of the sum is no matter.
+    means = places.groupBy("key").agg(F.round(F.avg(ratio), 6).alias("score"))
     return urls.join(means, "key", "left")
 
 
@@ -127,7 +133,7 @@ def calibrated_threshold(scored: DataFrame) -> float:
     """
     edge = int(20 / BIN)
     bins = (
-        scored.select(F.greatest(F.lit(-edge), F.least(F.lit(edge), F.floor(F.col("score") / BIN))).alias("bin"), "good")
+        scored.select(F.greatest(F.lit(-edge), F.least(F.lit(edge), F.floor(F.col("score") / BIN + 1e-9))).alias("bin"), "good")
         .groupBy("bin").agg(F.count(F.when(F.col("good"), 1)).alias("a"), F.count(F.when(~F.col("good"), 1)).alias("b"))
     )
     rows = sorted(bins.collect())
@@ -140,7 +146,7 @@ def calibrated_threshold(scored: DataFrame) -> float:
         if gain > best:
             best, at = gain, r.bin
         a, b = a + r.a, b + r.b
-    return at * BIN
+    return round(at * BIN, 2)
 
 
 def judge_urls(
@@ -160,8 +166,7 @@ def judge_urls(
     ).select(
         F.concat_ws("", "host", "path").alias("key"), _letters(F.col("host"), F.col("path")).alias("letters"),
         (F.col("ruled") == "allow").alias("good"),
-        (F.pmod(F.xxhash64("host", "path"), F.lit(HELD_OUT)) == 0).alias("held_out"),
-    ).dropDuplicates(["key"])
+    ).dropDuplicates(["key"]).withColumn("held_out", held_out(F.col("key")))
     model = materialize(ratio_model(distinct.filter("good is not null and not held_out")))
     scored = materialize(score_urls(distinct, model).select("key", "score", "good", "held_out"))
     threshold = calibrated_threshold(scored.filter("good is not null and held_out"))
