@@ -6,7 +6,7 @@ so an edit moves no cut but those beside it. Sections are runs of leaves that en
 says so, and the root hashes the sections' digests. Equal roots mean equal texts. In unequal trees,
 equal sections are skipped as a whole and the differing branches lead to the leaves that were edited.
 
-A fingerprint is ``root:leaves``: 32 hex digits, and 6 for each leaf. Section borders follow from the
+A fingerprint is ``root:leaves``: 32 hex digits, and 5 for each leaf. Section borders follow from the
 leaves' digits, so the tree can be built again from it.
 """
 
@@ -30,7 +30,7 @@ from planweave.llm.common import stored, utf8
 
 LONG = 80
 SECTION = 8  # leaves of a section on average
-_DIGITS = 6
+_DIGITS = 5
 _SENTENCE = re.compile(r"(?<=[.!?;:,] )")
 
 
