@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -36,6 +37,7 @@ CALIBRATION_DOCS = 4_000
 SLACK, FAR = 1.5, 2.0
 #: Symbols that count at most for the width of the deviation, and for the score.
 _WIDE, _SCORE_SYMBOLS = 2_000, 20
+_SLICE = 1 << 20  # bytes of texts scored at once
 _PIECE = 1 << 21  # characters taken at once; a longer text is the sum of its pieces
 _DOC_BITS = 64 - ORDER * BITS
 UNKNOWN = "und"
@@ -50,7 +52,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     hashed = SYMBOLS - 512 + (code * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(512)
     symbol = np.where(code < SYMBOLS - 512, code, hashed)
     symbol[~(letter | np.array([k == "M" for k in kinds]))] = 0
-    return symbol.astype(np.uint64), letter
+    return symbol.astype(np.uint16), letter
 
 
 def grams(text: str) -> np.ndarray:
@@ -60,7 +62,7 @@ def grams(text: str) -> np.ndarray:
     if not letter[code].any():
         return np.empty(0, np.uint64)
     signs = symbol[code]
-    signs = signs[(signs > 0) | np.append(True, signs[:-1] > 0)]
+    signs = signs[(signs > 0) | np.append(True, signs[:-1] > 0)].astype(np.uint64)
     signs = np.concatenate((np.zeros(ORDER - 1, np.uint64), signs, np.zeros(1, np.uint64)))
     packed = np.zeros(len(signs) - ORDER + 1, np.uint64)
     for k in range(ORDER):
@@ -76,7 +78,8 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             found = grams(text[at : at + _PIECE])
             total[n] += len(found)
             keys.append(found << np.uint64(_DOC_BITS) | np.uint64(n))
-    keys = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
+    keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+    keys.sort()
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
     times = np.diff(np.append(first, len(keys)))
     keys = keys[first]
@@ -175,7 +178,7 @@ def held_out(key: str) -> Column:
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "data"):
+    for batch in slices(batches, "data", 2 * _SLICE):
         names = batch.column("lang").to_pylist()
         texts = [x.as_py().decode("utf-8", "replace") for x in batch.column("data")]
         for name in sorted(set(names)):
@@ -224,12 +227,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         held = contexts if k == 1 else contexts.join(
             kept.select("lang", F.shiftright("gram", BITS).alias("context")).distinct(), ["lang", "context"]
         )
-        grams_, contexts_ = kept.select("lang", "gram", "n").toPandas(), held.toPandas()
-        for name, rows in grams_.groupby("lang"):
-            at = contexts_[contexts_.lang == name]
+        grams_, contexts_ = kept.select("lang", "gram", "n").toArrow(), held.toArrow()
+        for name in pc.unique(grams_["lang"]).to_pylist():
+            rows, at = (t.filter(pc.equal(t["lang"], name)) for t in (grams_, contexts_))
             found.setdefault(name, []).append((
-                rows.gram.to_numpy(np.uint64), rows.n.to_numpy(float), at.context.to_numpy(np.uint64),
-                at.total.to_numpy(float), at.kinds.to_numpy(float), min(0.95, max(0.05, once[name])),
+                rows["gram"].to_numpy().astype(np.uint64), rows["n"].to_numpy().astype(float),
+                at["context"].to_numpy().astype(np.uint64), at["total"].to_numpy().astype(float),
+                at["kinds"].to_numpy().astype(float), min(0.95, max(0.05, once[name])),
             ))
         level = level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)).alias("gram")).agg(
             F.count("*").alias("n")
@@ -254,7 +258,7 @@ def _calibrate(made: Identifier, taught: DataFrame) -> None:
     held = spark.sparkContext.broadcast(made)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "data"):
+        for batch in slices(batches, "data", _SLICE):
             entropy, symbols = held.value.entropies([x.as_py().decode("utf-8", "replace") for x in batch.column("data")])
             names = batch.column("lang").to_pylist()
             at = [held.value.names.index(n) if n in held.value.models else -1 for n in names]
@@ -264,11 +268,13 @@ def _calibrate(made: Identifier, taught: DataFrame) -> None:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["lang", "entropy", "symbols"])
 
     sample = taught.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    seen = sample.select("lang", "data").mapInArrow(own, "lang string, entropy double, symbols bigint").toPandas()
-    for name, rows in seen.groupby("lang"):
-        made.usual[name] = (float(np.average(rows.entropy, weights=rows.symbols)), 0.0)
-        widest = max(made.deviation(name, e, s) for e, s in zip(rows.entropy, rows.symbols))
-        made.usual[name] = (made.usual[name][0], max(widest, 1.0))
+    seen = sample.select("lang", "data").mapInArrow(own, "lang string, entropy double, symbols bigint").toArrow()
+    for name in pc.unique(seen["lang"]).to_pylist():
+        rows = seen.filter(pc.equal(seen["lang"], name))
+        entropy, symbols = rows["entropy"].to_numpy(), rows["symbols"].to_numpy()
+        made.usual[name] = (float(np.average(entropy, weights=symbols)), 0.0)
+        widest = max(made.deviation(name, e, s) for e, s in zip(entropy, symbols))
+        made.usual[name] = (made.usual[name][0], max(float(widest), 1.0))
 
 
 def prediction_column(spark, made: Identifier, text: str) -> Column:
@@ -279,7 +285,7 @@ def prediction_column(spark, made: Identifier, text: str) -> Column:
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out: list[dict] = []
-            for part in slices([pa.record_batch([batch], ["data"])], "data"):
+            for part in slices([pa.record_batch([batch], ["data"])], "data", _SLICE):
                 out += held.value.predict([x.as_py().decode("utf-8", "replace") for x in part.column("data")])
             yield pa.array(out, kind)
 
