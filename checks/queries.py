@@ -347,6 +347,18 @@ def results_first_rules(spark, folder):
     )
 
 
+@query
+def nested_boxes(spark, folder):
+    """The walls inside the nested models, with place, size, turn and confidence."""
+    found = _chain(spark, folder, plans=_all_plans(spark, folder)).results
+    walls = found.select("plan_id", F.posexplode("model.walls").alias("place", "w")).select(
+        "plan_id", F.col("place").cast("bigint").alias("place"), "w.layer", "w.paired", "w.confidence",
+        F.col("w.position.x").alias("pos_x"), F.col("w.position.z").alias("pos_z"),
+        F.col("w.dimensions.width").alias("width"), F.col("w.dimensions.depth").alias("depth"), "w.rotation_y",
+    )
+    return walls
+
+
 @query
 def written_models(spark, folder):
     """The fields a stored result file holds, for the successful plans only."""
@@ -470,6 +482,18 @@ def drawing_entities(spark, folder):
     return skipped.join(dxf.dxf_units(texts), "plan_id")
 
 
+@query
+def mixed_drawing_entities(spark, folder):
+    """Entities, skipped entities, units and segments by kind of drawings with mixed entities."""
+    texts = D.mixed_drawings(spark, folder)
+    kinds = dxf.dxf_segments(texts).groupBy("plan_id").agg(
+        *(F.count_if(F.col("source_type") == k).alias(k.lower()) for k in ("LINE", "POLYLINE", "ARC")),
+        F.max("seq").alias("last_seq"), G.rounded(F.sum("x2"), 3).alias("x2_sum"),
+    )
+    skipped = entities.skipped_entities(dxf.dxf_entities(texts))
+    return skipped.join(dxf.dxf_units(texts), "plan_id").join(kinds, "plan_id", "left")
+
+
 @query
 def line_segments(spark, folder):
     """LINE entities with their coordinates, read from drawing text."""
@@ -620,6 +644,13 @@ def room_plan_segments(spark, folder):
     )
 
 
+@query
+def room_plan_lines(spark, folder):
+    """Every drawn segment of the generated plans."""
+    drawn = R.plan_segments_from_rooms(_placed(spark, folder))
+    return drawn.select("plan_id", "layer", "source_type", *_round(4, "x1", "y1", "x2", "y2"))
+
+
 @query
 def room_plan_walls(spark, folder):
     """Room lists to drawings and drawings to walls."""

@@ -726,6 +726,12 @@ def oracle_sql() -> dict[str, str]:
                    segments_parsed, {used} as wall_segments, coalesce(walls_detected, 0) as walls_detected
             from stats left join detected using (plan_id)""",
     )
+    q["nested_boxes"] = _with(
+        _AUTO_WALLS + _PLANS,
+        """select plan_id, row_number() over (partition by plan_id order by not paired, seq) - 1 as place,
+                  layer, paired, confidence, pos_x, pos_z, width, depth, rotation_y
+           from boxes join plans using (plan_id) where parse_error is null""",
+    )
     q["written_models"] = _with(
         _AUTO_WALLS + _METADATA + _PLANS,
         """select plan_id, coalesce(wall_count, 0) as wall_count, coalesce(wall_count, 0) as stored_walls,
@@ -821,6 +827,27 @@ def oracle_sql() -> dict[str, str]:
         """select plan_id, count(*) as entities, 0::bigint as skipped_entities, 'meters' as units
            from segments group by plan_id""",
     )
+    q["mixed_drawing_entities"] = """with
+kinds as (
+  select p_partkey // 10 as plan_id, p_partkey % 5 as kind, p_size::double as x, (p_partkey % 50)::double as y from part),
+drawn as (
+  select plan_id, 'LINE' as source_type, x + 4 as x2 from kinds where kind = 0
+  union all
+  select plan_id, 'POLYLINE', case k when 2 then x else x + 4 end from kinds, range(3) r(k) where kind = 1
+  union all
+  select plan_id, 'ARC', x + 2.5::double * cos(radians(90.0::double * (k + 1) / 12)) from kinds, range(12) r(k) where kind = 2),
+segs as (
+  select plan_id, count(*) filter (source_type = 'LINE') as line, count(*) filter (source_type = 'POLYLINE') as polyline,
+         count(*) filter (source_type = 'ARC') as arc, count(*) - 1 as last_seq, round(sum(x2), 3) + 0.0 as x2_sum
+  from drawn group by plan_id),
+found as (
+  select plan_id, count(*) as entities, count(*) filter (kind = 3) as skipped_entities
+  from kinds where kind <> 4 group by plan_id)
+select plan_id, entities, skipped_entities,
+       case plan_id % 8 when 0 then 'unitless' when 1 then 'inches' when 2 then 'feet' when 4 then 'mm' when 5 then 'cm'
+                        when 6 then 'meters' else 'code:' || (plan_id % 8) end as units,
+       line, polyline, arc, last_seq, x2_sum
+from found left join segs using (plan_id)"""
     q["line_segments"] = _with(
         _SEGMENTS, f"select plan_id, seq as rec, layer, {_rounded(4, *_ENDS)} from segments"
     )
@@ -938,6 +965,9 @@ def oracle_sql() -> dict[str, str]:
                   round(min(least(x1, x2)), 4) + 0.0 as minx, round(max(greatest(y1, y2)), 4) + 0.0 as maxy
            from all_drawn group by plan_id, layer, source_type""",
     )
+    q["room_plan_lines"] = _with(
+        both, f"select plan_id, layer, source_type, {_rounded(4, *_ENDS)} from all_drawn"
+    )
     q["upload_admission"] = _with(
         _UPLOADS,
         f"""select *, case

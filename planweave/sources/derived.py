@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planweave.operators.numbering import with_position
@@ -150,3 +150,35 @@ def request_ids(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "events").select((F.col("user_id") * 2).alias("job")).distinct()
     )
+
+
+def mixed_drawings(spark: SparkSession, folder: str) -> DataFrame:
+    """Drawing texts of ten parts each: lines, closed polylines, arcs, texts and lines in paper space."""
+    x, y = F.col("p_size").cast("string"), (F.col("p_partkey") % 50).cast("string")
+    far = (F.col("p_size") + 4).cast("string")
+
+    def record(kind: str, *pairs) -> Column:
+        values = [F.lit(f"  0\n{kind}\n  8\nWALL\n")]
+        for code, value in pairs:
+            values += [F.lit(f"{code:3d}\n"), value if isinstance(value, Column) else F.lit(str(value)), F.lit("\n")]
+        return F.concat(*values)
+
+    ends = ((10, x), (20, y), (11, far), (21, y))
+    entity = (
+        F.when(F.col("p_partkey") % 5 == 0, record("LINE", *ends))
+        .when(F.col("p_partkey") % 5 == 1, record("LWPOLYLINE", (70, 1), (10, x), (20, y), (10, far), (20, y), (10, far), (20, "99")))
+        .when(F.col("p_partkey") % 5 == 2, record("ARC", (10, x), (20, y), (40, "2.5"), (50, 0), (51, 90)))
+        .when(F.col("p_partkey") % 5 == 3, record("TEXT", (1, "ENTITIES"), (10, x), (20, y)))
+        .otherwise(record("LINE", (67, 1), *ends))
+    )
+    rows = table(spark, folder, "part").select(
+        F.expr("p_partkey div 10").alias("plan_id"), F.struct("p_partkey", entity.alias("text")).alias("item")
+    )
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("item")), lambda r: r["text"]), "")
+    head = F.concat(
+        F.lit("  0\nSECTION\n  2\nHEADER\n  9\n$INSUNITS\n 70\n"), (F.col("plan_id") % 8).cast("string"),
+        F.lit("\n  0\nENDSEC\n  0\nSECTION\n  2\nENTITIES\n"),
+    )
+    return rows.groupBy("plan_id").agg(body.alias("body")).select(
+        "plan_id", F.concat(head, "body", F.lit("  0\nENDSEC\n  0\nEOF\n")).alias("text")
+    )
