@@ -103,22 +103,22 @@ def _above(c0, c1, c2, radius: int):
 
 def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links from each fingerprint to the first one of its component among ``prints``."""
-    label = np.arange(len(prints))
-    for k in range(0, len(prints), LANES):
-        a, b = np.nonzero(near(prints, prints[k : k + LANES]))
-        a += k
-        a, b = a[a != b], b[a != b]
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            if (low == label[a]).all() and (low == label[b]).all():
+    n, label = len(prints), np.arange(len(prints))
+    for k in range(0, n, LANES):
+        linked = near(prints, prints[k : k + LANES])
+        while True:
+            lowest = np.where(linked, label, n).min(axis=1)
+            low = np.minimum(np.where(linked, lowest[:, None], n).min(axis=0), label)
+            moved = np.flatnonzero(low < label)
+            if not len(moved):
                 break
-            for side in (a, b):
-                np.minimum.at(label, label[side], low)
-                np.minimum.at(label, side, low)
+            before = label[moved]
+            label[moved] = low[moved]
+            np.minimum.at(label, before, low[moved])
             label = label[label]
     while (label != label[label]).any():
         label = label[label]
-    linked = label != np.arange(len(prints))
+    linked = label != np.arange(n)
     return prints[linked], prints[label[linked]]
 
 
