@@ -18,7 +18,8 @@ from planweave.storage import materialize
 FOLD_CANDIDATES = 20_000
 # Lowest lines of a large plan settled together per round, and candidates they may take.
 _PREFIX_LINES = 8_192
-_PREFIX_CANDIDATES = 1_000_000
+_PREFIX_CANDIDATES = 200_000
+_SALTS = 64
 
 
 def _accept_in_order(candidates: DataFrame) -> DataFrame:
@@ -99,12 +100,16 @@ def _leading_lines(edges: DataFrame) -> DataFrame:
     The lines before the n-th one use up at most 2n lines, so its nearest 2n + 1 partners are
     enough for an exact answer. Lines are taken while their candidates stay within a budget.
     """
+    # The lowest lines of each salt hold the lowest lines of the plan, so no window sees a whole plan.
+    in_salt = Window.partitionBy("plan_id", F.pmod("i", F.lit(_SALTS))).orderBy("i")
     in_order = Window.partitionBy("plan_id").orderBy("i")
     nearest = Window.partitionBy("plan_id", "i").orderBy("distance", "j")
     needed = F.least(F.col("count"), 2 * F.col("_rank") - 1)
     lowest = (
         edges.groupBy("plan_id", "i")
         .count()
+        .withColumn("_rank", F.row_number().over(in_salt))
+        .filter(F.col("_rank") <= _PREFIX_LINES)
         .withColumn("_rank", F.row_number().over(in_order))
         .filter(F.col("_rank") <= _PREFIX_LINES)
         .withColumn("_needed", needed)
