@@ -31,12 +31,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/planweave-{uuid.uuid4().hex}"
     schema = df.schema
-    if _scopes:
-        _scopes[-1].append(path)
+    register(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def register(path: str) -> None:
+    """Count ``path`` among the intermediate tables of the enclosing ``scratch``, if any."""
+    if _scopes:
+        _scopes[-1].append(path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete, at the end, what is materialized inside; for work whose results are written inside too."""
