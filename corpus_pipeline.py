@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planweave.llm.common import read, stored
+from planweave.llm.common import read, scratch, stored
 from planweave.llm.decontaminate import match_columns
 from planweave.llm.language_id import prediction_column, train
 from planweave.llm.packing import pack
@@ -72,5 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        # What a stage writes on the way is deleted once its result is stored.
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), keep=True)
     return docs

@@ -10,14 +10,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.storage import materialize, shared_folder
+from planweave.storage import materialize, register, scratch, shared_folder
 
-__all__ = ["materialize", "read", "shared_folder", "slices", "stored", "utf8"]
+__all__ = ["materialize", "read", "scratch", "slices", "stored", "utf8"]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``materialize``, in half the space: for tables of digests or texts."""
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Like ``materialize``, in half the space: for tables of digests or texts.
+
+    With ``keep`` the table outlives an enclosing ``scratch``.
+    """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    if not keep:
+        register(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
