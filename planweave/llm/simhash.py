@@ -109,15 +109,12 @@ def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while True:
             lowest = np.where(linked, label, n).min(axis=1)
             low = np.minimum(np.where(linked, lowest[:, None], n).min(axis=0), label)
-            moved = np.flatnonzero(low < label)
-            if not len(moved):
+            if (low == label).all():
                 break
-            before = label[moved]
-            label[moved] = low[moved]
-            np.minimum.at(label, before, low[moved])
-            label = label[label]
-    while (label != label[label]).any():
-        label = label[label]
+            # Roots alone are hooked, to the lowest label a member is linked to, so no tree is split.
+            np.minimum.at(label, label.copy(), low)
+            while (label != label[label]).any():
+                label = label[label]
     linked = label != np.arange(n)
     return prints[linked], prints[label[linked]]
 

@@ -107,6 +107,22 @@ def test_hot_block_pairs_are_cut_without_losing_links(spark, chunk):
     assert roots(links, prints) == brute_groups({p: p for p in prints})
 
 
+def test_forest_keeps_every_link_of_many_lanes():
+    rng = random.Random(6)
+    for _ in range(3):
+        prints = set()
+        while len(prints) < 3000:
+            value = rng.getrandbits(64)
+            for _ in range(150):
+                prints.add(value)
+                for k in rng.sample(range(64), rng.randrange(2, 5)):
+                    value ^= 1 << k
+        prints = np.array(sorted(prints), np.uint64)
+        a, b = simhash.forest(prints)
+        links = list(zip(a.tolist(), b.tolist()))
+        assert roots(links, prints.tolist()) == brute_groups({p: p for p in prints.tolist()})
+
+
 def test_odd_rows(odd):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
