@@ -49,6 +49,21 @@ def test_further_kinds_need_checksum_or_context():
     assert near.kind == far.kind == "card" and near.score > far.score
 
 
+def test_accounts_end_before_what_follows_them():
+    german, british, norwegian = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947"
+    for text, expected in (
+        (f"{german} BIC COBADEFF", [german]), (f"{german} 1500 EUR", [german]), (f"{german} {british}", [german, british]),
+        (f"{german} {german} {norwegian} 7", [german, german, norwegian]), (f"AB12 {german} X", [german]),
+        (f"AB12 CD34 {british} {norwegian}", [british, norwegian]), (f"{german}x {british}", [british]), (german + "0", []),
+        (f"({german}), {norwegian}.", [german, norwegian]), ("DE89 3704 0044 0532 0130 01 BIC COBADEFF", []),
+        (german, [german]), (f"{german}\n{british} PAYABLE TO ME NOW", [german, british]),
+    ):
+        found = [text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"]
+        assert found == expected, text
+        assert not any(x in pii.redacted(text, pii.find(text)) for x in expected)
+    pii.find("DE89 " * 100_000 + "DE893704" * 50_000)
+
+
 def test_redaction_merges_overlaps():
     text = "x a@1.2.3.4 y +1 555 555 5555 z"
     assert pii.redacted(text, pii.find(text)) == "x [email] y [phone] z"
