@@ -351,23 +351,26 @@ def results_first_rules(spark, folder):
 def nested_boxes(spark, folder):
     """The walls inside the nested models, with place, size, turn and confidence."""
     found = _chain(spark, folder, plans=_all_plans(spark, folder)).results
-    walls = found.select("plan_id", F.posexplode("model.walls").alias("place", "w")).select(
-        "plan_id", F.col("place").cast("bigint").alias("place"), "w.layer", "w.paired", "w.confidence",
+    parts = materialize(found.select("plan_id", "part_no", "model.walls"))
+    return model.placed_walls(parts).select(
+        "plan_id", "place", "w.layer", "w.paired", "w.confidence",
         F.col("w.position.x").alias("pos_x"), F.col("w.position.z").alias("pos_z"),
         F.col("w.dimensions.width").alias("width"), F.col("w.dimensions.depth").alias("depth"), "w.rotation_y",
     )
-    return walls
 
 
 @query
 def written_models(spark, folder):
     """The fields a stored result file holds, for the successful plans only."""
     found = _chain(spark, folder, plans=_all_plans(spark, folder))
-    return found.results.filter("success").select(
-        "plan_id", F.col("model.metadata.wall_count").alias("wall_count"),
-        F.size("model.walls").cast("bigint").alias("stored_walls"),
-        F.size("model.floors").cast("bigint").alias("stored_floors"),
-        F.col("model.metadata.format").alias("format"),
+    rows = found.results.filter("success").select(
+        "plan_id", "part_no", "model.metadata", "model.floors", F.size("model.walls").cast("bigint").alias("size"),
+    )
+    return rows.groupBy("plan_id").agg(
+        model.of_head("metadata.wall_count").alias("wall_count"),
+        F.sum("size").alias("stored_walls"),
+        model.of_head(F.size("floors").cast("bigint")).alias("stored_floors"),
+        model.of_head("metadata.format").alias("format"),
     )
 
 
@@ -460,10 +463,13 @@ def stored_models(spark, folder):
     """Results to model files in the shared folder, read back."""
     path = _new_folder(spark, "models")
     models.write_models(_chain(spark, folder, plans=_all_plans(spark, folder)).results, path)
-    return models.scan_models(spark, path, own=True).filter("part_no = 0").select(
-        F.col("plan_id").cast("bigint").alias("plan_id"), "state", "generation",
-        F.col("model.metadata.wall_count").alias("wall_count"),
-        F.size("model.walls").cast("bigint").alias("stored_walls"),
+    rows = models.scan_models(spark, path, own=True).select(
+        F.col("plan_id").cast("bigint").alias("plan_id"), "part_no", "state", "generation", "model.metadata",
+        F.size("model.walls").cast("bigint").alias("size"),
+    )
+    return rows.groupBy("plan_id").agg(
+        model.of_head("state").alias("state"), model.of_head("generation").alias("generation"),
+        model.of_head("metadata.wall_count").alias("wall_count"), F.sum("size").alias("stored_walls"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave import constants as K
@@ -148,6 +148,25 @@ def assemble_model(
     )
 
 
+def of_head(value: Column | str) -> Column:
+    """In a grouping by plan: the value of part 0, which alone holds what is said once of a model."""
+    return F.max(F.when(F.col("part_no") == 0, F.col(value) if isinstance(value, str) else value))
+
+
+def placed_walls(parts: DataFrame) -> DataFrame:
+    """``plan_id, place, w`` of every wall; ``place`` runs through a plan's parts in ``part_no`` order.
+
+    The first place of a part comes from a window over one narrow row per part. ``parts`` is read twice.
+    """
+    earlier = Window.partitionBy("plan_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = parts.select("plan_id", "part_no", F.size("walls").cast("bigint").alias("size")).select(
+        "plan_id", "part_no", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("first")
+    )
+    return parts.join(firsts, ["plan_id", "part_no"]).select(
+        "plan_id", "first", F.posexplode("walls").alias("at", "w")
+    ).select("plan_id", (F.col("first") + F.col("at")).alias("place"), "w")
+
+
 def warning_texts(
     source_type: Column,
     wall_segments: Column,

@@ -192,3 +192,26 @@ def test_large_model_is_written_in_parts(spark, drawing):
     assert [p.metadata is not None for p in parts] == [True, False, False, False]
     joined = [w for p in parts for w in p.walls]
     assert joined == whole.first().walls
+
+
+def test_queries_read_all_parts_of_a_large_model(spark, drawing, monkeypatch):
+    from types import SimpleNamespace
+
+    from checks import queries as Q
+
+    lines = [("WALL", 0, 2.0 * n, 3, 2.0 * n) for n in range(1100)]
+    found = process(drawing({"7": lines, "8": lines[:3]}), auto_scale=False)
+    rows = model.result_rows(None, found.stats, found.walls, found.boxes, part_lines=400)
+    assert rows.filter("plan_id = '7'").count() == 4
+    monkeypatch.setattr(Q, "_all_plans", lambda *_: None)
+    monkeypatch.setattr(Q, "_chain", lambda *_, **__: SimpleNamespace(results=rows))
+    stored = {r.plan_id: r for r in Q.stored_models(spark, "").collect()}
+    assert {k: (r.state, r.generation, r.wall_count, r.stored_walls) for k, r in stored.items()} == {
+        7: ("model", 3, 1100, 1100), 8: ("model", 3, 3, 3)
+    }
+    written = sorted(tuple(r) for r in Q.written_models(spark, "").collect())
+    assert written == [("7", 1100, 1100, 1, "floorplan-json-v1"), ("8", 3, 3, 1, "floorplan-json-v1")]
+    places = Q.nested_boxes(spark, "").filter("plan_id = '7'").orderBy("place").collect()
+    assert [r.place for r in places] == list(range(1100))
+    whole = model.assemble_model(found.boxes, found.stats).filter("plan_id = '7'").first().walls
+    assert [r.pos_z for r in places] == [w.position.z for w in whole]
