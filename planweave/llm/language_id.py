@@ -6,8 +6,8 @@ space. Four symbols are one 44-bit key, and a model's keys stand in sorted array
 search. The prediction is the language of the lowest cross-entropy per symbol; a text whose
 cross-entropy is far outside of what calibration documents of that language show is rejected.
 
-Counts cover all training documents. What is broadcast is the models: at most ``MOST_GRAMS`` grams of
-each order over all languages (the most frequent ones; rarer grams back off), 16 bytes each.
+Counts cover all training documents. What is broadcast is the models with all their grams, 16 bytes
+each; it grows with the distinct grams of the input, and so do the driver and every Python worker.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from planweave.llm.common import materialize, slices, utf8
 ORDER = 4
 BITS = 11
 SYMBOLS = 1 << BITS
-#: Grams kept in the models per order, over all languages.
-MOST_GRAMS = 2_000_000
 #: Labelled documents (expected number) on which the rejection is calibrated.
 CALIBRATION_DOCS = 4_000
 #: A text is rejected beyond so many times the largest deviation seen in calibration, if its
@@ -203,8 +201,12 @@ def _kept(level: DataFrame, most: int) -> DataFrame:
     return level if least is None else level.filter(F.col("n") >= least)
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MOST_GRAMS) -> Identifier:
-    """Models and calibration from the labelled documents that are not held out."""
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int | None = None) -> Identifier:
+    """Models and calibration from the labelled documents that are not held out.
+
+    All grams are kept, unless ``most`` bounds those of an order over all languages. Every language has
+    a model all the same; one without grams of an order backs off there.
+    """
     taught = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(
         F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), utf8(text).alias("data")
     )
@@ -223,12 +225,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b")
             ).collect()
         }
-        kept = _kept(level, most)
-        held = contexts if k == 1 else contexts.join(
+        kept = level if most is None else _kept(level, most)
+        held = contexts if k == 1 or most is None else contexts.join(
             kept.select("lang", F.shiftright("gram", BITS).alias("context")).distinct(), ["lang", "context"]
         )
         grams_, contexts_ = kept.select("lang", "gram", "n").toArrow(), held.toArrow()
-        for name in pc.unique(grams_["lang"]).to_pylist():
+        for name in once:
             rows, at = (t.filter(pc.equal(t["lang"], name)) for t in (grams_, contexts_))
             found.setdefault(name, []).append((
                 rows["gram"].to_numpy().astype(np.uint64), rows["n"].to_numpy().astype(float),
@@ -240,10 +242,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         )
     models = {}
     for name, orders in found.items():
-        if len(orders) == ORDER:
-            models[name] = Model()
-            for order in reversed(orders):
-                models[name].add_order(*order)
+        models[name] = Model()
+        for order in reversed(orders):
+            models[name].add_order(*order)
     made = Identifier(models)
     _calibrate(made, taught)
     return made

@@ -116,6 +116,27 @@ def test_kept_grams_are_the_most_frequent(spark):
     assert {r.n for r in L._kept(level, 12).collect()} == {3, 4}
 
 
+def test_a_rare_language_keeps_its_model_beside_a_hot_one(spark):
+    rng = np.random.default_rng(1)
+    hot = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 50_000))) for _ in range(60)]
+    rare = "thing over quick brown fox jumps lazy dog"
+    rows = [(n, x, "aa") for n, x in enumerate(hot)] + [(1002, rare, "bb")]
+    assert zlib.crc32(b"1002") % 5
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    made = L.train(docs)
+    assert len(made.models["aa"].keys[4]) > 2_000_000
+    assert set(made.models["bb"].keys[4].tolist()) == set(L.grams(rare).tolist())
+    assert made.predict(["the quick fox"])[0]["lang"] == "bb"
+
+
+def test_a_bound_on_grams_drops_no_language(spark):
+    rows = [(n, "the theory of the other thing", "aa") for n in range(40)] + [(1002, "quick brown fox", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    made = L.train(docs, most=30)
+    assert set(made.models) == {"aa", "bb"} and len(made.models["bb"].keys[4]) == 0
+    assert np.isfinite(made.entropies(["quick fox", "the thing"])[0]).all()
+
+
 def test_odd_rows(odd):
     rows = L.identify(odd).collect()
     assert len(rows) == odd.count()
