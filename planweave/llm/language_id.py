@@ -28,8 +28,6 @@ from planweave.llm.common import materialize, slices, utf8
 ORDER = 4
 BITS = 11
 SYMBOLS = 1 << BITS
-#: Labelled documents (expected number) on which the rejection is calibrated.
-CALIBRATION_DOCS = 4_000
 #: A text is rejected beyond so many times the largest deviation seen in calibration, if its
 #: cross-entropy is also beyond so many times the language's mean: repetitive or very short texts stay.
 SLACK, FAR = 1.5, 2.0
@@ -137,14 +135,15 @@ class Identifier:
         self.names = [*self.models]
         self.usual: dict[str, tuple[float, float]] = {}  # language: mean, widest deviation
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per symbol of each text and language, and the symbols of each text."""
+    def entropies(self, texts: list[str], names: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy per symbol of each text and language (all, or ``names``), and the symbols of each text."""
+        names = self.names if names is None else names
         gram, doc, times, total = counted(texts)
         first = np.append(True, gram[1:] != gram[:-1]) if len(gram) else np.empty(0, bool)
         which, distinct = np.cumsum(first) - 1, gram[first]
-        out = np.zeros((len(texts), len(self.names)))
-        for n, model in enumerate(self.models.values()):
-            logs = model.log(distinct, ORDER)
+        out = np.zeros((len(texts), len(names)))
+        for n, name in enumerate(names):
+            logs = self.models[name].log(distinct, ORDER)
             out[:, n] = -np.bincount(doc, times * logs[which], len(texts)) / np.maximum(total, 1)
         return out, total
 
@@ -251,31 +250,30 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def _calibrate(made: Identifier, taught: DataFrame) -> None:
-    """Mean and widest deviation of each language's own documents, from a bounded sample by key hash."""
-    spark, total = taught.sparkSession, taught.count()
-    if not total or not made.names:
+    """Mean and widest deviation of each language's own documents, over all that it was taught.
+
+    The documents are scored where they are; the driver gets one row per language.
+    """
+    if not made.names:
         return
-    share = min(1.0, CALIBRATION_DOCS / total)
-    held = spark.sparkContext.broadcast(made)
+    held = taught.sparkSession.sparkContext.broadcast(made)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "data", _SLICE):
-            entropy, symbols = held.value.entropies([x.as_py().decode("utf-8", "replace") for x in batch.column("data")])
             names = batch.column("lang").to_pylist()
-            at = [held.value.names.index(n) if n in held.value.models else -1 for n in names]
-            rows = [(n, float(e[a]), int(s)) for n, a, e, s in zip(names, at, entropy, symbols) if a >= 0 and s]
-            columns = list(zip(*rows)) if rows else [[], [], []]
-            kinds = (pa.string(), pa.float64(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["lang", "entropy", "symbols"])
-
-    sample = taught.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    seen = sample.select("lang", "data").mapInArrow(own, "lang string, entropy double, symbols bigint").toArrow()
-    for name in pc.unique(seen["lang"]).to_pylist():
-        rows = seen.filter(pc.equal(seen["lang"], name))
-        entropy, symbols = rows["entropy"].to_numpy(), rows["symbols"].to_numpy()
-        made.usual[name] = (float(np.average(entropy, weights=symbols)), 0.0)
-        widest = max(made.deviation(name, e, s) for e, s in zip(entropy, symbols))
-        made.usual[name] = (made.usual[name][0], max(float(widest), 1.0))
+            texts = [x.as_py().decode("utf-8", "replace") for x in batch.column("data")]
+            for name in sorted(set(names)):
+                if name in held.value.models:
+                    entropy, symbols = held.value.entropies([t for t, n in zip(texts, names) if n == name], [name])
+                    some = symbols > 0
+                    columns = [pa.array([name] * int(some.sum()), pa.string()), pa.array(entropy[some, 0]), pa.array(symbols[some])]
+                    yield pa.record_batch(columns, ["lang", "entropy", "symbols"])
+
+    seen = materialize(taught.select("lang", "data").mapInArrow(own, "lang string, entropy double, symbols bigint"))
+    means = seen.groupBy("lang").agg((F.sum(F.col("entropy") * F.col("symbols")) / F.sum("symbols")).alias("mean"))
+    deviation = (F.col("entropy") - F.col("mean")) * F.sqrt(F.least("symbols", F.lit(_WIDE)))
+    widest = seen.join(F.broadcast(means), "lang").groupBy("lang", "mean").agg(F.max(deviation).alias("widest"))
+    made.usual = {r["lang"]: (r["mean"], max(r["widest"], 1.0)) for r in widest.collect()}
 
 
 def prediction_column(spark, made: Identifier, text: str) -> Column:

@@ -129,6 +129,25 @@ def test_a_rare_language_keeps_its_model_beside_a_hot_one(spark):
     assert made.predict(["the quick fox"])[0]["lang"] == "bb"
 
 
+def test_rejection_is_calibrated_on_all_taught_documents(spark):
+    rng = random.Random(2)
+    words = {"aa": ["the", "theory", "of", "other", "thing"], "bb": ["quick", "brown", "fox", "jumps", "lazy"]}
+    rows = [(n, " ".join(rng.choice(words["aa"]) for _ in range(4)), "aa") for n in range(40_000)]
+    rows += [(n, " ".join(rng.choice(words["bb"]) for _ in range(9)), "bb") for n in range(50_000, 50_004)]
+    made = L.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    taught = [(x, lang) for n, x, lang in rows if zlib.crc32(str(n).encode()) % 5]
+    for name in ("aa", "bb"):
+        own = [x for x, lang in taught if lang == name]
+        assert own
+        entropy, symbols = made.entropies(own)
+        entropy = entropy[:, made.names.index(name)]
+        mean = np.average(entropy, weights=symbols)
+        widest = max(1.0, ((entropy - mean) * np.sqrt(np.minimum(symbols, 2000))).max())
+        assert made.usual[name] == pytest.approx((mean, widest))
+    foreign = made.predict([" ".join("zq" * 3 for _ in range(50))])[0]
+    assert foreign["rejected"]
+
+
 def test_a_bound_on_grams_drops_no_language(spark):
     rows = [(n, "the theory of the other thing", "aa") for n in range(40)] + [(1002, "quick brown fox", "bb")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
