@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from planweave.llm.clusters import CENTROIDS, COMPONENTS, ROUNDS, SCALE, SEED
+from planweave.llm.negatives import HIGH, LOW, NEGATIVES, POSITIVES
 from planweave.llm.url_filter import ALPHABET, BIN, HELD_OUT, LOWER, ORDER, RULES, UPPER
 
 
@@ -110,3 +112,61 @@ sums as (select row_no, sum(b - a)::bigint as n_removed, count(*) as n_spans fro
 select doc_id, n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
        coalesce(kept_sha256, sha256(unhex(code))) as kept_sha256
 from codes left join sums using (row_no) left join joined using (row_no)"""
+
+
+def _round(n: int) -> str:
+    """Assignment to the centroids of round ``n``."""
+    return f"""
+a{n} as materialized (
+  select r, arg_min(c, d * {CENTROIDS} + c) as c, min(d) as d
+  from (select k.r, m.c, list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, m.v) + list_inner_product(m.v, m.v) as d
+        from kept k, c{n} m) group by r)"""
+
+
+def _means(n: int) -> str:
+    """Centroids of round ``n`` from the assignment before it; an empty one stays."""
+    return f"""
+c{n} as materialized (
+  select m.c, coalesce(f.v, m.v) as v from c{n - 1} m left join (
+    select c, list(x order by pos) as v from (
+      select c, pos, floor(sum(x) / count(*)) as x
+      from (select a.c, unnest(k.v) as x, generate_subscripts(k.v, 1) as pos from kept k join a{n - 1} a using (r))
+      group by c, pos) group by c) f using (c))"""
+
+
+CLUSTERS = f"""with
+kept as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)) as v
+  from embeddings
+  where len(embedding) = {COMPONENTS} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {COMPONENTS}),
+c0 as materialized (
+  select c, v from (
+    select row_number() over (order by sha256('{SEED}' || vec_id), v) - 1 as c, v from kept where vec_id is not null)
+  where c < {CENTROIDS}),{",".join(_round(n) + "," + _means(n + 1) for n in range(ROUNDS))},{_round(ROUNDS)}
+select k.vec_id, a.c::int as cluster, a.d::bigint as distance, sum(a.d) over (partition by a.c)::bigint as cluster_inertia,
+       sum(a.d) over ()::bigint as inertia,
+       sha256(array_to_string(list_transform(m.v, lambda x: x::bigint), ',')) as centroid_sha256
+from kept k join a{ROUNDS} a using (r) join c{ROUNDS} m on m.c = a.c
+"""
+
+HARD_NEGATIVES = f"""with
+rows_ as materialized (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+scored as materialized (
+  select a.vec_id as anchor_id, r.vec_id as other_id, a.label = r.label as same,
+         list_inner_product(a.v, r.v)::bigint as score
+  from rows_ a join rows_ r on a.vec_id % 100 = 0 and r.vec_id <> a.vec_id),
+positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= {POSITIVES})
+select p.anchor_id, p.positive_id,
+       row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id)::int as rank,
+       s.other_id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
+  and {LOW} * p.positive_score <= 100 * s.score and 100 * s.score <= {HIGH} * p.positive_score
+qualify rank <= {NEGATIVES}
+"""
