@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,9 @@ from planweave.operators import (
 )
 from planweave.plans.process import Processed, process
 from planweave.sources import derived as D
-from planweave.sources import dxf, models, pixels
+from planweave.sources import catalog, dxf, models, pixels, store
 from planweave.storage import materialize, shared_folder
+from planweave.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -473,6 +475,81 @@ def stored_models(spark, folder):
     )
 
 
+def _stored(spark: SparkSession, folder: str) -> str:
+    """The models of all plans in a new store."""
+    path = _new_folder(spark, "store")
+    store.create_store(_chain(spark, folder, plans=_all_plans(spark, folder)).results, path)
+    return path
+
+
+def _stored_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("plan_id").agg(
+        model.of_head("model.metadata.wall_count").alias("wall_count"),
+        F.sum(F.size("model.walls").cast("bigint")).alias("stored_walls"),
+    ).withColumn("plan_id", F.col("plan_id").cast("bigint"))
+
+
+@query
+def stored_model_answers(spark, folder):
+    """Answers for requested jobs, with the model of the same number looked up in a store."""
+    path = _stored(spark, folder)
+    status, asked = jobs.job_status(D.job_events(spark, folder)), D.request_ids(spark, folder)
+    found = _stored_counts(store.lookup_models(spark, path, asked, "job"))
+    result = found.select(F.col("plan_id").alias("job"), F.concat(F.col("stored_walls").cast("string"), F.lit(" walls")).alias("result"))
+    return jobs.get_model(asked, status, result, profile="v1")
+
+
+@query
+def deleted_stored_models(spark, folder):
+    """What a store holds after the requested models are removed."""
+    path = _stored(spark, folder)
+    store.delete_models(spark, path, D.request_ids(spark, folder), "job")
+    return _stored_counts(store.current_store(spark, path).rows())
+
+
+@query
+def unknown_stored_models(spark, folder):
+    """Requested models that the store did not hold."""
+    missing = store.delete_models(spark, _stored(spark, folder), D.request_ids(spark, folder), "job")
+    return missing.select(F.col("plan_id").cast("bigint").alias("plan_id"))
+
+
+def _ingested(spark: SparkSession, folder: str) -> str:
+    """Drawing texts of all plans, some broken, ingested as two batches of which one is run again."""
+    path = _new_folder(spark, "ingested")
+    texts = materialize(dxf.write_dxf_text(D.segments(spark, folder)).select(
+        F.col("plan_id").cast("string").alias("plan_id"), F.lit("dxf").alias("source_type"),
+        F.when(F.col("plan_id") % 17 != 0, F.col("text")).otherwise("not a drawing").alias("text"),
+    ))
+    for number in (0, 1, 1):
+        batch = texts.filter(F.col("plan_id").cast("bigint") % 2 == number)
+        ingest.ingest_batch(batch, batch, f"{path}/results", number, f"{path}/events")
+    return path
+
+
+@query
+def ingested_results(spark, folder):
+    """Committed results of drawing texts with their events."""
+    path = _ingested(spark, folder)
+    status = jobs.job_status(ingest.read_events(spark, f"{path}/results"))
+    found = ingest.read_results(spark, f"{path}/results").filter("part_no = 0")
+    return found.join(status.withColumnRenamed("job", "plan_id"), "plan_id").select(
+        F.col("plan_id").cast("bigint").alias("plan_id"), "batch", "state", "status",
+        "stats.walls_detected", "model.metadata.total_wall_length", (F.col("processing_time_ms") > 0).alias("timed"),
+    )
+
+
+@query
+def ingested_time_stats(spark, folder):
+    """Statistics of the processing times of our own models; the times differ, so only their order is shown."""
+    found = ingest.read_results(spark, f"{_ingested(spark, folder)}/results")
+    stats = models.model_corpus_stats(found, ["source_type"])
+    return stats.select(
+        "source_type", "models",
+        ((F.col("min_ms") > 0) & (F.col("min_ms") <= F.col("median_ms")) & (F.col("median_ms") <= F.col("max_ms"))).alias("ordered"),
+    )
+
+
 @query
 def drawing_tags(spark, folder):
     """Code counts of the written drawings."""
@@ -667,6 +744,30 @@ def room_plan_walls(spark, folder):
 # Uploads and jobs
 
 
+@query
+def upload_catalog(spark, folder):
+    """Files written from a table, one folder for each source, listed with their sizes."""
+    path = _new_folder(spark, "uploads")
+    names = D.table(spark, folder, "documents").select("source", F.col("doc_id").cast("string").alias("value"))
+    names.repartition("source").write.partitionBy("source").text(path)
+    listed = catalog.upload_catalog(spark, path).filter("filename like 'part-%'")
+    return listed.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(F.sum("size_bytes").alias("size_bytes"))
+
+
+@query
+def streamed_job_status(spark, folder):
+    """Latest status per job, from a stream over the events that forgets ended jobs."""
+    path = _new_folder(spark, "status")
+    D.job_events(spark, folder).repartition(6).write.parquet(f"{path}/events")
+    events = spark.readStream.schema("job bigint, ts timestamp, event_id bigint, status string").option("maxFilesPerTrigger", 2)
+    updates = ingest.job_status_stream(events.parquet(f"{path}/events"), keep=timedelta(days=1))
+    with ingest.timers_with_data_only(spark):
+        updates.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(
+            lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/updates/batch={number}")
+        ).start().awaitTermination()
+    return ingest.latest_status(spark.read.parquet(f"{path}/updates"))
+
+
 @query
 def upload_admission(spark, folder):
     return jobs.admit(D.uploads(spark, folder))

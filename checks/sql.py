@@ -816,6 +816,35 @@ def oracle_sql() -> dict[str, str]:
                   coalesce(wall_count, 0) as stored_walls
            from plans left join metadata using (plan_id) where parse_error is null""",
     )
+    stored = (
+        _AUTO_WALLS + _METADATA + _PLANS + "," + _JOBS + """,
+stored as (
+  select plan_id, coalesce(wall_count, 0) as wall_count, coalesce(wall_count, 0) as stored_walls
+  from plans left join metadata using (plan_id) where parse_error is null)"""
+    )
+    q["stored_model_answers"] = _with(
+        stored,
+        """select job, status,
+                  case when status is null then '404: job not found' when status = 'uploaded' then '400: not yet processed'
+                       when status = 'processing' then 'processing' when stored_walls is null then '500: no result available'
+                       else 'result' end as answer,
+                  case when answer = 'result' then stored_walls || ' walls' end as result
+           from requests left join latest using (job) left join stored on plan_id = job""",
+    )
+    q["deleted_stored_models"] = _with(stored, "select * from stored where plan_id not in (select job from requests)")
+    q["unknown_stored_models"] = _with(
+        stored, "select job as plan_id from requests where job not in (select plan_id from stored)"
+    )
+    q["ingested_results"] = _with(
+        _AUTO_WALLS + _METADATA,
+        """select plan_id, plan_id % 2 as batch, case when plan_id % 17 = 0 then 'failed' else 'model' end as state,
+                  case when plan_id % 17 = 0 then 'error' else 'done' end as status,
+                  case when plan_id % 17 <> 0 then (select count(*) from sized s where s.plan_id = m.plan_id) end as walls_detected,
+                  case when plan_id % 17 <> 0 then total_wall_length end as total_wall_length, true as timed
+           from metadata m""",
+    )
+    q["ingested_time_stats"] = """select 'dxf' as source_type, count(*) as models, true as ordered
+        from (select distinct l_orderkey // 8 as plan_id from lineitem) where plan_id % 17 <> 0"""
     q["drawing_tags"] = _with(
         _SEGMENTS + ", sized as (select plan_id, count(*) as n from segments group by plan_id)",
         """select plan_id, code, n * per_line + fixed as tags
@@ -983,6 +1012,8 @@ from found left join segs using (plan_id)"""
              when size_bytes / 1048576.0::double > 50 then '413: larger than 50 MB' end as reject_reason
            from uploads""",
     )
+    q["upload_catalog"] = "select source, sum(length(doc_id::varchar) + 1)::bigint as size_bytes from documents group by source"
+    q["streamed_job_status"] = _with(_JOBS, "select job, status from latest")
     q["upload_kinds"] = _with(_UPLOADS, f"select job, {_KIND} as source_type from uploads")
     q["job_status"] = _with(_JOBS, "select job, status from latest")
     q["list_jobs"] = _with(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planweave import constants as K
 from planweave.functions.layers import unit_name
 from planweave.operators.entities import segment_array
 from planweave.operators.jobs import admit
@@ -19,36 +21,77 @@ _OPENING = r"(?s)(?:^|\n)[ \t]*2[ \t]*\n[ \t]*ENTITIES[ \t]*\n(.*)$"
 _CLOSING = r"(?s)(?:(?<=\n)|^)[ \t]*0[ \t]*\n[ \t]*ENDSEC.*$"
 _UNITS = r"\$INSUNITS[ \t]*\n[ \t]*70[ \t]*\n[ \t]*(\d+)"
 
+# Names that may be drawings, in either case, as a pattern for the file listing.
+_VECTOR_NAMES = "{" + ",".join(
+    "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix) for suffix in K.VECTOR_SUFFIXES
+) + "}"
 
-def read_drawings(spark: SparkSession, path: str) -> DataFrame:
+
+def read_drawings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per file: ``plan_id`` (the full path), ``name``, ``source_type``, ``reject_reason``, ``text``.
 
-    A rejected file (suffix or size) has no text; its content is never read.
+    Two scans: one lists all files and decides by name and size, the other opens only files that the first
+    admits as drawings. Its name pattern is applied while listing and its size limit is pushed into the
+    scan, so a rejected file is never opened, whatever its size. Files of one name in two folders are two
+    plans, so the full path is the id.
+    """
+    listed = listed_drawings(spark.read.format("binaryFile").load(path))
+    opened = spark.read.format("binaryFile").option("pathGlobFilter", _VECTOR_NAMES).load(path)
+    return opened_drawings(listed, opened)
+
+
+def read_listed(spark: SparkSession, listed: DataFrame) -> DataFrame:
+    """The same from a listing of bounded size, such as the new files of one micro-batch.
+
+    The paths of the admitted drawings pass through the driver, which lists files in any case.
     """
-    return as_drawings(spark.read.format("binaryFile").load(path))
+    paths = [r.plan_id for r in listed.filter(_is_drawing()).select("plan_id").collect()]
+    if not paths:
+        return listed.withColumn("text", F.lit(None).cast("string"))
+    plain = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]
+    return opened_drawings(listed, spark.read.format("binaryFile").load(plain))
 
 
-def as_drawings(files: DataFrame) -> DataFrame:
-    """Admitted drawings from a scan of binary files, batch or stream.
+def listed_drawings(files: DataFrame, *also: str) -> DataFrame:
+    """Admission of a scan of binary files, batch or stream, by path and length; ``also`` columns are kept.
 
-    Files of one name in two folders are two plans, so the full path is the id.
+    A drawing that is larger than this session may read into a row is rejected too.
     """
+    limit = _reader_limit(files.sparkSession)
     admitted = admit(
         files.select(
-            "path", "content", F.col("length").alias("size_bytes"),
-            F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),
+            "path", F.col("length").alias("size_bytes"),
+            F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), *also,
         )
     )
-    vector = F.col("reject_reason").isNull() & (F.col("source_type") == "dxf")
+    too_large = (F.col("source_type") == "dxf") & (F.col("size_bytes") > limit)
+    reason = F.when(too_large, F.lit(f"413: larger than the reader's limit of {limit} bytes"))
     return admitted.select(
         F.col("path").alias("plan_id"),
         F.regexp_extract("filename", r"^(.+?)(?:\.[^.]*)?$", 1).alias("name"),
         F.coalesce("source_type", F.lit("dxf")).alias("source_type"),
-        "reject_reason",
-        F.when(vector, F.regexp_replace(F.col("content").cast("string"), "\r", "")).alias("text"),
+        F.coalesce("reject_reason", reason).alias("reject_reason"),
+        *also,
     )
 
 
+def opened_drawings(listed: DataFrame, files: DataFrame) -> DataFrame:
+    """Texts of the admitted drawings among ``files``, and the other listed files without text."""
+    limit = min(_reader_limit(files.sparkSession), K.MAX_FILE_MB << 20)
+    opened = listed_drawings(files.filter(F.col("length") <= F.lit(limit)), "content").filter(_is_drawing())
+    text = F.regexp_replace(F.col("content").cast("string"), "\r", "")
+    told = listed.filter(~_is_drawing()).withColumn("text", F.lit(None).cast("string"))
+    return told.unionByName(opened.withColumn("text", text).drop("content"))
+
+
+def _is_drawing() -> Column:
+    return F.col("reject_reason").isNull() & (F.col("source_type") == "dxf")
+
+
+def _reader_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+
+
 def decoded_path(path: Column) -> Column:
     """A file path as it was named; file metadata hold it with percent signs. A plus stays one."""
     return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
@@ -190,6 +233,29 @@ def dxf_entities(drawings: DataFrame) -> DataFrame:
     return found.select("plan_id", F.col("rec").cast("int").alias("rec"), "e.*").drop("paper")
 
 
+def parsed_drawings(drawings: DataFrame) -> DataFrame:
+    """One row per whole drawing, its text read once: ``plan_id, source_type, parse_error, units, segments``."""
+    found = _with_entities(drawings)
+    return found.select(
+        "plan_id", *_plan_columns(drawings.columns, F.coalesce(F.col("text").rlike(_ENTITIES), F.lit(False))),
+        unit_name(F.regexp_extract("text", _UNITS, 1).try_cast("int")).alias("units"),
+        F.flatten(F.transform("entities", lambda e: segment_array(e))).alias("segments"),
+    )
+
+
+def parsed_segments(parsed: DataFrame) -> DataFrame:
+    """Segment table of parsed drawings; ``seq`` is dense in file order."""
+    listed = parsed.select("plan_id", F.posexplode("segments").alias("seq", "s"))
+    return listed.select("plan_id", F.col("seq").cast("bigint").alias("seq"), "s.*")
+
+
+def _plan_columns(columns: list[str], readable: Column) -> list[Column]:
+    kind = F.col("source_type") if "source_type" in columns else F.lit("dxf")
+    rejected = F.col("reject_reason") if "reject_reason" in columns else F.lit(None)
+    error = F.coalesce(rejected, F.when(~readable, "no ENTITIES section"))
+    return [kind.alias("source_type"), error.alias("parse_error")]
+
+
 def dxf_segments(drawings: DataFrame) -> DataFrame:
     """Segment table of a drawing corpus; ``seq`` is dense in file order."""
     all_segments = F.flatten(F.transform("entities", lambda e: segment_array(e)))
@@ -204,13 +270,7 @@ def drawing_plans(drawings: DataFrame) -> DataFrame:
             (F.bool_or(F.col("text").rlike(_OPENING)) & F.bool_or(F.col("text").rlike(_CLOSING))).alias("_readable")
         )
         readable = F.col("_readable")
-    kind = F.col("source_type") if "source_type" in drawings.columns else F.lit("dxf")
-    rejected = F.col("reject_reason") if "reject_reason" in drawings.columns else F.lit(None)
-    return drawings.select(
-        "plan_id",
-        kind.alias("source_type"),
-        F.coalesce(rejected, F.when(~readable, "no ENTITIES section")).alias("parse_error"),
-    )
+    return drawings.select("plan_id", *_plan_columns(drawings.columns, readable))
 
 
 def _pair(code: int, value: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,3 +53,56 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in _scopes.pop():
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Folder:
+    """Small files next to tables, through Spark's own file systems; names are created at most once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self._jvm = spark, spark._jvm
+        given = self._jvm.org.apache.hadoop.fs.Path(path)
+        self._files = given.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._path = self._files.makeQualified(given)
+        self.path = self._path.toString()
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(self._path, name)
+
+    def names(self) -> list[str]:
+        """Names inside the folder in order, without those still being written."""
+        if not self._files.exists(self._path):
+            return []
+        found = (x.getPath().getName() for x in self._files.listStatus(self._path))
+        return sorted(n for n in found if n[0] not in "._")
+
+    def create(self, name: str, content: dict) -> bool:
+        """Write ``content`` as one line of JSON under a name that must be new; False if it is taken.
+
+        The file appears whole or not at all: it is written aside and renamed, and of two writers one wins.
+        """
+        aside, target = self._at(f".{name}-{uuid.uuid4().hex}"), self._at(name)
+        out = self._files.create(aside)
+        out.write(bytearray((json.dumps(content) + "\n").encode()))
+        out.close()
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            self._path.toUri(), self.spark._jsc.hadoopConfiguration()
+        )
+        kind = getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename")
+        try:
+            context.rename(aside, target, self.spark.sparkContext._gateway.new_array(kind, 0))
+        except Exception as error:
+            self._files.delete(aside, False)
+            if "FileAlreadyExists" in str(error):
+                return False
+            raise
+        return True
+
+    def read(self, name: str) -> dict:
+        text = self.spark.read.text(self._at(name).toString(), wholetext=True).first()[0]
+        return json.loads(text)
+
+    def exists(self, name: str) -> bool:
+        return self._files.exists(self._at(name))
+
+    def delete(self, name: str) -> None:
+        self._files.delete(self._at(name), True)

@@ -2,9 +2,13 @@
 
 import json
 import os
+import shutil
+from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from planweave import storage
 from planweave.operators import entities, jobs, numbering, rooms as R, running
 from planweave.operators.stats import category_split, category_union
 from planweave.plans.process import process
@@ -93,6 +97,43 @@ def test_rejected_files_are_result_rows(spark, tmp_path):
     assert texts["b"] is None and texts["c"] is None and texts["a"]
 
 
+def test_rejected_files_are_never_opened(spark, tmp_path):
+    """Files beyond the reader's own limit, which fail a scan that opens them."""
+    (tmp_path / "deep").mkdir()
+    big = "x" * 40_000
+    _write(tmp_path, {"a.dxf": MIXED, "B.DXF": MIXED, "b.xyz": big, "c.png": big, "d.dxf": big, "e..dxf": big, "f[1]{2}*.dxf": MIXED})
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "20000")
+    try:
+        drawings = dxf.read_drawings(spark, str(tmp_path))
+        rows = {r.plan_id.rsplit("/", 1)[1]: r for r in drawings.collect()}
+        assert {n for n, r in rows.items() if r.text} == {"a.dxf", "B.DXF", "f[1]{2}*.dxf"} and len(rows) == 7
+        assert rows["b.xyz"].reject_reason.startswith("400") and rows["d.dxf"].reject_reason.startswith("413")
+        assert rows["e..dxf"].reject_reason.startswith("400") and rows["c.png"].reject_reason is None
+        scans = drawings._jdf.queryExecution().executedPlan().toString().split("FileScan binaryFile")[1:]
+        opened = [s for s in scans if "content" in s.split("ReadSchema: struct<")[1].split(">")[0]]
+        assert len(scans) == 2 and len(opened) == 1 and "LessThanOrEqual(length,20000)" in opened[0]
+        results = ingest.process_drawings(drawings).results
+        assert {r.plan_id.rsplit("/", 1)[1] for r in results.filter("success").collect()} == {"a.dxf", "B.DXF", "f[1]{2}*.dxf"}
+        ingest.ingest_stream(spark, str(tmp_path), str(tmp_path / "deep/out"), str(tmp_path / "deep/cp"), True).awaitTermination()
+        streamed = ingest.read_results(spark, str(tmp_path / "deep/out"))
+        assert streamed.filter("success").count() == 3 and streamed.count() == 7
+        listing = dxf.listed_drawings(spark.read.format("binaryFile").load(f"{tmp_path}/*.xyz"))
+        assert [r.text for r in dxf.read_listed(spark, listing).collect()] == [None]
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+
+
+def test_parsed_once(spark, tmp_path):
+    _write(tmp_path, {"mixed.dxf": MIXED, "empty.dxf": HEAD + TAIL, "broken.dxf": "hello"})
+    drawings = dxf.read_drawings(spark, str(tmp_path))
+    parsed = dxf.parsed_drawings(drawings)
+    segments, plain = dxf.parsed_segments(parsed), dxf.dxf_segments(drawings)
+    assert segments.exceptAll(plain.select(segments.columns)).count() == 0 and segments.count() == plain.count() == 18
+    told = {_name(r): (r.parse_error, r.units) for r in parsed.collect()}
+    assert told == {"mixed": (None, "mm"), "empty": (None, "mm"), "broken": ("no ENTITIES section", "unitless")}
+
+
 def test_large_plan_goes_through_text_and_model(spark, drawing, tmp_path):
     lines = 60_000
     segs = spark.range(lines).selectExpr(
@@ -226,6 +267,92 @@ def test_stream_gives_the_batch_results(spark, tmp_path):
     assert status == {"a.dxf": "done", "b.dxf": "error", "c.dxf": "done"} and events.count() == 6
 
 
+def test_batch_is_committed_once_and_whole(spark, tmp_path, monkeypatch):
+    """A failure between results and events leaves neither; a batch run again writes both once."""
+    source, out, events = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "events")
+    source.mkdir()
+    _write(source, {"a.dxf": MIXED, "b.dxf": "broken", "c.txt": "?"})
+    real = ingest._write_events
+
+    def failing(plans, path, step, status):
+        if step == 1:
+            raise RuntimeError("lost")
+        real(plans, path, step, status)
+
+    def run():
+        query = ingest.ingest_stream(spark, str(source), out, str(tmp_path / "cp"), available_now=True, events=events)
+        query.awaitTermination()
+
+    monkeypatch.setattr(ingest, "_write_events", failing)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    # Results and the first event are there, but neither counts.
+    assert spark.read.parquet(out).count() == 3 and spark.read.parquet(events).count() == 3
+    assert not os.path.exists(f"{out}/_commits/0.json")
+    monkeypatch.setattr(ingest, "_write_events", real)
+    run()
+    found = ingest.read_results(spark, out)
+    assert sorted(r.state for r in found.collect()) == ["failed", "failed", "model"]
+    assert ingest.read_events(spark, out).count() == 6
+    assert found.filter("processing_time_ms > 0").count() == 3
+    assert spark.read.parquet(out).count() == 3 and spark.read.parquet(events).count() == 6
+    stats = {r.state: r.models for r in models.model_corpus_stats(found.filter("success"), ["state"]).collect()}
+    assert stats == {"model": 1}
+    # Leftovers of a lost writer beside the committed attempt do not count, and a committed batch is left alone.
+    shutil.copytree(next((tmp_path / "out" / "batch=0").iterdir()), tmp_path / "out/batch=0/attempt=lost")
+    assert spark.read.parquet(out).count() == 6 and ingest.read_results(spark, out).count() == 3
+    listed = dxf.listed_drawings(spark.read.format("binaryFile").load(str(source)))
+    assert not ingest.ingest_batch(listed, dxf.read_drawings(spark, str(source)), out, 0, events)
+    assert ingest.read_results(spark, out).count() == 3
+
+
+def test_files_are_created_once(spark, tmp_path):
+    folder = storage.Folder(spark, str(tmp_path / "notes"))
+    assert folder.names() == [] and folder.create("1.json", {"a": 1}) and not folder.create("1.json", {"a": 2})
+    assert folder.names() == ["1.json"] and folder.read("1.json") == {"a": 1} and folder.exists("1.json")
+    folder.delete("1.json")
+    assert folder.names() == [] and not [n for n in os.listdir(tmp_path / "notes") if "json" in n and "crc" not in n]
+
+
+def _status_events(spark, rows):
+    made = spark.createDataFrame(rows, "job bigint, s bigint, event_id bigint, status string")
+    return made.select("job", F.timestamp_seconds("s").alias("ts"), "event_id", "status")
+
+
+def test_status_stream_forgets_ended_jobs(spark, tmp_path):
+    """Late and repeated events, a job in many rows, and expiry; what was written equals the batch."""
+    source, out = tmp_path / "events", str(tmp_path / "out")
+    waves = [
+        [(1, 10, 1, "uploaded"), (1, 20, 2, "processing"), (2, 10, 3, "uploaded"), (3, 5, 4, "done")]
+        + [(9, 30 + n % 7, 100 + n, "processing") for n in range(500)],
+        [(1, 15, 5, "error"), (1, 20, 2, "processing"), (2, 40, 6, "done"), (2, 40, 6, "done")],
+        [(1, 21, 7, "done"), (3, 4, 8, "uploaded"), (4, 1, 9, "uploaded")],
+        [(4, 2, 10, "processing")],
+    ]
+    stream = ingest.job_status_stream(
+        spark.readStream.schema("job bigint, ts timestamp, event_id bigint, status string").parquet(str(source / "*")),
+        keep=timedelta(milliseconds=1),
+    )
+    seen = []
+    for n, rows in enumerate(waves):
+        _status_events(spark, rows).write.parquet(str(source / f"wave{n}"))
+        with ingest.timers_with_data_only(spark):
+            query = (
+                stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
+                .foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).trigger(availableNow=True).start()
+            )
+            query.awaitTermination()
+        seen.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    written = spark.read.parquet(out)
+    batch = jobs.job_status(_status_events(spark, [r for w in waves for r in w]))
+    assert {tuple(r) for r in ingest.latest_status(written).collect()} == {tuple(r) for r in batch.collect()}
+    assert written.filter("job = 9").count() == 1 and written.filter("job = 2").count() == 2
+    # Jobs 1 and 2 have ended and are forgotten, 3 was too and came back with a late event; 4 and 9 go on.
+    assert seen[-1] == 3 < max(seen)
+    with pytest.raises(ValueError):
+        ingest.job_status_stream(batch)
+
+
 def test_job_status_stream(spark, tmp_path):
     schema = "job bigint, ts timestamp, event_id bigint, status string"
     events = spark.createDataFrame([(1, 1, "uploaded"), (1, 2, "processing"), (2, 3, "uploaded"), (1, 4, "done")],
