@@ -4,19 +4,25 @@ A document is contaminated by an item when some stretch of it is within ``MOST_E
 length in edit distance, after case, punctuation and spacing are evened out. Candidates come from the
 CGK embedding, a random walk that maps edit distance to Hamming distance: step j reads one character
 and moves on by a random bit of (j, character), so two similar windows soon read the same characters
-again after an edit. Windows of the item's size start at every word of the documents and of the items;
-repeated bit-sampling LSH compares sampled steps of their walks (a walk stops at its last sampled
-step), and every candidate is verified exactly by bit-parallel edit distance.
-
-A window pair collides when the sampled part of its walk holds no edit, and an item has as many windows
-as words. With ``REPEATS`` walks the recall measured on the benchmark table is 1.0 at 10 % random
-character edits, 0.99 at 15 % and 0.91 at 20 %, the limit (see the tests).
+again after an edit. Windows start at every word of documents and items (at every character of scripts
+written without spaces), and repeated bit-sampling LSH compares sampled steps of their walks. A walk goes
+on for as long as the items' sizes ask (``LEVELS``): the longer an item, the more windows it has, and the
+more of its window a walk has to share. A window leaves a walk as soon as no item's walk begins like it.
+Candidates pass a lower bound of their distance, computed for many at once, and are then verified exactly,
+on code points, by bit-parallel edit distance.
+
+A walk over a whole item-sized window would be hit by nearly every edit: at a fifth of the characters no
+sampled walk of 100 characters survives. The stretch that a walk covers and the number of repeats are
+therefore chosen from the wanted recall of nine tenths at the limit of a fifth (measured in the tests for
+every size). Items under ``SHORT`` characters have too few windows for that; they are found exactly, by
+pieces: of k + 1 disjoint pieces of an item one is left whole by k edits. Their spaces on both sides
+belong to them, so that short words are not found inside others.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -28,38 +34,70 @@ from pyspark.sql.functions import arrow_udf
 from planweave.llm.common import slices, utf8
 
 MOST_EDITS = 0.2
-REPEATS, STEPS, SAMPLED = 5, 48, 16
+REPEATS = 6
+#: Items from this size on are looked for by walks, shorter ones by pieces.
+SHORT = 40
+#: Least size of item, steps of its walks, and how many of the steps are sampled; each goes on from the one before.
+LEVELS = ((SHORT, 18, 9), (72, 26, 13), (160, 36, 17))
+#: Steps after which windows that no item's walk begins like are left out.
+CHECKS = (8, 13, 18, 26, 36)
 SEED = 7
 #: Characters of benchmark items that one pass over the documents looks for; more items, more passes.
-#: A pass broadcasts about 16 bytes for each repeat and word of its items: 30 MB at most.
-ITEM_CHARACTERS = 4_000_000
+#: A pass broadcasts about 16 bytes for each repeat and word of its items: 70 MB at most.
+ITEM_CHARACTERS = 2_000_000
+#: A walk may begin so many characters beside the place that an alignment gives it.
+_MARGIN = 4
 _SPACE = 32
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0x100000001B3)
 
 
 @lru_cache(maxsize=1)
-def _symbols() -> np.ndarray:
-    """A byte for each code point: a space for anything but letters, marks and digits, case evened."""
-    out = np.full(0x110000, _SPACE, np.uint8)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: a byte for the walks, the evened code point, and whether it starts a window itself.
+
+    Anything but letters, marks and digits is a space; case is evened; bytes above 127 may be shared.
+    """
+    byte, code = np.full(0x110000, _SPACE, np.uint8), np.full(0x110000, _SPACE, np.uint32)
+    dense = np.zeros(0x110000, bool)
     for c in range(0x110000):
-        if unicodedata.category(chr(c))[0] in "LMN":
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "LMN":
             low = chr(c).lower()
             low = ord(low) if len(low) == 1 else c
-            out[c] = low if low < 256 else 128 + (low * 2654435761 >> 16) % 96
-    return out
+            code[c] = low
+            byte[c] = low if low < 256 else 128 + (low * 2654435761 >> 16) % 96
+            dense[c] = kind in ("Lo", "Nl") and c >= 0x0E00 and not 0xAC00 <= c <= 0xD7A3
+    return byte, code, dense
 
 
-def evened(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of a text with single spaces, and the code point that each came from."""
-    symbols = _symbols()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
-    kept = np.flatnonzero((symbols != _SPACE) | np.append(False, symbols[:-1] != _SPACE))
-    symbols = symbols[kept]
-    if len(symbols) and symbols[-1] == _SPACE:
-        symbols, kept = symbols[:-1], kept[:-1]
-    return symbols, kept
+class Evened:
+    """A text with single spaces: bytes for the walks, evened code points, and the places they came from."""
+
+    def __init__(self, text: str):
+        byte, code, dense = _tables()
+        raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        symbols = byte[raw]
+        kept = np.flatnonzero((symbols != _SPACE) | np.append(False, symbols[:-1] != _SPACE))
+        if len(kept) and symbols[kept[-1]] == _SPACE:
+            kept = kept[:-1]
+        self.symbols, self.places = symbols[kept], kept
+        self.codes, self._dense = code[raw[kept]], dense
 
+    def starts(self) -> np.ndarray:
+        """Where windows start: at words, and at every character of scripts without spaces."""
+        first = (self.symbols != _SPACE) & np.append(True, self.symbols[:-1] == _SPACE)
+        return np.flatnonzero(first | self._dense[self.codes])
 
-def word_starts(symbols: np.ndarray) -> np.ndarray:
-    return np.flatnonzero((symbols != _SPACE) & np.append(True, symbols[:-1] == _SPACE))
+    def bordered(self) -> tuple[int, int]:
+        """Whether a space belongs to the text on either side: not beside scripts without spaces."""
+        return (int(not self._dense[self.codes[0]]), int(not self._dense[self.codes[-1]])) if len(self.codes) else (0, 0)
+
+
+def evened(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a text with single spaces, and the code point that each came from."""
+    made = Evened(text)
+    return made.symbols, made.places
 
 
 @lru_cache(maxsize=1)
@@ -67,31 +105,40 @@ def _walks() -> list[tuple[np.ndarray, np.ndarray]]:
     """For each repeat the bits of (step, symbol), and which steps are sampled."""
     random, out = np.random.default_rng(SEED), []
     for _ in range(REPEATS):
-        bits = random.integers(0, 2, (STEPS, 256)).astype(np.int32)
-        sampled = np.zeros(STEPS, bool)
-        sampled[random.choice(STEPS, SAMPLED, replace=False)] = True
+        bits = random.integers(0, 2, (LEVELS[-1][1], 256)).astype(np.int32)
+        sampled, at, number = np.zeros(LEVELS[-1][1], bool), 0, 0
+        for _, steps, most in LEVELS:
+            sampled[at + random.choice(steps - at, most - number, replace=False)] = True
+            at, number = steps, most
         out.append((bits, sampled))
     return out
 
 
-def walk_keys(symbols: np.ndarray, starts: np.ndarray, repeat: int) -> tuple[np.ndarray, np.ndarray]:
-    """LSH key of the walk from each start, and the position after its last sampled step.
+def walk_keys(symbols: np.ndarray, starts: np.ndarray, repeat: int, known=None) -> Iterator[tuple]:
+    """Keys of the walks from ``starts``: (steps so far, numbers of the starts, keys, last position read).
 
-    ``symbols`` must go on for ``STEPS`` symbols after the last start.
+    Given after each of ``CHECKS``. ``known(steps, keys)`` may say which walks go on. ``symbols`` must go on
+    for as many symbols as a walk has steps after the last start.
     """
     bits, sampled = _walks()[repeat]
-    at, key = starts.astype(np.int32), np.zeros(len(starts), np.uint64)
-    for j in range(int(np.flatnonzero(sampled)[-1]) + 1):
-        seen = symbols[at]
+    at, key, which = starts.astype(np.int32), np.zeros(len(starts), np.uint64), np.arange(len(starts))
+    read = at
+    for j in range(LEVELS[-1][1]):
+        seen = symbols.take(at)
         if sampled[j]:
-            key *= np.uint64(0x100000001B3)
+            key *= _STEP
             key ^= seen
-        at += bits[j][seen]
-    key ^= key >> np.uint64(29)
-    return key * np.uint64(0x9E3779B97F4A7C15), at
+            read = at.copy() if known is None else at
+        at = at + bits[j].take(seen)
+        if j + 1 in CHECKS:
+            mixed = (key ^ key >> np.uint64(29)) * _MIX
+            if known is not None:
+                on = known(j + 1, mixed)
+                which, at, key, mixed, read = which[on], at[on], key[on], mixed[on], read[on]
+            yield j + 1, which, mixed, read
 
 
-def edits(item: bytes, text: bytes, masks: dict[int, int] | None = None) -> tuple[int, int]:
+def edits(item: Sequence[int], text: Sequence[int], masks: dict[int, int] | None = None) -> tuple[int, int]:
     """Least edit distance of the item to any stretch of the text, and where the first such ends."""
     size = len(item)
     masks = symbol_masks(item) if masks is None else masks
@@ -117,96 +164,233 @@ def edits(item: bytes, text: bytes, masks: dict[int, int] | None = None) -> tupl
     return best, end
 
 
-def symbol_masks(item: bytes) -> dict[int, int]:
+def symbol_masks(item: Sequence[int]) -> dict[int, int]:
     out: dict[int, int] = {}
     for n, c in enumerate(item):
         out[c] = out.get(c, 0) | 1 << n
     return out
 
 
+def _rolled(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` code points that follow each other."""
+    out = np.zeros(max(0, len(codes) - size + 1), np.uint64)
+    for k in range(size):
+        out = out * _STEP + codes[k : k + len(out)]
+    return (out ^ out >> np.uint64(29)) * _MIX
+
+
+class Parts:
+    """Items cut into parts of at most 64 characters, for a lower bound of many distances at once.
+
+    The least edits of an item in a stretch are at least the sum of the least edits of its parts, each in its
+    own neighbourhood, and a part fits one machine word of the recurrence of ``edits``. Characters are told
+    apart by five bits only, which lowers the bound a little and loses nothing.
+    """
+
+    def __init__(self, items: list[np.ndarray], limits: list[int]):
+        self.limit = np.array(limits, np.int64)
+        count = [-(-len(x) // 64) for x in items]
+        self.count = np.array(count, np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.at, self.size = np.zeros(sum(count), np.int64), np.zeros(sum(count), np.int64)
+        self.table = np.zeros((sum(count), 32), np.uint64)
+        for n, item in enumerate(items):
+            cuts = np.linspace(0, len(item), count[n] + 1).astype(int).tolist()
+            for row, (a, b) in enumerate(zip(cuts, cuts[1:]), int(self.first[n])):
+                self.at[row], self.size[row] = a, b - a
+                bits = np.uint64(1) << np.arange(b - a, dtype=np.uint64)
+                np.bitwise_or.at(self.table[row], item[a:b] & 31, bits)
+
+    def within(self, symbols: np.ndarray, starts: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Which stretches (start of the item, item) may hold the item within its limit."""
+        times = self.count[items]
+        of = np.repeat(np.arange(len(items)), times)
+        row = self.first[items][of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        limit = self.limit[items][of]
+        steps = self.size[row] + 2 * limit + 2 * _MARGIN
+        begin = starts[of] + self.at[row] - limit - _MARGIN
+        least = np.zeros(len(of), np.int64)
+        order = np.argsort(steps, kind="stable")
+        for part in np.array_split(order, max(1, min(8, len(order) // 512))):
+            if len(part):
+                least[part] = self._least(symbols, begin[part], row[part], int(steps[part[-1]]))
+        return np.bincount(of, least, len(items)) <= self.limit[items]
+
+    def _least(self, symbols: np.ndarray, begin: np.ndarray, row: np.ndarray, steps: int) -> np.ndarray:
+        table, base, one = self.table.reshape(-1), row * 32, np.uint64(1)
+        top = (self.size[row] - 1).astype(np.uint64)
+        plus, minus = np.full(len(row), ~np.uint64(0)), np.zeros(len(row), np.uint64)
+        now = self.size[row].astype(np.int64)
+        best = now.copy()
+        for j in range(steps):
+            eq = table.take(base + (symbols.take(begin + j, mode="clip") & 31))
+            x = eq | minus
+            zero = (((x & plus) + plus) ^ plus) | x
+            up, down = minus | ~(zero | plus), zero & plus
+            now += (up >> top & one).view(np.int64)
+            now -= (down >> top & one).view(np.int64)
+            up, down = up << one, down << one
+            plus, minus = down | ~(zero | up), zero & up
+            np.minimum(best, now, out=best)
+        return best
+
+
+class Lookup:
+    """Sorted keys with what they stand for, behind a table of bits of the keys."""
+
+    def __init__(self, keys: list, values: list):
+        key = np.array(keys, np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.keys, self.values = key[order], np.array(values, np.int32).reshape(len(key), -1)[order]
+        self._bits = np.uint64(64 - max(12, int(len(key) * 32).bit_length()))
+        self._there = np.zeros(1 << int(np.uint64(64) - self._bits), bool)
+        self._there[(key >> self._bits).astype(np.int64)] = True
+
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key may be there."""
+        return self._there.take((keys >> self._bits).view(np.int64))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the keys that are there, once for each value, and the values."""
+        first, last = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        times = last - first
+        rows = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return np.repeat(np.arange(len(keys)), times), self.values[rows]
+
+
 class Items:
-    """Benchmark items of one pass, with the sorted LSH keys of their windows."""
+    """Benchmark items of one pass, with the sorted LSH keys of their windows and the pieces of short ones."""
 
     def __init__(self, items: list[tuple]):
-        self.ids, self.symbols, self.masks = [], [], []
-        self.short: list[int] = []  # items that no walk fits into are looked for as they are
-        keys: list[list] = [[] for _ in range(REPEATS)]
+        self.ids, self.symbols, self.codes, self.masks, self.border = [], [], [], [], []
+        whole, limits = [], []
+        keys = [{c: ([], []) for c in CHECKS} for _ in range(REPEATS)]
+        ends = [{c: ([], []) for c in CHECKS} for _ in range(REPEATS)]
+        pieces: dict[int, tuple[list, list]] = {}
         for name, text in items:
-            symbols, _ = evened(text or "")
-            if not len(symbols):
+            made = Evened(text or "")
+            size = len(made.symbols)
+            if not size:
                 continue
-            n, starts = len(self.ids), word_starts(symbols)
+            n = len(self.ids)
             self.ids.append(name)
-            self.symbols.append(symbols.tobytes())
-            self.masks.append(symbol_masks(symbols.tobytes()))
-            padded, used = np.concatenate((symbols, np.zeros(STEPS + 1, np.uint8))), 0
+            self.symbols.append(made.symbols.tobytes())
+            short = size < SHORT
+            border = made.bordered() if short else (0, 0)
+            codes = np.concatenate((np.full(border[0], _SPACE), made.codes, np.full(border[1], _SPACE))).astype(np.uint32)
+            self.border.append(border)
+            self.codes.append(codes)
+            self.masks.append(symbol_masks(codes.tolist()))
+            edge = [np.full(k, _SPACE, np.uint8) for k in border]
+            whole.append(np.concatenate((edge[0], made.symbols, edge[1])))
+            limits.append(int(MOST_EDITS * size))
+            if short:
+                cuts = np.linspace(0, len(codes), int(MOST_EDITS * size) + 2).astype(int)
+                for a, b in zip(cuts, cuts[1:]):
+                    held = pieces.setdefault(b - a, ([], []))
+                    held[0].append(_rolled(codes[a:b], b - a)[0])
+                    held[1].append((n, a))
+                continue
+            steps = max(t for least, t, _ in LEVELS if size >= least)
+            padded, starts = np.concatenate((made.symbols, np.zeros(LEVELS[-1][1] + 1, np.uint8))), made.starts()
             for repeat in range(REPEATS):
-                key, end = walk_keys(padded, starts, repeat)
-                fits = end <= len(symbols)
-                used += fits.sum()
-                keys[repeat] += [(k, n, s) for k, s in zip(key[fits].tolist(), starts[fits].tolist())]
-            if not used:
-                self.short.append(n)
-        self.index = []
-        for rows in keys:
-            key = np.array([r[0] for r in rows], np.uint64)
-            order = np.argsort(key, kind="stable")
-            place = np.array([r[1:] for r in rows], np.int64).reshape(-1, 2)[order]
-            known = np.zeros(1 << 20, bool)
-            known[(key >> np.uint64(44)).astype(np.int64)] = True
-            self.index.append((key[order], place, known))
-
-    def _candidates(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Rows of (position that the item's start would have, item)."""
-        out = []
-        for repeat, (keys, place, known) in enumerate(self.index):
-            key, _ = walk_keys(symbols, starts, repeat)
-            maybe = np.flatnonzero(known[(key >> np.uint64(44)).astype(np.int64)])
-            first = np.searchsorted(keys, key[maybe], "left")
-            last = np.searchsorted(keys, key[maybe], "right")
-            times = last - first
-            which = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            found = place[which]
-            out.append(np.stack((np.repeat(starts[maybe], times) - found[:, 1], found[:, 0]), axis=1))
-        for n in self.short:
-            text, item, at = symbols.tobytes(), b" " + self.symbols[n] + b" ", -1
-            while (at := text.find(item, at + 1)) >= 0:
-                out.append(np.array([[at + 1, n]]))
-        return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+                for check, which, key, read in walk_keys(padded, starts, repeat):
+                    if check > steps:
+                        break
+                    fits = read < size
+                    held = (keys if check == steps else ends)[repeat][check]
+                    held[0].extend(key[fits].tolist())
+                    held[1].extend((n, s) for s in starts[which[fits]].tolist())
+        self.parts = Parts(whole, limits)
+        self.final = [{c: Lookup(*held) for c, held in of.items() if held[0]} for of in keys]
+        # Beginnings of the walks that go on after a check, those that end later included.
+        self.begun = [{c: Lookup(held[0], [()] * len(held[0])) for c, held in of.items() if held[0]} for of in ends]
+        self.pieces = {size: Lookup(*held) for size, held in pieces.items()}
+
+    def _walked(self, symbols: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows that share a walk with an item's: (position, item, place in the item)."""
+        for repeat in range(REPEATS):
+            final, begun = self.final[repeat], self.begun[repeat]
+            if not final:
+                continue
+
+            def known(check: int, keys: np.ndarray) -> np.ndarray:
+                there = [of[check].maybe(keys) for of in (begun, final) if check in of]
+                return np.flatnonzero(there[0] | there[-1]) if there else np.empty(0, np.int64)
+
+            for check, which, keys, _ in walk_keys(symbols, starts, repeat, known):
+                if check in final and len(which):
+                    n, found = final[check].find(keys)
+                    yield starts[which[n]], found[:, 0], found[:, 1]
+                if not len(which):
+                    break
+
+    def _pieced(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places that share a piece with a short item, moved off the space before it."""
+        for size, lookup in self.pieces.items():
+            keys = _rolled(codes, size)
+            at = np.flatnonzero(lookup.maybe(keys))
+            n, found = lookup.find(keys[at])
+            off = (found[:, 1] == 0) & (size > 1)
+            yield at[n] + off, found[:, 0], found[:, 1] + off
 
     def matches(self, texts: list[str]) -> list[list[dict]]:
         """For each text the best match of every item in it: item, edits, start and end (code points)."""
-        pairs = [evened(t) for t in texts]
-        gap = np.full(1, _SPACE, np.uint8)
-        sizes = np.array([len(s) + 1 for s, _ in pairs])
+        made = [Evened(t) for t in texts]
+        # Each text between spaces, with a symbol of no item behind it.
+        edge, wall = np.full(1, _SPACE, np.uint8), np.full(1, 0, np.uint8)
+        tail = np.zeros(LEVELS[-1][1] + 1, np.uint8)
+        sizes = np.array([len(x.symbols) + 3 for x in made], np.int64)
         begins = np.cumsum(sizes) - sizes + 1
-        whole = np.concatenate([gap, *(x for s, _ in pairs for x in (s, gap)), np.zeros(STEPS, np.uint8)])
-        best: dict[tuple[int, int], tuple] = {}
-        done: set[tuple[int, int, int]] = set()
-        for at, n in self._candidates(whole, word_starts(whole[: len(whole) - STEPS])).tolist():
-            size = len(self.symbols[n])
-            slack = int(MOST_EDITS * size) + 1
-            doc = int(np.searchsorted(begins, max(1, min(at + slack, len(whole) - STEPS - 1)), "right")) - 1
-            for d in {doc, int(np.searchsorted(begins, max(1, at), "right")) - 1}:
-                place = (d, n, (at - begins[d]) // max(1, slack))
-                if place in done:
-                    continue
-                done.add(place)
-                low = max(0, at - begins[d] - 2 * slack)
-                text = pairs[d][0][low : max(0, at - begins[d] + size + 2 * slack)].tobytes()
-                found, end = edits(self.symbols[n], text, self.masks[n])
-                if found <= MOST_EDITS * size and (found, low) < best.get((d, n), (size + 1, 0))[:2]:
-                    back = edits(self.symbols[n][::-1], text[:end][::-1])[1]
-                    best[d, n] = (found, low, low + end - back, low + end)
+        whole = np.concatenate([*(x for m in made for x in (edge, m.symbols, edge, wall)), tail])
+        starts = np.concatenate([m.starts() + b for m, b in zip(made, begins)]) if made else np.empty(0, np.int64)
+        found = [*self._walked(whole, starts)]
+        if self.pieces:
+            codes = np.concatenate([*(x for m in made for x in (edge, m.codes, edge, wall)), tail]).astype(np.uint32)
+            found += self._pieced(codes)
         out: list[list[dict]] = [[] for _ in texts]
-        for (d, n), (found, _, start, end) in sorted(best.items()):
-            from_ = pairs[d][1]
+        if not found:
+            return out
+        at, item, place = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+        doc = np.searchsorted(begins, at, "right") - 1
+        rows = np.unique(np.stack((doc, item, at - place), axis=1), axis=0)
+        rows = rows[self.parts.within(whole, rows[:, 2], rows[:, 1])].tolist()
+        best: dict[tuple[int, int], tuple] = {}
+        k = 0
+        while k < len(rows):
+            d, n, start = rows[k]
+            limit, last = int(self.parts.limit[n]), k
+            # Starts that lie close together are one stretch.
+            while last + 1 < len(rows) and rows[last + 1][:2] == [d, n] and rows[last + 1][2] <= start + limit + _MARGIN:
+                last += 1
+            start, until = (x - int(begins[d]) + self.border[n][0] for x in (start, rows[last][2]))
+            low = max(0, start - limit - _MARGIN)
+            high = min(len(made[d].symbols), until + len(self.symbols[n]) + 2 * limit + _MARGIN)
+            match = self._verified(made[d], n, low, max(low, high), limit)
+            if match and match[:2] < best.get((d, n), (len(self.symbols[n]) + 1, 0))[:2]:
+                best[d, n] = match
+            k = last + 1
+        for (d, n), (fewest, _, start, end) in sorted(best.items()):
+            places = made[d].places
             out[d].append({
-                "item": n, "edits": found, "start": int(from_[start]), "end": int(from_[end - 1]) + 1,
-                "similarity": 1 - found / len(self.symbols[n]),
+                "item": n, "edits": fewest, "start": int(places[start]), "end": int(places[end - 1]) + 1,
+                "similarity": 1 - fewest / len(self.symbols[n]),
             })
         return out
 
+    def _verified(self, text: Evened, n: int, low: int, high: int, limit: int) -> tuple | None:
+        """Fewest edits of item ``n`` in a stretch of a text, where the stretch and the match lie; None over the limit."""
+        before, after = self.border[n]
+        inner = text.codes[max(0, low - before) : high + after].tolist()
+        codes = [_SPACE] * (before and low == 0) + inner + [_SPACE] * (after and high == len(text.codes))
+        item = self.codes[n].tolist()
+        fewest, end = edits(item, codes, self.masks[n])
+        if fewest > limit:
+            return None
+        start = end - edits(item[::-1], codes[:end][::-1])[1]
+        start, end = max(0, low + start), min(len(text.codes), low + end - before - after)
+        return (fewest, low, start, end) if start < end else None
+
 
 _MATCH = pa.struct([
     ("item", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("similarity", pa.float64()),
@@ -254,8 +438,7 @@ def contaminated(
 
     Clean documents have no row. Offsets are code points of the document. Null and empty documents or
     items match nothing, repeated rows each get their rows, and empty tables give an empty result.
-    Items too short for a walk (about 20 characters) must occur as they are. Documents are read once
-    a pass and never shuffled; other columns are not read.
+    Documents are read once a pass and never shuffled; other columns are not read.
     """
     out = None
     for ids, column in match_columns(items, item_key, item_text):
