@@ -1,4 +1,7 @@
 import hashlib
+import random
+
+import xxhash
 
 from planweave.llm import merkle as M
 
@@ -35,12 +38,78 @@ def expected(rows):
     return out
 
 
+def plain(text):
+    """The fingerprint once more, character by character, with other means."""
+    pieces, line = [], ""
+    for n, c in enumerate(text):
+        line += c
+        if c == "\n" or n == len(text) - 1:
+            if len(line) <= 80:
+                pieces.append(line)
+            else:
+                sentence = ""
+                for k, d in enumerate(line):
+                    sentence += d
+                    if k == len(line) - 1 or (d == " " and k and line[k - 1] in ".!?;:,"):
+                        piece = ""
+                        for j, e in enumerate(sentence):
+                            piece += e
+                            mixed = (ord(sentence[j - 1]) * 31 + ord(e)) * 0x9E3779B97F4A7C15 % 2**64 >> 59 if j else 1
+                            if j == len(sentence) - 1 or (len(sentence) > 80 and mixed == 0):
+                                pieces.append(piece)
+                                piece = ""
+                        sentence = ""
+            line = ""
+    digests = [xxhash.xxh3_128(p.encode()).digest() for p in pieces]
+    sections, held = [], b""
+    for d in digests:
+        held += d
+        if int(d.hex()[:10], 16) % 8 == 0:
+            sections.append(hashlib.sha256(held).digest())
+            held = b""
+    root = hashlib.sha256(b"".join(sections) + hashlib.sha256(held).digest()).hexdigest()[:32]
+    return root + ":" + "".join(d.hex()[:10] for d in digests), pieces
+
+
+def test_fingerprint_against_a_plain_one(texts):
+    _, rows = texts
+    for text in [r.text for r in rows.values()][:60] + ["", "\n", "a\n\nb", "日本" * 300, "x" * 500, "ab. cd! " * 60]:
+        own, pieces = plain(text)
+        assert M.fingerprint(text) == own and M.tree(text)[1] == [len("".join(pieces[: n + 1])) for n in range(len(pieces))]
+
+
+def test_located_edits(texts):
+    _, rows = texts
+    ordered = [rows[k].text for k in sorted(rows, reverse=True)]
+    for text, following in zip(ordered, ordered[1:]):
+        changed = M.edited(text, following)
+        print_, ends = M.tree(text)
+        start, end = M.located(print_, M.fingerprint(changed), ends)
+        if text == changed:
+            assert (start, end) == (None, None)
+            continue
+        assert 0 <= start <= end <= len(text)
+        # Outside the range the texts are the same.
+        assert changed.startswith(text[:start]) and changed.endswith(text[end:]) and len(text) // 3 >= len(text) - end
+        assert start <= next((k for k, (a, b) in enumerate(zip(text, changed)) if a != b), len(changed))
+
+
+def test_unrelated_long_texts_are_not_alike():
+    rng = random.Random(6)
+    a, b = ("\n".join("%030x" % rng.getrandbits(120) for _ in range(60_000)) for _ in range(2))
+    assert M.likeness(M.fingerprint(a), M.fingerprint(b)) < 1e-3
+
+
 def test_query(texts):
     docs, rows = texts
     ordered = [(k, rows[k].text) for k in sorted(rows, reverse=True)]
     for parts in (1, 6):
         found = M.document_fingerprints(docs.repartition(parts)).collect()
-        assert sorted(map(tuple, found)) == sorted(expected(ordered))
+        assert sorted(tuple(r)[:7] for r in found) == sorted(expected(ordered))
+        for n, (key, text) in enumerate(ordered):
+            own, ends = M.tree(text)
+            place = M.located(own, M.fingerprint(M.edited(text, ordered[(n + 1) % len(ordered)][1])), ends)
+            assert [(r.edit_start, r.edit_end) for r in found if r.doc_id == key] == [place]
     near = [r for r in expected(ordered) if r[1] > 500]
     assert sum(r[5] for r in near) / len(near) > 0.5 > sum(r[6] for r in near) / len(near)
 
