@@ -4,7 +4,7 @@ Fingerprints within ``RADIUS`` bits are linked, and the links' components are re
 come from six bit blocks: of six blocks at most four hold a differing bit, so two equal fingerprints'
 blocks agree in one of 15 block pairs, and no link is lost. Distinct fingerprints that share a block
 pair are compared in bit planes: plane k holds bit k of all of them, a carry-save counter of three
-planes adds up the differing bits of many distances at once, and a block of lanes is left as soon as
+planes adds up the differing bits of many distances at once, and a word of 64 lanes is left as soon as
 every distance in it is over the radius.
 """
 
@@ -69,29 +69,52 @@ def fingerprint_hex(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def near(prints: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each query, which of ``prints`` (unsigned longs) differ in at most ``radius`` <= 4 bits."""
+def near(
+    prints: np.ndarray, queries: np.ndarray, radius: int = RADIUS, own: np.ndarray | None = None, left: list | None = None
+) -> np.ndarray:
+    """For each query, which of ``prints`` (unsigned longs) differ in at most ``radius`` <= 4 bits.
+
+    A block is a query and a word of 64 lanes. It is left as soon as all its lanes are over the radius, and
+    later planes are added up for the other blocks alone. ``own`` gives each query's own place among the
+    prints, which then counts as far, so that a query cannot hold its own block. ``left`` collects how many
+    blocks were left.
+    """
     if not 0 <= radius <= 4:
         raise ValueError("the counter holds radii from 0 to 4")
     lanes = -(-len(prints) // 64) * 64
     bits = np.zeros((64, lanes), np.uint8)
     bits[:, : len(prints)] = np.unpackbits(prints.astype(">u8").view(np.uint8)).reshape(-1, 64).T
     planes = np.packbits(bits, axis=1).view(np.uint64)
-    asked = np.unpackbits(queries.astype(">u8").view(np.uint8)).reshape(-1, 64).T.astype(bool)
     ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-    c0, c1, c2, over = (np.zeros((len(queries), planes.shape[1]), np.uint64) for _ in range(4))
+    asked = np.where(np.unpackbits(queries.astype(">u8").view(np.uint8)).reshape(-1, 64).T.astype(bool), ones, np.uint64(0))
+    out = np.zeros((len(queries), lanes // 64), np.uint64)
+    if not out.size:
+        return np.zeros((len(queries), len(prints)), bool)
+    # Lanes without a print, and a query's own, are far from the start.
+    idle = np.zeros((len(queries), lanes), np.uint8)
+    idle[:, len(prints) :] = 1
+    if own is not None:
+        idle[np.arange(len(queries)), own] = 1
+    over = np.packbits(idle, axis=1).view(np.uint64).reshape(-1)
+    query, word = np.divmod(np.arange(out.size), out.shape[1])
+    c0, c1, c2 = (np.zeros(out.size, np.uint64) for _ in range(3))
     for k in range(64):
-        carry = planes[k][None, :] ^ np.where(asked[k], ones, np.uint64(0))[:, None]
+        carry = planes[k][word] ^ asked[k][query]
         c0, carry = c0 ^ carry, c0 & carry
         c1, carry = c1 ^ carry, c1 & carry
         c2, carry = c2 ^ carry, c2 & carry
         over |= carry
         if k % 8 == 7 and k > 8:
             far = over | _above(c0, c1, c2, radius)
-            if (far == ones).all():
-                return np.zeros((len(queries), len(prints)), bool)
-    far = over | _above(c0, c1, c2, radius)
-    return np.unpackbits((~far).view(np.uint8), axis=1)[:, : len(prints)].astype(bool)
+            on = np.flatnonzero(far != ones)
+            if len(on) < len(far):
+                if left is not None:
+                    left.append(len(far) - len(on))
+                query, word, over, c0, c1, c2, far = (x[on] for x in (query, word, over, c0, c1, c2, far))
+                if not len(on):
+                    break
+    out[query, word] = ~(over | _above(c0, c1, c2, radius))
+    return np.unpackbits(out.view(np.uint8), axis=1)[:, : len(prints)].astype(bool)
 
 
 def _above(c0, c1, c2, radius: int):
@@ -105,7 +128,10 @@ def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links from each fingerprint to the first one of its component among ``prints``."""
     n, label = len(prints), np.arange(len(prints))
     for k in range(0, n, LANES):
-        linked = near(prints, prints[k : k + LANES])
+        block = prints[k : k + LANES]
+        own = np.arange(k, k + len(block))
+        linked = near(prints, block, own=own)
+        linked[own - k, own] = True
         while True:
             lowest = np.where(linked, label, n).min(axis=1)
             low = np.minimum(np.where(linked, lowest[:, None], n).min(axis=0), label)
@@ -175,21 +201,28 @@ def near_links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return met.mapInArrow(_links, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row.
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, print, root, component_id`` of every row, with the columns ``also``.
 
-    Only ``key`` and ``text`` are read. A null or empty text has fingerprint zero and is linked like
-    any other. Equal fingerprints are one node, so thousands of copies cost one row after a grouped
-    minimum. Rows with a null key are linked too but never name a component, unless it has no other
-    row (then the id is null). An empty table gives an empty result.
+    ``root`` names a component for sure; ``component_id`` is its lowest key, which two components can share
+    where rows of different texts share a key.
     """
-    rows = materialize(docs.select(F.col(key).alias("doc_id"), fingerprint_column(text).alias("print")))
+    rows = materialize(docs.select(F.col(key).alias("doc_id"), *also, fingerprint_column(text).alias("print")))
     nodes = rows.groupBy("print").agg(F.min("doc_id").alias("first"))
     roots = materialize(components(near_links(nodes.select("print"))))
     rooted = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn(
         "root", F.coalesce("root", "print")
     )
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    return rows.join(named.select("print", "component_id"), "print").select(
-        "doc_id", fingerprint_hex(F.col("print")).alias("fingerprint"), "component_id"
-    )
+    return rows.join(named.select("print", "root", "component_id"), "print")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every row.
+
+    Only ``key`` and ``text`` are read. A null or empty text has fingerprint zero and is linked like
+    any other. Equal fingerprints are one node, so thousands of copies cost one row after a grouped
+    minimum. Rows with a null key are linked too but never name a component, unless it has no other
+    row (then the id is null). An empty table gives an empty result.
+    """
+    return near_groups(docs, key, text).select("doc_id", fingerprint_hex(F.col("print")).alias("fingerprint"), "component_id")

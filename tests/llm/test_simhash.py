@@ -133,3 +133,26 @@ def test_odd_rows(odd):
     assert {r.component_id for r in rows if r.doc_id is None} == {None}
     assert [r.component_id for r in rows if r.doc_id == 9] == [9, 9]
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_words_of_far_lanes_are_left():
+    """With the query's own lane out of the way, most words are left before the last plane."""
+    rng = np.random.default_rng(5)
+    prints = np.unique(rng.integers(0, 1 << 63, 600, dtype=np.uint64))
+    prints = np.append(prints, prints[:40] ^ np.uint64(0b1011))
+    left = []
+    found = simhash.near(prints, prints, own=np.arange(len(prints)), left=left)
+    far = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    expected = far <= 4
+    expected[np.arange(len(prints)), np.arange(len(prints))] = False
+    assert (found == expected).all() and expected.any()
+    blocks = len(prints) * -(-len(prints) // 64)
+    assert sum(left) > 0.9 * blocks
+    foreign = rng.integers(0, 1 << 63, 7, dtype=np.uint64)
+    assert (simhash.near(prints, foreign) == (np.bitwise_count(foreign[:, None] ^ prints[None, :]) <= 4)).all()
+
+
+def test_components_that_share_a_lowest_key(spark):
+    docs = spark.createDataFrame([(5, "a b c d e f g"), (7, "a b c d e f g"), (5, "quite another text of words")], "doc_id bigint, text string")
+    rows = simhash.near_groups(docs).collect()
+    assert {r.component_id for r in rows} == {5} and len({r.root for r in rows}) == 2
