@@ -2,7 +2,8 @@
 
 The ids are those of the ``tokenizers`` library for the vocabulary's JSON file. Texts of Latin
 characters without a special token go to ``tiktoken`` with the same vocabulary and the same splitting
-pattern, which gives the same ids in half the time; all others go to ``tokenizers`` itself.
+pattern, which gives the same ids in half the time; all others go to ``tokenizers`` itself, and so do texts
+with runs of blanks that ``tiktoken`` cannot split.
 """
 
 from __future__ import annotations
@@ -41,9 +42,12 @@ class Ids:
         self.lengths[list(sizes)] = list(sizes.values())
 
     def of(self, text: str) -> np.ndarray:
-        if any(x in text for x in self._special) or _NOT_LATIN.search(text):
-            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self._fast.encode_to_numpy(text).astype(np.uint32, copy=False)
+        if not (any(x in text for x in self._special) or _NOT_LATIN.search(text)):
+            try:
+                return self._fast.encode_to_numpy(text).astype(np.uint32, copy=False)
+            except ValueError:
+                pass  # its pattern runs out of stack in very long runs of blanks
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _loaded: list[Ids] = []

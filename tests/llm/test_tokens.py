@@ -127,3 +127,14 @@ def test_counts_of_odd_rows(odd):
     assert token_counts(odd.limit(0)).count() == 0
     with pytest.raises(ValueError):
         token_counts(odd, rule="other")
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", " \n"])
+def test_very_long_runs_of_blanks(spark, blank):
+    """Such runs are beyond the fast splitter; the ids are those of the other one."""
+    text = "a" + blank * (1_000_000 // len(blank)) + "b"
+    ids = Ids()
+    found = ids.of(text)
+    assert (found == np.array(ids._tokenizer.encode(text, add_special_tokens=False).ids)).all()
+    docs = spark.createDataFrame([(1, text), (2, "c")], "doc_id bigint, text string")
+    assert sum(r.length for r in pack(docs).collect()) == len(found) + 1 + len(ids.of("c")) + 1
