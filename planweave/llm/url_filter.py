@@ -5,8 +5,8 @@ rejects. A URL that no rule fits is judged by the difference of its log-likeliho
 against a threshold calibrated on 3 in 16 of the ruled URLs, which the counts leave out.
 
 URLs are mapped to an alphabet of 39 characters before counting, so a model of order 4 has at most
-39 + 39^2 + 39^3 + 39^4 = 2.4 million grams whatever the input is. That bounds what is broadcast
-(a short string and a double each, about 60 MB at the very most).
+39 + 39^2 + 39^3 + 39^4 = 2.4 million grams whatever the input is. Grams of one length are broadcast up to
+``BROADCAST_GRAMS`` of them, which are counted first; beyond that their join is shuffled.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ RULES = (
     ("block", "net/fr/"),
 )
 
+#: Grams of one length that are broadcast: about 100 bytes each in Spark's hashed form.
+BROADCAST_GRAMS = 500_000
+
 
 def _after_scheme(url: Column) -> Column:
     at = F.instr(url, "://")
@@ -116,9 +119,11 @@ def score_urls(urls: DataFrame, model: DataFrame) -> DataFrame:
     Each character counts with the longest of its grams that the model has seen.
     """
     places = _places(urls.select("key", "letters"))
+    sizes = dict(model.groupBy(F.length("gram")).count().collect())
     for k in range(1, ORDER + 1):
         level = model.filter(F.length("gram") == k).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))
-        places = places.join(F.broadcast(level), f"g{k}", "left")
+        # Beyond the limit the join is shuffled.
+        places = places.join(F.broadcast(level) if sizes.get(k, 0) <= BROADCAST_GRAMS else level, f"g{k}", "left")
     ratio = F.coalesce(*(F.col(f"r{k}") for k in range(ORDER, 0, -1)), F.lit(0.0))
     # Rounded, so that the order of the sum is no matter.
     means = places.groupBy("key").agg(F.round(F.avg(ratio), 6).alias("score"))
