@@ -58,6 +58,19 @@ def test_near_dedup_keeps_one_of_each_group(spark, stages):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "None", "None"]
 
 
+def test_near_dedup_names_rows_by_place(spark, tmp_path):
+    """Rows of one id and different texts: the copy goes, the unique text stays, stored or not."""
+    schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    a, b = "one text that has quite a few words", "the other text is nothing like the first"
+    rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (9, b, "en", "s", 1), (9, b, "en", "s", 1), (3, b + " x y z", "en", "s", 1)]
+    frame = spark.createDataFrame(rows, schema)
+    frame.repartition(3).write.parquet(str(tmp_path / "docs"))
+    for docs in (frame, spark.read.parquet(str(tmp_path / "docs")), frame.withColumn("__file", frame.text)):
+        kept = P.near_dedup(spark, docs, FOLDER)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (5, b), (3, b + " x y z")])
+
+
 def test_decontamination_drops_holders_of_items_only(spark, stages):
     items = [bytes(decontaminate.evened(r.text)[0]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     expected = set()
