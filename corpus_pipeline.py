@@ -6,7 +6,8 @@ columns they were given, in the same order; columns that a stage does not name p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planweave.llm.common import read, scratch, stored
@@ -14,7 +15,7 @@ from planweave.llm.decontaminate import match_columns
 from planweave.llm.language_id import prediction_column, train
 from planweave.llm.packing import pack
 from planweave.llm.pii import redacted_column
-from planweave.llm.simhash import near_duplicates
+from planweave.llm.simhash import near_groups
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,19 +24,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(~rejected)
 
 
+def _row_names(docs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The documents and what names each row for good: its file and its place there. Others are stored first."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        docs.select(at["row_index"]).schema  # noqa: B018  fails where the rows come from no file
+    except AnalysisException:
+        docs = stored(docs)
+        at = docs.metadataColumn("_metadata")
+    return docs, {"__file_of_row": at["file_path"], "__place_of_row": at["row_index"]}
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the lowest id of each group of near duplicates.
+    """Keep one document of each group of near duplicates: the lowest id, the first such row on ties.
 
-    Rows that share an id are one document, and one of them stays. A row without an id cannot be
-    named by a group and stays.
+    Rows are named by their place, so rows that share an id but not a text are documents of their own. A row
+    without an id cannot be named by a group and stays.
     """
-    kept = stored(near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct())
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    named = (
-        docs.join(kept, "doc_id", "left_semi").withColumn("__row_of_id", F.row_number().over(one)).filter("__row_of_id = 1")
-        .select(*docs.columns)
-    )
-    return named.unionByName(docs.filter("doc_id is null"))
+    columns = docs.columns
+    docs, names = _row_names(docs)
+    named = docs.withColumns(names)
+    first = F.min(F.struct("doc_id", *names)).alias("first")
+    grouped = near_groups(named, also=tuple(names)).filter("doc_id is not null")
+    kept = stored(grouped.groupBy("root").agg(first).select(*(f"first.{n}" for n in names)))
+    one = named.filter("doc_id is not null").join(kept, list(names), "left_semi")
+    return one.select(*columns).unionByName(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
