@@ -127,6 +127,8 @@ _CELLS = """(select *, floor((x1 + x2) / 2.002) as cx, floor((y1 + y2) / 2.002)
     join (select l.*, floor((x1 + x2) / 2.002) + dx as cx, floor((y1 + y2) / 2.002) + dy as cy from lines l,
             (values (-1), (0), (1)) h(dx), (values (-1), (0), (1)) v(dy)) b
       on a.plan_id = b.plan_id and a.cx = b.cx and a.cy = b.cy and a.seq < b.seq"""
+# All pairs of a plan.
+_ALL = "lines a join lines b on a.plan_id = b.plan_id and a.seq < b.seq"
 
 _CANDIDATES = _pairs(_BUCKETS) + """,
 candidates as (
@@ -646,8 +648,14 @@ def oracle_sql() -> dict[str, str]:
                   round(greatest(maxx - minx, maxy - miny) * 2, 4) + 0.0 as radius from stats""",
     )
     pair = "select plan_id, i, j, round(distance, 6) + 0.0 as distance from "
-    q["pair_candidates"] = _with(_AUTO_LINES + _CANDIDATES, pair + "candidates")
-    q["pair_candidates_first_rules"] = _with(_V1_LINES + _CANDIDATES_V1, pair + "candidates")
+    # Once more without buckets and cells: lines stored, all pairs of a plan tried.
+    stored_lines = ("\nlines as (", "\nlines as materialized (")
+    q["pair_candidates"] = _with(
+        _AUTO_LINES.replace(*stored_lines) + _CANDIDATES.replace(_BUCKETS, _ALL), pair + "candidates"
+    )
+    q["pair_candidates_first_rules"] = _with(
+        _V1_LINES.replace(*stored_lines) + _CANDIDATES_V1.replace(_CELLS, _ALL), pair + "candidates"
+    )
     q["greedy_match"] = _with(_AUTO_MATCHES, pair + "matches")
     q["greedy_match_in_rounds"] = q["greedy_match"]
     record = (

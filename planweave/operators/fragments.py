@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from planweave import constants as K
 from planweave.functions import geometry as G
+from planweave.operators.running import running_maximum
 from planweave.operators.touching import large_plan_groups
 
 _OUT = (
@@ -186,26 +187,35 @@ def _line_key() -> tuple[Column, Column, Column, Column]:
     return tenths, offset, F.least(p, q), F.greatest(p, q)
 
 
-def _islands(ranges: DataFrame, keys: list[str], gap: float) -> DataFrame:
-    before = Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(
-        Window.unboundedPreceding, -1
+def _joined(ranges: DataFrame, *keys: str) -> DataFrame:
+    return ranges.groupBy(*keys).agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("fragments").alias("fragments"), F.min("seq").alias("seq")
     )
-    upto = Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+
+
+def _islands(ranges: DataFrame, keys: list[str], gap: float, block: float) -> DataFrame:
+    """Ranges merged across gaps up to ``gap``, without a window over all ranges of a key.
+
+    A range opens an island when it starts beyond the highest end before it. Islands are put together
+    inside blocks along the line. One that a block opens and that is not its last is done; what a block goes on
+    with and what it leaves open, two rows at most, then meet in the order of the blocks.
+    """
+    placed = ranges.withColumn("_block", F.floor(F.col("lo") / block))
+    reached = running_maximum(placed, keys, "_block", ["lo", "hi"], "hi", "_reach")
+    opens = F.when((F.col("lo") > F.col("_reach") + gap) | F.col("_reach").isNull(), 1).otherwise(0)
+    so_far = Window.partitionBy(*keys, "_block").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    in_blocks = _joined(
+        reached.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(so_far)), *keys, "_block", "_island"
+    )
+    last = F.max("_island").over(Window.partitionBy(*keys, "_block"))
+    in_blocks = in_blocks.withColumn("_done", (F.col("_island") > 0) & (F.col("_island") < last))
+    chain = Window.partitionBy(*keys).orderBy("_block", "_island").rowsBetween(Window.unboundedPreceding, 0)
+    open_ends = in_blocks.filter(~F.col("_done")).withColumn(
+        "_chain", F.sum((F.col("_island") > 0).cast("int")).over(chain)
     )
-    opens = (F.col("lo") > F.col("_reach") + gap) | F.col("_reach").isNull()
     return (
-        ranges.withColumn("_reach", F.max("hi").over(before))
-        .withColumn("_opens", F.when(opens, 1).otherwise(0))
-        .withColumn("_island", F.sum("_opens").over(upto))
-        .groupBy(*keys, "_island")
-        .agg(
-            F.min("lo").alias("lo"),
-            F.max("hi").alias("hi"),
-            F.sum("fragments").alias("fragments"),
-            F.min("seq").alias("seq"),
-        )
-        .drop("_island")
+        in_blocks.filter("_done").select(*keys, "lo", "hi", "fragments", "seq")
+        .unionByName(_joined(open_ends, *keys, "_chain").drop("_chain"))
     )
 
 
@@ -215,7 +225,7 @@ def merge_fragments_islands(
     """Order-free joining for large corpora: ranges on one line merge across gaps up to ``gap``.
 
     Lines share a key of direction (0.1 degree) and offset. Equal ranges are counted first,
-    then ranges merge inside blocks along the line, then the blocks' islands merge, so no task
+    then ranges merge inside blocks along the line, then what blocks leave open merges, so no task
     sees all ranges of a busy line. By design not the same as ``merge_fragments``.
     """
     tenths, offset, lo, hi = _line_key()
@@ -227,10 +237,7 @@ def merge_fragments_islands(
         .groupBy("plan_id", "tenths", "offset", "lo", "hi")
         .agg(F.count("*").alias("fragments"), F.min("seq").alias("seq"))
     )
-    keys = ["plan_id", "tenths", "offset"]
-    blocks = distinct.withColumn("_block", F.floor(F.col("lo") / block))
-    partial = _islands(blocks, [*keys, "_block"], gap).drop("_block")
-    merged = _islands(partial, keys, gap)
+    merged = _islands(distinct, ["plan_id", "tenths", "offset"], gap, block)
     turn = F.radians(F.col("tenths") / 10.0)
     aside = F.col("offset") * (2 * K.FRAGMENT_OFFSET)
 

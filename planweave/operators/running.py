@@ -1,4 +1,4 @@
-"""Running totals in list order that stay spread out when one key is large."""
+"""Running totals and maxima that stay spread out when one key is large."""
 
 from __future__ import annotations
 
@@ -35,3 +35,24 @@ def running_total(
         .withColumn(name, F.col("_before") + F.col("_inside"))
         .drop("_block", "_value", "_inside", "_before")
     )
+
+
+def running_maximum(
+    df: DataFrame, keys: list[str], block: str, order: list[str], value: str, name: str
+) -> DataFrame:
+    """Add ``name``: the highest ``value`` of the key's rows before this one, null for the first.
+
+    ``block`` is a column that rises with ``order``. Rows are compared inside blocks; the highest value of
+    earlier blocks comes from a window over one row per block.
+    """
+    inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(*keys, block).agg(F.max(value).alias("_top")).select(
+        *keys, block, F.max("_top").over(earlier).alias("_before")
+    )
+    return (
+        df.withColumn("_inside", F.max(value).over(inside))
+        .join(tops, [*keys, block])
+        .withColumn(name, F.greatest("_inside", "_before"))
+        .drop("_inside", "_before")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.operators.numbering import with_position
+from planweave.operators.selection import median
 from planweave.operators.walls import boxes_flat
 from planweave.sources.dxf import decoded_path
 
@@ -73,20 +73,17 @@ def _whole_models(models: DataFrame) -> DataFrame:
 def model_corpus_stats(models: DataFrame, keys: list[str], time: str = "processing_time_ms") -> DataFrame:
     """Per key: number of models and lowest, median and highest processing time.
 
-    The exact median is read off at the middle positions of each key's times; positions inside a
-    large key are numbered over range partitions.
+    The exact median comes from a few passes that narrow a bracket around it, so that no key's rows are
+    sorted or numbered.
     """
-    rows = _whole_models(models).select(F.struct(*keys).alias("_key"), F.col(time).alias("_time"))
-    counts = rows.groupBy("_key").agg(
-        F.count("*").alias("models"), F.count("_time").alias("_times"),
-        F.min("_time").alias("min_ms"), F.max("_time").alias("max_ms"),
+    rows = _whole_models(models).select(F.struct(*keys).alias("_group"), F.col(time).alias("_time"))
+    counts = rows.groupBy("_group").agg(
+        F.count("*").alias("models"), F.min("_time").alias("min_ms"), F.max("_time").alias("max_ms"),
     )
-    placed = with_position(rows.filter(F.col("_time").isNotNull()), "_key", [F.col("_time")], "_at")
-    middle = F.col("_at").between(F.floor((F.col("_times") - 1) / 2), F.floor(F.col("_times") / 2))
-    medians = placed.join(counts.select("_key", "_times"), "_key").filter(middle).groupBy("_key").agg(
-        F.bround(F.avg("_time"), 4).alias("median_ms")
+    medians = median(rows, "_group", "_time", "_median")
+    return counts.join(medians, "_group", "left").select(
+        "_group.*", "models", "min_ms", F.bround("_median", 4).alias("median_ms"), "max_ms"
     )
-    return counts.join(medians, "_key", "left").select("_key.*", "models", "min_ms", "median_ms", "max_ms")
 
 
 def model_wall_totals(models: DataFrame, keys: list[str]) -> DataFrame:

@@ -141,3 +141,25 @@ def test_islands(spark, drawing):
                            ("WALL", 0, 9, 0, 3)]})
     rows = sorted((r.x1, r.x2, r.y2, r.fragments) for r in fragments.merge_fragments_islands(table).collect())
     assert rows == [(0.0, 0.0, 9.0, 1), (0.0, 5.0, 0.0, 3), (5.6, 7.0, 0.0, 1), (60.0, 72.0, 0.0, 2)]
+
+
+def test_islands_across_blocks(spark, drawing):
+    """Islands that end in, span, and leave blocks, against one pass over each line."""
+    rng = random.Random(11)
+    rows, x = [], 0.0
+    for _ in range(160):
+        long = rng.choice([0.2, 1.0, 3.0, 40.0])
+        rows.append((x, x + long))
+        x += long * rng.choice([0.3, 1.0]) + rng.choice([0.0, 0.3, 0.7])
+    want, reach = [], None
+    for lo, hi in sorted((round(a, 6), round(b, 6)) for a, b in rows):
+        if reach is None or lo > reach + 0.5:
+            want.append([lo, hi, 0])
+            reach = hi
+        want[-1][1] = reach = max(reach, hi)
+        want[-1][2] += 1
+    rng.shuffle(rows)
+    table = drawing({"i": [("WALL", a, 0, b, 0) for a, b in rows]})
+    for block in (2.0, 5.0, 64.0, 1e9):
+        found = fragments.merge_fragments_islands(table, block=block).collect()
+        assert sorted((r.x1, r.x2, r.fragments) for r in found) == [(round(a, 4), round(b, 4), n) for a, b, n in want]

@@ -2,14 +2,17 @@
 
 import json
 import os
+import random
 import shutil
+import statistics
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from planweave import storage
-from planweave.operators import entities, jobs, numbering, rooms as R, running
+from planweave.operators import entities, jobs, numbering, rooms as R, running, selection
 from planweave.operators.stats import category_split, category_union
 from planweave.plans.process import process
 from planweave.sources import catalog, dxf, models, pixels
@@ -385,6 +388,30 @@ def test_positions_of_a_large_key(spark):
     assert plain.exceptAll(split).count() == 0 and split.count() == 3000
 
 
+def test_running_maximum_in_blocks(spark):
+    df = spark.range(400).select(
+        (F.col("id") % 3).alias("k"), F.floor(F.col("id") / 3).alias("p"), (F.col("id") * 7919 % 401).alias("v")
+    ).withColumn("b", F.floor(F.col("p") / 9))
+    whole = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.withColumn("top", F.max("v").over(whole))
+    blocks = running.running_maximum(df, ["k"], "b", ["p"], "v", "top")
+    assert plain.exceptAll(blocks.select(plain.columns)).count() == 0 and blocks.count() == 400
+
+
+def test_exact_medians(spark):
+    """Even and odd counts, one value for all, wide and skewed values, nulls, and a bracket narrowed in passes."""
+    rng = random.Random(3)
+    held = {
+        "odd": [rng.random() for _ in range(2001)], "even": [10 ** rng.uniform(-200, 200) for _ in range(3000)],
+        "same": [5.0] * 2500, "two": [1.0] * 1200 + [2.0] * 1200, "one": [3.0], "pair": [1.0, 4.0], "none": [None, None],
+        "few": [float(n % 7) for n in range(4000)], "signs": [rng.gauss(0, 1) for _ in range(1500)] + [None] * 9,
+    }
+    rows = spark.createDataFrame([(k, v) for k, vs in held.items() for v in vs], "k string, v double").repartition(5)
+    for at_once in (1000, 40):
+        found = {r.k: r.m for r in selection.median(rows, "k", "v", "m", at_once=at_once).collect()}
+        assert found == {k: statistics.median([v for v in vs if v is not None]) for k, vs in held.items() if k != "none"}
+
+
 def test_running_total_in_blocks(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), F.floor(F.col("id") / 3).alias("p"), F.col("id").alias("v"))
     whole = running.running_total(df, ["k"], "p", F.col("v"), "t")
