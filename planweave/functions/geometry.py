@@ -134,3 +134,15 @@ def infer_scale(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Colum
 def rounded(value: Column, digits: int) -> Column:
     """Half-even rounding without a negative zero."""
     return F.bround(value, digits) + 0.0
+
+
+# Lengths are told apart by their power of two, from 2^-LEAST_MAGNITUDE on; the ends take what lies beyond.
+LEAST_MAGNITUDE = 20
+MAGNITUDES = 62
+
+
+def magnitude_bit(size: Column) -> Column:
+    """The power of two below a length as a bit, so that the magnitudes of many lines are one number."""
+    power = F.coalesce(F.floor(F.log2(size)).cast("int"), F.lit(-LEAST_MAGNITUDE)) + LEAST_MAGNITUDE
+    bit = F.greatest(F.lit(0), F.least(F.lit(MAGNITUDES - 1), power))
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from planweave import constants as K
 from planweave.functions import geometry as G
+from planweave.operators.pairing import levels_up_to
 from planweave.operators.running import running_maximum
 from planweave.operators.touching import large_plan_groups
 
@@ -155,7 +156,7 @@ def merge_fragments(lines: DataFrame) -> DataFrame:
     width = F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))
     depth = F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))
     sizes = lines.groupBy("plan_id").agg(
-        F.count("*").alias("plan_lines"), F.sqrt(width * width + depth * depth).alias("plan_longest")
+        F.count("*").alias("plan_lines"), levels_up_to(F.sqrt(width * width + depth * depth)).alias("plan_levels")
     )
     return merged.join(sizes, "plan_id")
 
@@ -208,15 +209,12 @@ def _islands(ranges: DataFrame, keys: list[str], gap: float, block: float) -> Da
         reached.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(so_far)), *keys, "_block", "_island"
     )
     last = F.max("_island").over(Window.partitionBy(*keys, "_block"))
-    in_blocks = in_blocks.withColumn("_done", (F.col("_island") > 0) & (F.col("_island") < last))
-    chain = Window.partitionBy(*keys).orderBy("_block", "_island").rowsBetween(Window.unboundedPreceding, 0)
-    open_ends = in_blocks.filter(~F.col("_done")).withColumn(
-        "_chain", F.sum((F.col("_island") > 0).cast("int")).over(chain)
-    )
-    return (
-        in_blocks.filter("_done").select(*keys, "lo", "hi", "fragments", "seq")
-        .unionByName(_joined(open_ends, *keys, "_chain").drop("_chain"))
-    )
+    done = (F.col("_island") > 0) & (F.col("_island") < last)
+    # Islands that are done stand in places of their own, so the window of a line sees its open ends only.
+    place = F.when(done, F.xxhash64("_block", "_island")).otherwise(F.lit(0).cast("bigint"))
+    chain = Window.partitionBy(*keys, "_place").orderBy("_block", "_island").rowsBetween(Window.unboundedPreceding, 0)
+    chained = in_blocks.withColumn("_place", place).withColumn("_chain", F.sum((F.col("_island") > 0).cast("int")).over(chain))
+    return _joined(chained, *keys, "_place", "_chain").drop("_place", "_chain")
 
 
 def merge_fragments_islands(

@@ -14,21 +14,21 @@ _COORDS = ("x1", "y1", "x2", "y2")
 _CELL = ["side", "level", "along", "across"]
 _CELL_BASE = 2.0
 _CELL_GROWTH = 4
+_LEVELS = 32
 _AXIAL_MARGIN = 0.36
 _TILT = 0.0437  # just over sin(2.5 degrees)
 
 
 def _line_columns(lines: DataFrame) -> DataFrame:
-    """Lines with length, angle, and the line count and longest line of their plan."""
+    """Lines with length, angle, the line count of their plan and the grid levels of its lines."""
     if "length" not in lines.columns:
         lines = lines.withColumn("length", G.length(G.ends()))
     if "plan_lines" not in lines.columns:
-        sizes = lines.groupBy("plan_id").agg(
-            F.count("*").alias("plan_lines"), F.max("length").alias("plan_longest")
-        )
+        levels = F.bit_or(level_bit(F.col("length"))).alias("plan_levels")
+        sizes = lines.groupBy("plan_id").agg(F.count("*").alias("plan_lines"), levels)
         lines = lines.join(sizes, "plan_id")
     return lines.select(
-        "plan_id", "seq", "layer", *_COORDS, "length", "plan_lines", "plan_longest"
+        "plan_id", "seq", "layer", *_COORDS, "length", "plan_lines", "plan_levels"
     ).withColumn("angle", G.angle(G.ends()))
 
 
@@ -38,10 +38,37 @@ def _renamed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     )
 
 
-def _level(length: str) -> Column:
+def _level(length: Column) -> Column:
     """Smallest grid level whose cells are longer than the line plus the overlap tolerance."""
-    size = (F.col(length) + _AXIAL_MARGIN) / _CELL_BASE
-    return F.greatest(F.lit(0), F.ceil(F.log(size) / F.log(F.lit(float(_CELL_GROWTH)))).cast("int"))
+    size = (length + _AXIAL_MARGIN) / _CELL_BASE
+    level = F.ceil(F.log(size) / F.log(F.lit(float(_CELL_GROWTH)))).cast("int")
+    return F.greatest(F.lit(0), F.least(F.lit(_LEVELS - 1), level))
+
+
+def level_bit(length: Column) -> Column:
+    """The level as a bit, so that the levels of many lines are one number."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), _level(length))
+
+
+def levels_up_to(length: Column) -> Column:
+    """All levels that lines of at most this length can have."""
+    return level_bit(length) * 2 - 1
+
+
+def levels_of_classes(classes: Column, scale: Column) -> Column:
+    """Levels of lines after scaling, from the binary magnitudes they have before (see ``geometry.magnitude_bit``).
+
+    A magnitude is a range of lengths from a power of two to the next, so it stands for two levels at most.
+    """
+    def lengths(bit: Column) -> tuple[Column, Column]:
+        least = F.pow(F.lit(2.0), bit - G.LEAST_MAGNITUDE) * scale
+        return least, least * (2 * (1 + 1e-9))
+
+    def added(held: Column, bit: Column) -> Column:
+        low, high = lengths(bit)
+        return F.when(F.getbit(classes, bit) == 1, held.bitwiseOR(level_bit(low)).bitwiseOR(level_bit(high))).otherwise(held)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(G.MAGNITUDES - 1)), F.lit(0).cast("bigint"), added)
 
 
 def _cell_struct(side: int, level: Column, across: Column, along: Column) -> Column:
@@ -103,24 +130,18 @@ def _placed_on_grid(
     dense = F.col("plan_lines") > dense_lines
 
     def levels_from(start: Column) -> Column:
-        last = F.col("top_level")
-        return F.when(start <= last, F.sequence(start, last)).otherwise(
-            F.array().cast("array<int>")
-        )
+        """Levels from ``start`` on that some line of the plan has; one stray long line adds one level."""
+        every = F.array(*(F.lit(n) for n in range(_LEVELS)))
+        return F.filter(every, lambda n: (n >= start) & (F.getbit("plan_levels", n) == 1))
 
     def placed(df: DataFrame, own_side: int, near_side: int, near_above: int) -> DataFrame:
         near = _near_cells(near_side, levels_from(F.col("level") + near_above))
         cells = F.when(dense, F.concat(_own_cell(own_side), near)).otherwise(F.array(_no_cell()))
         return (
-            df.withColumns(
-                {
-                    "level": F.when(dense, _level("length")).otherwise(0),
-                    "top_level": F.when(dense, _level("plan_longest")).otherwise(0),
-                }
-            )
+            df.withColumn("level", F.when(dense, _level(F.col("length"))).otherwise(0))
             .withColumn("cell", F.explode(cells))
             .withColumns({c: F.col("cell")[c] for c in _CELL})
-            .drop("cell", "top_level")
+            .drop("cell")
         )
 
     return placed(firsts, 0, 1, 1), placed(seconds, 1, 0, 0)
@@ -163,26 +184,28 @@ def pair_candidates(lines: DataFrame, dense_lines: int | None = DENSE_PLAN_LINES
 def pair_candidates_v1(lines: DataFrame) -> DataFrame:
     """First rule set: midpoints at most 1 m apart, no lower limit, no buckets.
 
-    Midpoints meet on a 1 m grid with its eight neighbours, which loses no pair and spreads a plan of
-    any size over its cells.
+    Midpoints meet on a 1 m grid, which spreads a plan of any size over its cells. Each line stands in its
+    cell, and in four of the eight around it: of two lines in neighbouring cells one looks, the other is found,
+    whichever comes first in the plan. No pair is lost or met twice.
     """
     base = _line_columns(lines)
     mx, my = G.midpoint(G.ends())
     reach = K.V1_MAX_PAIR_DISTANCE * 1.001
-    base = base.withColumns({"cx": F.floor(mx / reach), "cy": F.floor(my / reach)})
-    near = base
-    for name in ("cx", "cy"):
-        near = near.withColumn("_step", F.explode(F.array(*(F.lit(n) for n in (-1, 0, 1))))).withColumn(
-            name, F.col(name) + F.col("_step")
-        )
-    near = near.drop("_step")
-    shared = ["plan_id", "cx", "cy"]
+    line = ["seq", "layer", *_COORDS, "length", "angle", "plan_lines"]
+    stand = base.select("plan_id", F.floor(mx / reach).alias("cx"), F.floor(my / reach).alias("cy"), F.struct(*line).alias("line"))
+    steps = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
+    look = stand.withColumn("step", F.explode(steps)).select(
+        "plan_id", (F.col("cx") + F.col("step.x")).alias("cx"), (F.col("cy") + F.col("step.y")).alias("cy"),
+        F.col("line").alias("other"), ((F.col("step.x") == 0) & (F.col("step.y") == 0)).alias("same"),
+    )
+    ordered = F.col("line.seq") < F.col("other.seq")
+    met = stand.join(look.hint("merge"), ["plan_id", "cx", "cy"]).filter(ordered | ~F.col("same"))
+    first, second = F.when(ordered, F.col("line")), F.when(ordered, F.col("other"))
+    met = met.select("plan_id", first.otherwise(F.col("other")).alias("a"), second.otherwise(F.col("line")).alias("b"))
+    pairs = met.select("plan_id", *(F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in line))
     a, b = G.ends("a_"), G.ends("b_")
     return (
-        _renamed(base, "a_", shared)
-        .join(_renamed(near, "b_", shared).hint("merge"), shared)
-        .filter(F.col("a_seq") < F.col("b_seq"))
-        .filter(G.is_parallel_v1(F.col("a_angle"), F.col("b_angle")))
+        pairs.filter(G.is_parallel_v1(F.col("a_angle"), F.col("b_angle")))
         .withColumn("distance", G.midpoint_distance(a, b))
         .filter(F.col("distance") <= K.V1_MAX_PAIR_DISTANCE)
         .filter(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planweave import constants as K
 from planweave.functions import geometry as G
 from planweave.functions.layers import classify_layer
+from planweave.operators.pairing import levels_of_classes
 
 CATEGORIES = ("WALL", "DOOR", "WINDOW", "OTHER")
 # Walls made of doors, windows and others follow each other in this order.
@@ -69,7 +70,7 @@ def plan_stats(segments: DataFrame) -> DataFrame:
             *_bounds(),
             *_counts(),
             F.count("*").alias("segments_parsed"),
-            F.max(G.length(G.ends())).alias("longest"),
+            F.bit_or(G.magnitude_bit(G.length(G.ends()))).alias("magnitudes"),
         )
     )
 
@@ -78,7 +79,7 @@ def with_all_plans(summary: DataFrame, plans: DataFrame) -> DataFrame:
     """Statistics of all readable plans; those without segments get zero counts and no bounds."""
     counts = [f"{name.lower()}_segments" for name in CATEGORIES] + ["segments_parsed"]
     readable = plans.filter(F.col("parse_error").isNull()).select("plan_id")
-    return readable.join(summary, "plan_id", "left").fillna(0, [*counts, "longest"])
+    return readable.join(summary, "plan_id", "left").fillna(0, [*counts, "magnitudes"])
 
 
 def effective_params(params: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def no_wall_fallback(segments: DataFrame, stats: DataFrame | None = None) -> Dat
         F.when(F.col("wall_segments") == 0, F.col("segments_parsed"))
         .otherwise(F.col("wall_segments"))
         .alias("plan_lines"),
-        (F.col("longest") * scale * (1 + 1e-9)).alias("plan_longest"),
+        levels_of_classes(F.col("magnitudes"), scale).alias("plan_levels"),
         scale.alias("applied_scale"),
     )
     later = F.when(F.col("category") == "WINDOW", 1).when(F.col("category") == "OTHER", 2).otherwise(0)
@@ -167,7 +168,7 @@ def wall_lines(segments: DataFrame, stats: DataFrame, min_length: float = K.MIN_
     """Scaled wall candidates of every plan: what pairing works on."""
     kept = min_length_filter(apply_scale(no_wall_fallback(segments, stats)), min_length)
     return kept.select(
-        "plan_id", "seq", "layer", "x1", "y1", "x2", "y2", "length", "plan_lines", "plan_longest"
+        "plan_id", "seq", "layer", "x1", "y1", "x2", "y2", "length", "plan_lines", "plan_levels"
     )
 
 

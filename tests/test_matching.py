@@ -163,3 +163,25 @@ def test_islands_across_blocks(spark, drawing):
     for block in (2.0, 5.0, 64.0, 1e9):
         found = fragments.merge_fragments_islands(table, block=block).collect()
         assert sorted((r.x1, r.x2, r.fragments) for r in found) == [(round(a, 4), round(b, 4), n) for a, b, n in want]
+
+
+def test_one_long_line_adds_one_level(spark, drawing, plans):
+    """Lines look in the cells of levels that occur; a stray line of 400 km adds nine cells, not ninety."""
+    lines = [("WALL", *s) for s in plans["p3"] if max(s[2] - s[0], s[1] - s[3]) < 2] + [("WALL", 0.0, 0.5, 400_000.0, 0.5)]
+    table = drawing({"x": lines})
+    base = pairing._line_columns(table).withColumn("bucket", pairing.G.angle_bucket(F.col("angle")))
+    firsts, seconds = pairing._placed_on_grid(base, base, 0)
+    levels = {r.level for r in firsts.filter("side = 0").collect()}
+    assert len(levels) <= 2 and max(levels) > 7
+    assert firsts.count() <= (1 + 9) * len(lines) and seconds.count() <= (1 + 9 * 2) * len(lines)
+    want = {(i, j) for i, j, _ in candidates([s[1:] for s in lines])}
+    assert {(r.i, r.j) for r in pairing.pair_candidates(table, dense_lines=0).collect()} == want
+
+
+@pytest.mark.parametrize("scale", [1.0, 0.001, 0.0254, 37.5])
+def test_levels_after_scaling_hold_all_lines(spark, drawing, lines, scale):
+    from planweave.operators import stats
+
+    table = stats.wall_lines(lines, stats.with_scale(stats.plan_stats(lines), scale, auto_scale=False), 0.0)
+    own = table.withColumn("own", pairing.level_bit(F.col("length")))
+    assert own.filter(F.col("own").bitwiseAND(F.col("plan_levels")) == 0).count() == 0
