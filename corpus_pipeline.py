@@ -47,7 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.min(F.struct("doc_id", *names)).alias("first")
     grouped = near_groups(named, also=tuple(names)).filter("doc_id is not null")
     kept = stored(grouped.groupBy("root").agg(first).select(*(f"first.{n}" for n in names)))
-    one = named.filter("doc_id is not null").join(kept, list(names), "left_semi")
+    # Never broadcast: stored paths shrink so much that a long list passes for a short one.
+    one = named.filter("doc_id is not null").join(kept.hint("merge"), list(names), "left_semi")
     return one.select(*columns).unionByName(docs.filter("doc_id is null"))
 
 
