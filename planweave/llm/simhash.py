@@ -214,7 +214,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", also:
         "root", F.coalesce("root", "print")
     )
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    return rows.join(named.select("print", "root", "component_id"), "print")
+    named = named.select("print", "root", "component_id")
+    # Repeated values such as paths shrink so much when stored that all rows could pass for a short table.
+    return rows.join(named.hint("merge") if also else named, "print")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
