@@ -28,9 +28,9 @@ from planweave.llm.common import materialize, slices, utf8
 ORDER = 4
 BITS = 11
 SYMBOLS = 1 << BITS
-#: A text is rejected beyond so many times the largest deviation seen in calibration, if its
-#: cross-entropy is also beyond so many times the language's mean: repetitive or very short texts stay.
-SLACK, FAR = 1.5, 2.0
+#: A text is rejected beyond so many times the deviation that all but ``BEYOND`` of the calibration's documents
+#: keep within, if its cross-entropy is also beyond so many times the language's mean: repetitive or very short texts stay.
+SLACK, FAR, BEYOND = 1.5, 2.0, 0.002
 #: Symbols that count at most for the width of the deviation, and for the score.
 _WIDE, _SCORE_SYMBOLS = 2_000, 20
 _SLICE = 1 << 20  # bytes of texts scored at once
@@ -133,7 +133,7 @@ class Identifier:
     def __init__(self, models: dict[str, Model]):
         self.models = dict(sorted(models.items()))
         self.names = [*self.models]
-        self.usual: dict[str, tuple[float, float]] = {}  # language: mean, widest deviation
+        self.usual: dict[str, tuple[float, float]] = {}  # language: mean, wide deviation
 
     def entropies(self, texts: list[str], names: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per symbol of each text and language (all, or ``names``), and the symbols of each text."""
@@ -176,43 +176,26 @@ def held_out(key: str) -> Column:
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "data", 2 * _SLICE):
-        names = batch.column("lang").to_pylist()
+        parts = list(zip(batch.column("lang").to_pylist(), batch.column("apart").to_pylist()))
         texts = [x.as_py().decode("utf-8", "replace") for x in batch.column("data")]
-        for name in sorted(set(names)):
-            gram, _, times, _ = counted([t for t, n in zip(texts, names) if n == name])
+        for part in sorted(set(parts)):
+            gram, _, times, _ = counted([t for t, p in zip(texts, parts) if p == part])
             first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.empty(0, np.int64)
             total = np.add.reduceat(times, first) if len(gram) else times
             yield pa.record_batch(
-                [pa.array([name] * len(first), pa.string()), pa.array(gram[first].astype(np.int64)), pa.array(total)],
-                ["lang", "gram", "n"],
+                [pa.array([part[0]] * len(first), pa.string()), pa.array(gram[first].astype(np.int64)), pa.array(total),
+                 pa.array(total * (not part[1]))],
+                ["lang", "gram", "n", "inside"],
             )
 
 
-def _kept(level: DataFrame, most: int) -> DataFrame:
-    """The most frequent grams, ``most`` at the most: all, unless the table is larger."""
-    sizes = sorted(level.groupBy("n").count().collect(), reverse=True)
-    total, least = 0, None
-    for n, rows in sizes:
-        total += rows
-        if total > most:
-            return level.filter(F.col("n") > n)
-        least = n
-    return level if least is None else level.filter(F.col("n") >= least)
+def _left_out(key: str) -> Column:
+    """Taught documents that the calibration leaves out of its counts, a fifth of them."""
+    return F.floor(F.crc32(F.col(key).cast("string").cast("binary")) / 5) % 5 == 0
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int | None = None) -> Identifier:
-    """Models and calibration from the labelled documents that are not held out.
-
-    All grams are kept, unless ``most`` bounds those of an order over all languages. Every language has
-    a model all the same; one without grams of an order backs off there.
-    """
-    taught = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(
-        F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), utf8(text).alias("data")
-    )
-    level = materialize(
-        taught.select("lang", "data").mapInArrow(_gram_rows, "lang string, gram bigint, n bigint")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    )
+def _models(level: DataFrame) -> dict[str, Model]:
+    """One model per language from its grams of the highest order, all orders collected."""
     found: dict[str, list] = {}
     for k in range(ORDER, 0, -1):
         contexts = level.groupBy("lang", F.shiftright("gram", BITS).alias("context")).agg(
@@ -224,11 +207,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b")
             ).collect()
         }
-        kept = level if most is None else _kept(level, most)
-        held = contexts if k == 1 or most is None else contexts.join(
-            kept.select("lang", F.shiftright("gram", BITS).alias("context")).distinct(), ["lang", "context"]
-        )
-        grams_, contexts_ = kept.select("lang", "gram", "n").toArrow(), held.toArrow()
+        grams_, contexts_ = level.select("lang", "gram", "n").toArrow(), contexts.toArrow()
         for name in once:
             rows, at = (t.filter(pc.equal(t["lang"], name)) for t in (grams_, contexts_))
             found.setdefault(name, []).append((
@@ -244,19 +223,46 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         models[name] = Model()
         for order in reversed(orders):
             models[name].add_order(*order)
-    made = Identifier(models)
-    _calibrate(made, taught)
+    return models
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Identifier:
+    """Models and calibration from the labelled documents that are not held out.
+
+    The models keep all grams of all these documents. The rejection is calibrated with models of four
+    fifths of them on the other fifth, whose entropies are those of texts that were not learned.
+    """
+    taught = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(
+        F.col(lang).cast("string").alias("lang"), utf8(text).alias("data"), _left_out(key).alias("apart")
+    )
+    level = materialize(
+        taught.mapInArrow(_gram_rows, "lang string, gram bigint, n bigint, inside bigint")
+        .groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+    )
+    inside = level.filter(F.col("inside") > 0).select("lang", "gram", F.col("inside").alias("n"))
+    usual = _usual(Identifier(_models(inside)), taught.filter("apart"))
+    made = Identifier(_models(level.select("lang", "gram", "n")))
+    made.usual = _for_all(usual, made.names)
     return made
 
 
-def _calibrate(made: Identifier, taught: DataFrame) -> None:
-    """Mean and widest deviation of each language's own documents, over all that it was taught.
+def _for_all(usual: dict[str, tuple[float, float]], names: list[str]) -> dict[str, tuple[float, float]]:
+    """A language without calibrated texts takes the highest mean and the widest deviation of the others."""
+    if not usual:
+        return {}
+    widest = tuple(max(x[k] for x in usual.values()) for k in (0, 1))
+    return {name: usual.get(name, widest) for name in names}
+
 
-    The documents are scored where they are; the driver gets one row per language.
+def _usual(made: Identifier, apart: DataFrame) -> dict[str, tuple[float, float]]:
+    """Mean and wide deviation of each language's own documents among those that were left out.
+
+    Wide is what all but ``BEYOND`` of the documents keep within, so that single documents with a wrong
+    label do not set the limit. The documents are scored where they are; the driver gets one row per language.
     """
     if not made.names:
-        return
-    held = taught.sparkSession.sparkContext.broadcast(made)
+        return {}
+    held = apart.sparkSession.sparkContext.broadcast(made)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "data", _SLICE):
@@ -269,11 +275,13 @@ def _calibrate(made: Identifier, taught: DataFrame) -> None:
                     columns = [pa.array([name] * int(some.sum()), pa.string()), pa.array(entropy[some, 0]), pa.array(symbols[some])]
                     yield pa.record_batch(columns, ["lang", "entropy", "symbols"])
 
-    seen = materialize(taught.select("lang", "data").mapInArrow(own, "lang string, entropy double, symbols bigint"))
+    seen = materialize(apart.select("lang", "data").mapInArrow(own, "lang string, entropy double, symbols bigint"))
     means = seen.groupBy("lang").agg((F.sum(F.col("entropy") * F.col("symbols")) / F.sum("symbols")).alias("mean"))
     deviation = (F.col("entropy") - F.col("mean")) * F.sqrt(F.least("symbols", F.lit(_WIDE)))
-    widest = seen.join(F.broadcast(means), "lang").groupBy("lang", "mean").agg(F.max(deviation).alias("widest"))
-    made.usual = {r["lang"]: (r["mean"], max(r["widest"], 1.0)) for r in widest.collect()}
+    wide = seen.join(F.broadcast(means), "lang").groupBy("lang", "mean").agg(
+        F.percentile_approx(deviation, 1 - BEYOND, 10_000).alias("wide")
+    )
+    return {r["lang"]: (r["mean"], max(r["wide"], 1.0)) for r in wide.collect()}
 
 
 def prediction_column(spark, made: Identifier, text: str) -> Column:

@@ -110,12 +110,6 @@ def test_long_texts_are_summed_in_pieces(monkeypatch):
     assert abs(int(whole[3][0]) - int(parts[3][0])) < 40
 
 
-def test_kept_grams_are_the_most_frequent(spark):
-    level = spark.createDataFrame([("a", n, n % 4 + 1) for n in range(20)], "lang string, gram bigint, n bigint")
-    assert L._kept(level, 100).count() == 20
-    assert {r.n for r in L._kept(level, 12).collect()} == {3, 4}
-
-
 def test_a_rare_language_keeps_its_model_beside_a_hot_one(spark):
     rng = np.random.default_rng(1)
     hot = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 50_000))) for _ in range(60)]
@@ -129,31 +123,48 @@ def test_a_rare_language_keeps_its_model_beside_a_hot_one(spark):
     assert made.predict(["the quick fox"])[0]["lang"] == "bb"
 
 
-def test_rejection_is_calibrated_on_all_taught_documents(spark):
+def _apart(key):
+    return zlib.crc32(str(key).encode()) // 5 % 5 == 0
+
+
+def test_rejection_is_calibrated_on_texts_that_the_counts_leave_out(spark):
     rng = random.Random(2)
     words = {"aa": ["the", "theory", "of", "other", "thing"], "bb": ["quick", "brown", "fox", "jumps", "lazy"]}
-    rows = [(n, " ".join(rng.choice(words["aa"]) for _ in range(4)), "aa") for n in range(40_000)]
-    rows += [(n, " ".join(rng.choice(words["bb"]) for _ in range(9)), "bb") for n in range(50_000, 50_004)]
-    made = L.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
-    taught = [(x, lang) for n, x, lang in rows if zlib.crc32(str(n).encode()) % 5]
+    rows = [(n, " ".join(rng.choice(words["aa"]) for _ in range(4)), "aa") for n in range(4_000)]
+    rows += [(n, " ".join(rng.choice(words["bb"]) for _ in range(9)), "bb") for n in range(50_000, 50_400)]
+    schema = "doc_id bigint, text string, lang string"
+    made = L.train(spark.createDataFrame(rows, schema))
+    taught = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    inside = L.Identifier(L.train(spark.createDataFrame([r for r in taught if not _apart(r[0])], schema)).models)
     for name in ("aa", "bb"):
-        own = [x for x, lang in taught if lang == name]
+        own = [x for n, x, lang in taught if lang == name and _apart(n)]
         assert own
-        entropy, symbols = made.entropies(own)
-        entropy = entropy[:, made.names.index(name)]
+        entropy, symbols = inside.entropies(own)
+        entropy = entropy[:, inside.names.index(name)]
         mean = np.average(entropy, weights=symbols)
-        widest = max(1.0, ((entropy - mean) * np.sqrt(np.minimum(symbols, 2000))).max())
-        assert made.usual[name] == pytest.approx((mean, widest))
+        far = np.sort((entropy - mean) * np.sqrt(np.minimum(symbols, 2000)))
+        wide = max(1.0, far[int(np.ceil((1 - L.BEYOND) * len(far))) - 1])
+        assert made.usual[name] == pytest.approx((mean, wide))
     foreign = made.predict([" ".join("zq" * 3 for _ in range(50))])[0]
     assert foreign["rejected"]
 
 
-def test_a_bound_on_grams_drops_no_language(spark):
-    rows = [(n, "the theory of the other thing", "aa") for n in range(40)] + [(1002, "quick brown fox", "bb")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    made = L.train(docs, most=30)
-    assert set(made.models) == {"aa", "bb"} and len(made.models["bb"].keys[4]) == 0
-    assert np.isfinite(made.entropies(["quick fox", "the thing"])[0]).all()
+def test_one_wrong_label_does_not_switch_rejection_off(spark):
+    """The wrong text stands among those left out, where the widest deviation would have followed it."""
+    rng = random.Random(3)
+    words = ["the", "theory", "of", "other", "thing"]
+    rows = [(n, " ".join(rng.choice(words) for _ in range(30)), "aa") for n in range(6_000)]
+    wrong = next(n for n in range(90_000, 91_000) if zlib.crc32(str(n).encode()) % 5 and _apart(n))
+    rows.append((wrong, " ".join("vqxjkz" for _ in range(300)), "aa"))
+    made = L.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    found = made.predict(["жил был у бабушки серенький козлик " * 3, rows[0][1]])
+    assert [r["rejected"] for r in found] == [True, False]
+
+
+def test_a_language_without_calibration_takes_the_others_limits():
+    usual = {"aa": (2.0, 9.0), "bb": (3.0, 4.0)}
+    assert L._for_all(usual, ["aa", "bb", "cc"]) == usual | {"cc": (3.0, 9.0)}
+    assert L._for_all({}, ["cc"]) == {}
 
 
 def test_odd_rows(odd):
