@@ -218,9 +218,9 @@ def greedy_match(spark, folder):
 
 @query
 def greedy_match_in_rounds(spark, folder):
-    """The matching of large plans, applied to all plans."""
+    """The matching in narrow tiles, so that many plans take several rounds."""
     candidates = pairing.pair_candidates(_lines(spark, folder))
-    return matching.greedy_match_rounds(candidates).select("plan_id", "i", "j", *_round(6, "distance"))
+    return matching.greedy_match(candidates, tile=1.0).select("plan_id", "i", "j", *_round(6, "distance"))
 
 
 @query

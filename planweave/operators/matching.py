@@ -2,182 +2,120 @@
 
 Going through i in ascending order, a free i takes the free j > i at least distance (lowest j
 on ties). That is the same as accepting candidates in the order (i, distance, j) whenever both
-ends are free, and the same as repeatedly accepting every candidate that comes first in that
-order at both of its ends.
+ends are free.
+
+Plans of every size take one path. A line belongs to the tile of its midpoint, and a candidate goes to
+the tiles of its two lines, so a tile sees all candidates of its own lines. Each tile goes through its
+candidates in order. A candidate between two of its own lines is accepted or refused there, unless an
+undecided one comes before it at one of the lines; one that leaves the tile is undecided. What stays
+undecided, usually a little along the borders, meets again in tiles four times as wide.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from planweave.operators.pairing import DENSE_PLAN_LINES
 from planweave.storage import materialize
 
-# Candidates of one plan that may be folded in one row.
-FOLD_CANDIDATES = 20_000
-# Lowest lines of a large plan settled together per round, and candidates they may take.
-_PREFIX_LINES = 8_192
-_PREFIX_CANDIDATES = 200_000
-_SALTS = 64
-
-
-def _accept_in_order(candidates: DataFrame) -> DataFrame:
-    """Fold the sorted candidates of each plan; for plans of checked size only."""
-    carried = [c for c in candidates.columns if c not in ("plan_id", "i", "j", "distance")]
-    edge = F.struct("i", "distance", "j", *carried)
-    per_plan = candidates.groupBy("plan_id").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    start = F.struct(
-        F.array().cast("array<bigint>").alias("used"),
-        F.filter("edges", lambda e: F.lit(False)).alias("picks"),
-    )
-
-    def step(acc, e):
-        taken = F.array_contains(acc["used"], e["i"]) | F.array_contains(acc["used"], e["j"])
-        return F.when(taken, acc).otherwise(
-            F.struct(
-                F.concat(acc["used"], F.array(e["i"], e["j"])).alias("used"),
-                F.concat(acc["picks"], F.array(e)).alias("picks"),
+# Width of the first tiles in metres, and how much wider those of the next round are.
+TILE = 64.0
+_WIDER = 4
+# Tiles start at this part of their width, another place in every round; a drawing often starts at zero.
+_START = 0.37
+# Lines that may be remembered before those that no later candidate can name are forgotten.
+_REMEMBERED = 1 << 16
+
+
+def _walker(columns: list[str], remembered: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The walk over sorted tiles; self-contained, so that workers need nothing but pyarrow."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, limit = None, remembered
+        used: set[int] = set()
+        waiting: set[int] = set()
+        for batch in batches:
+            kept, accepted = [], []
+            names = ("plan_id", "_x", "_y", "i", "j", "_first", "_second")
+            for n, (plan, x, y, i, j, first, second) in enumerate(zip(*(batch[c].to_pylist() for c in names))):
+                if (plan, x, y) != here:
+                    here, limit = (plan, x, y), remembered
+                    used, waiting = set(), set()
+                if i in used or j in used:
+                    continue
+                free = first and second and i not in waiting and j not in waiting
+                (used if free else waiting).update((i, j))
+                kept.append(n)
+                accepted.append(free)
+                if len(used) + len(waiting) > limit:
+                    # Candidates come by i, and their j is higher.
+                    used, waiting = ({k for k in lines if k >= i} for lines in (used, waiting))
+                    limit = remembered + 2 * (len(used) + len(waiting))
+            rows = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*(rows[c] for c in columns), pa.array(accepted, pa.bool_()), rows["_first"], rows["_second"]],
+                names=[*columns, "_accepted", "_first", "_second"],
             )
-        )
 
-    picks = per_plan.select(
-        "plan_id", F.explode(F.aggregate("edges", start, step, lambda acc: acc["picks"])).alias("e")
-    )
-    return picks.select("plan_id", *(F.col("e")[c].alias(c) for c in ("i", "j", "distance", *carried)))
+    return walk
 
 
-def _accept_by_line(candidates: DataFrame) -> DataFrame:
-    """The same fold line by line, for plans with many candidates per line; gives (i, j) only.
+def _tile(side: str, width: float) -> Column:
+    def cell(axis: str) -> Column:
+        middle = (F.col(f"{side}_{axis}1") + F.col(f"{side}_{axis}2")) / 2
+        return F.floor(middle / width + _START)
 
-    The partners of a line come nearest first; the first one outside the used lines is taken.
-    """
-    partners = F.transform(F.sort_array(F.collect_list(F.struct("distance", "j"))), lambda p: p["j"])
-    by_line = candidates.groupBy("plan_id", "i").agg(partners.alias("js"))
-    per_plan = by_line.groupBy("plan_id").agg(
-        F.sort_array(F.collect_list(F.struct("i", "js"))).alias("lines")
-    )
-    start = F.struct(
-        F.array().cast("array<bigint>").alias("used"),
-        F.array().cast("array<struct<i:bigint,j:bigint>>").alias("picks"),
-    )
-
-    def step(acc, line):
-        free = F.array_except(line["js"], acc["used"])
-        taken = F.array_contains(acc["used"], line["i"])
-        best = F.get(free, F.lit(0))
-        return F.when(taken | (F.size(free) == 0), acc).otherwise(
-            F.struct(
-                F.concat(acc["used"], F.array(line["i"], best)).alias("used"),
-                F.concat(
-                    acc["picks"], F.array(F.struct(line["i"].alias("i"), best.alias("j")))
-                ).alias("picks"),
-            )
-        )
+    return F.struct(cell("x").alias("x"), cell("y").alias("y"))
 
-    picks = F.aggregate("lines", start, step, lambda acc: acc["picks"])
-    return per_plan.select("plan_id", F.explode(picks).alias("e")).select("plan_id", "e.i", "e.j")
 
-
-def _first_at_both_ends(edges: DataFrame) -> DataFrame:
-    """Candidates that come first in (i, distance, j) order at i and at j."""
-    key = F.struct("i", "distance", "j")
-    at_ends = edges.select(
-        "plan_id", F.explode(F.array("i", "j")).alias("line"), key.alias("edge")
+def _walked(candidates: DataFrame, width: float) -> DataFrame:
+    """Accepted and undecided candidates; one that lies in two tiles has a row from each that did not refuse it."""
+    columns = candidates.columns
+    first, second = _tile("a", width), _tile("b", width)
+    placed = (
+        candidates.withColumns({"_a": first, "_b": second})
+        .withColumn("_tile", F.explode(F.array_distinct(F.array("_a", "_b"))))
+        .select(
+            *columns, F.col("_tile.x").alias("_x"), F.col("_tile.y").alias("_y"),
+            (F.col("_tile") == F.col("_a")).alias("_first"), (F.col("_tile") == F.col("_b")).alias("_second"),
+        )
     )
-    firsts = at_ends.groupBy("plan_id", "line").agg(F.min("edge").alias("edge"))
+    flags = [StructField(c, BooleanType()) for c in ("_accepted", "_first", "_second")]
     return (
-        firsts.groupBy("plan_id", "edge")
-        .count()
-        .filter(F.col("count") == 2)
-        .select("plan_id", "edge.i", "edge.j")
+        placed.repartition("plan_id", "_x", "_y")
+        .sortWithinPartitions("plan_id", "_x", "_y", "i", "distance", "j")
+        .mapInArrow(_walker(columns, _REMEMBERED), StructType([*candidates.schema.fields, *flags]))
     )
 
 
-def _leading_lines(edges: DataFrame) -> DataFrame:
-    """Matches of the lowest lines of each plan, found in order.
+def _undecided(walked: DataFrame, columns: list[str]) -> DataFrame:
+    """Candidates that no tile has accepted or refused, once each."""
+    left = walked.filter(~F.col("_accepted"))
+    inside = left.filter(F.col("_first") & F.col("_second")).select(columns)
+    at_first = left.filter(F.col("_first") & ~F.col("_second")).select(columns)
+    at_second = left.filter(F.col("_second") & ~F.col("_first")).select("plan_id", "i", "j")
+    return inside.unionByName(at_first.join(at_second, ["plan_id", "i", "j"], "left_semi").select(columns))
 
-    The lines before the n-th one use up at most 2n lines, so its nearest 2n + 1 partners are
-    enough for an exact answer. Lines are taken while their candidates stay within a budget.
-    """
-    # The lowest lines of each salt hold the lowest lines of the plan, so no window sees a whole plan.
-    in_salt = Window.partitionBy("plan_id", F.pmod("i", F.lit(_SALTS))).orderBy("i")
-    in_order = Window.partitionBy("plan_id").orderBy("i")
-    nearest = Window.partitionBy("plan_id", "i").orderBy("distance", "j")
-    needed = F.least(F.col("count"), 2 * F.col("_rank") - 1)
-    lowest = (
-        edges.groupBy("plan_id", "i")
-        .count()
-        .withColumn("_rank", F.row_number().over(in_salt))
-        .filter(F.col("_rank") <= _PREFIX_LINES)
-        .withColumn("_rank", F.row_number().over(in_order))
-        .filter(F.col("_rank") <= _PREFIX_LINES)
-        .withColumn("_needed", needed)
-        .withColumn("_sum", F.sum("_needed").over(in_order))
-        .filter((F.col("_rank") == 1) | (F.col("_sum") <= _PREFIX_CANDIDATES))
-        .select("plan_id", "i", "_needed")
-    )
-    leading = (
-        edges.join(lowest, ["plan_id", "i"])
-        .withColumn("_near", F.row_number().over(nearest))
-        .filter(F.col("_near") <= F.col("_needed"))
-    )
-    return _accept_by_line(leading)
-
-
-def _without_used(edges: DataFrame, matches: DataFrame) -> DataFrame:
-    used = matches.select("plan_id", F.explode(F.array("i", "j")).alias("line"))
-    return edges.join(used.withColumnRenamed("line", "i"), ["plan_id", "i"], "left_anti").join(
-        used.withColumnRenamed("line", "j"), ["plan_id", "j"], "left_anti"
-    )
-
-
-def greedy_match_rounds(candidates: DataFrame, fold_candidates: int = FOLD_CANDIDATES) -> DataFrame:
-    """Matching for plans of any size: rounds of first-at-both-ends picks.
 
-    Each round is a distributed aggregate keyed by line, written to the shared folder. Plans
-    whose rest is small enough are finished by the fold; a round also settles the lowest lines
-    of every remaining plan in order, so each round makes progress even where all lines
-    compete with each other.
-    """
-    payload = candidates
-    edges = materialize(candidates.select("plan_id", "i", "j", "distance"))
-    found = None
-    while not edges.isEmpty():
-        sizes = edges.groupBy("plan_id").count()
-        small = edges.join(
-            sizes.filter(F.col("count") <= fold_candidates).select("plan_id"), "plan_id", "left_semi"
-        )
-        large = edges.join(
-            sizes.filter(F.col("count") > fold_candidates).select("plan_id"), "plan_id", "left_semi"
-        )
-        leading = materialize(_leading_lines(large))
-        rest = materialize(_without_used(large, leading))
-        picked = materialize(
-            _accept_by_line(small)
-            .unionByName(leading)
-            .unionByName(_first_at_both_ends(rest))
-        )
-        found = picked if found is None else found.unionByName(picked)
-        edges = materialize(_without_used(rest, picked))
-    if found is None:
-        return payload.limit(0)
-    return payload.join(found, ["plan_id", "i", "j"], "left_semi")
+def greedy_match(candidates: DataFrame, tile: float | None = None) -> DataFrame:
+    """One-to-one matches, one row per accepted candidate, with the candidate's columns.
 
-
-def greedy_match(candidates: DataFrame, large_plans: bool | None = None) -> DataFrame:
-    """One-to-one matches, one row per accepted candidate.
-
-    Plans whose line count is below the limit of the plain pair join are folded in one row
-    each; the others run in rounds. ``large_plans`` says whether such plans exist, if known;
-    otherwise the candidates are looked at once.
+    Rounds are written to the shared folder. A task holds the lines of one tile that a later candidate
+    may name, never its candidates. Each round decides at least the candidates within reach of one tile only,
+    and tiles grow, so a plan takes at most as many rounds as its extent has powers of four.
     """
-    is_large = F.col("plan_lines") > DENSE_PLAN_LINES
-    if large_plans is None:
-        large_plans = not candidates.filter(is_large).isEmpty()
-    if not large_plans:
-        return _accept_in_order(candidates)
-    whole = materialize(candidates)
-    return _accept_in_order(whole.filter(~is_large)).unionByName(
-        greedy_match_rounds(whole.filter(is_large))
-    )
+    columns = candidates.columns
+    width = TILE if tile is None else tile
+    found, rest = None, candidates
+    while True:
+        walked = materialize(_walked(rest, width))
+        accepted = walked.filter("_accepted").select(columns)
+        found = accepted if found is None else found.unionByName(accepted)
+        if walked.filter(~F.col("_accepted")).isEmpty():
+            return found
+        rest = _undecided(walked, columns)
+        width *= _WIDER

@@ -1,8 +1,9 @@
-"""The whole chain from segments to walls, boxes, models and results, as one lazy plan."""
+"""The whole chain from segments to walls, boxes, models and results."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,16 +14,30 @@ from planweave.operators import fragments, matching, model, pairing, stats as S,
 
 @dataclass(frozen=True)
 class Processed:
-    """Tables of one run; nothing is computed until one of them is used."""
+    """Tables of one run. Matching runs when it is first asked for, once; all else is computed when it is used."""
 
     stats: DataFrame
     lines: DataFrame
-    matches: DataFrame
-    walls: DataFrame
-    boxes: DataFrame
+    candidates: DataFrame
+    params: DataFrame | None
+    wall_thickness: float
+    wall_height: float
     plans: DataFrame | None
     profile: str
 
+    @cached_property
+    def matches(self) -> DataFrame:
+        return matching.greedy_match(self.candidates)
+
+    @cached_property
+    def walls(self) -> DataFrame:
+        found = W.detected_walls(self.lines, self.matches, self.wall_thickness, self.wall_height, self.profile)
+        return found if self.params is None else W.with_wall_params(found, self.params)
+
+    @cached_property
+    def boxes(self) -> DataFrame:
+        return W.wall_to_box(self.walls, self.profile)
+
     @property
     def metadata(self) -> DataFrame:
         return model.model_metadata(self.boxes, self.stats)
@@ -66,7 +81,7 @@ def process(
 
     ``params`` (plan_id, scale, auto_scale, wall_height, wall_thickness) overrides the
     arguments per plan. ``large_plans`` tells whether plans above the plain-join limit exist;
-    left open, line counts are checked first, and only such plans take the grid and rounds.
+    left open, line counts are checked first, and only such plans take the grid.
     ``plans`` (plan_id, source_type, parse_error) lists the drawings: those without segments
     stay as empty models, unreadable ones fail alone.
     """
@@ -86,10 +101,4 @@ def process(
         candidates = pairing.pair_candidates_v1(lines)
     else:
         candidates = pairing.pair_candidates(lines, pairing.DENSE_PLAN_LINES if large_plans else None)
-    matches = matching.greedy_match(candidates, large_plans)
-    found = W.detected_walls(lines, matches, wall_thickness, wall_height, profile)
-    if params is not None:
-        found = W.with_wall_params(found, params)
-    return Processed(
-        stats, lines, matches, found, W.wall_to_box(found, profile), plans, profile
-    )
+    return Processed(stats, lines, candidates, params, wall_thickness, wall_height, plans, profile)

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,20 +56,46 @@ def test_candidates(lines, plans, dense):
     assert {tuple(r) for r in found} == want
 
 
-def test_matching_forms_agree(lines, plans):
+@pytest.mark.parametrize("tile", [None, 1000.0, 4.0, 0.7, 0.05])
+def test_matching_in_tiles_of_any_width(lines, plans, tile):
     want = {(p, i, j) for p, v in plans.items() for i, j in greedy(candidates(v))}
-    found = pairing.pair_candidates(lines)
-    assert _pairs(matching.greedy_match(found)) == want
-    assert _pairs(matching.greedy_match_rounds(found)) == want
-    assert _pairs(matching.greedy_match_rounds(found, fold_candidates=0)) == want
+    found = matching.greedy_match(pairing.pair_candidates(lines), tile)
+    assert found.count() == len(want) and _pairs(found) == want
+
+
+def test_a_candidate_refused_in_one_of_its_tiles_does_not_come_back():
+    """Line 2 is taken in its own tile, so its candidate with line 3 next door is gone for both."""
+    schema = pa.schema([("plan_id", pa.string()), ("_x", pa.int64()), ("_y", pa.int64()), ("i", pa.int64()),
+                        ("j", pa.int64()), ("_first", pa.bool_()), ("_second", pa.bool_())])
+    rows = [("p", 0, 0, 1, 2, True, True), ("p", 0, 0, 2, 3, True, False), ("p", 1, 0, 2, 3, False, True),
+            ("p", 1, 0, 3, 4, True, True), ("p", 1, 0, 5, 6, True, True)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    for cut in (1, 2, 5):
+        for remembered in (0, 100):
+            parts = [batch.slice(n, cut) for n in range(0, 5, cut)]
+            out = [x for b in matching._walker(["i", "j"], remembered)(iter(parts)) for x in b.to_pylist()]
+            assert [(x["i"], x["_accepted"], x["_first"]) for x in out] == [
+                (1, True, True), (2, False, False), (3, False, True), (5, True, True)]
+
+
+def test_chain_through_many_tiles(spark, drawing):
+    """Each match depends on the one before it, over a run of lines longer than any first tile."""
+    lines = [(0.5 * k, 0.3 * k, 0.5 * k + 1.0, 0.3 * k) for k in range(300)]
+    want = {("c", i, j) for i, j in greedy(candidates(lines))}
+    assert len(want) == 150
+    found = pairing.pair_candidates(drawing({"c": [("WALL", *s) for s in lines]}))
+    for tile in (None, 3.0):
+        assert _pairs(matching.greedy_match(found, tile)) == want
+
+
+def test_no_candidates(lines):
+    assert matching.greedy_match(pairing.pair_candidates(lines).filter("false")).count() == 0
 
 
 def test_large_plan_with_copies(spark, drawing, monkeypatch):
-    """Many copies of two lines side by side: every round has to make progress."""
+    """Many copies of two lines side by side, which compete for the same partners, on a border of tiles."""
     monkeypatch.setattr(pairing, "DENSE_PLAN_LINES", 50)
-    monkeypatch.setattr(matching, "DENSE_PLAN_LINES", 50)
-    monkeypatch.setattr(matching, "FOLD_CANDIDATES", 100)
-    monkeypatch.setattr(matching, "_PREFIX_CANDIDATES", 300)
+    monkeypatch.setattr(matching, "TILE", 0.1)
     lines = [(0.0, 0.0, 4.0, 0.0)] * 40 + [(0.0, 0.2, 4.0, 0.2)] * 30
     segs = drawing({"c": [("WALL", *s) for s in lines], "s": [("WALL", 0, 0, 5, 0)]})
     found = process(segs)
