@@ -24,7 +24,7 @@ from planweave.operators import (
 )
 from planweave.plans.process import Processed, process
 from planweave.sources import derived as D
-from planweave.sources import catalog, dxf, models, pixels, store
+from planweave.sources import catalog, dxf, large_dxf, models, pixels, store
 from planweave.storage import materialize, shared_folder
 from planweave.streaming import ingest
 
@@ -460,6 +460,17 @@ def stored_drawings(spark, folder):
     )
 
 
+@query
+def drawing_by_lines(spark, folder):
+    """All segments as one drawing, written in parts and read back by line ranges."""
+    path = _new_folder(spark, "drawing")
+    segments = D.segments(spark, folder).withColumn("record", dxf.line_record(F.col("layer")))
+    large_dxf.write_lines(segments, path, *dxf.drawing_frame(), "record", "plan_id", "seq")
+    return large_dxf.segments_of_lines(large_dxf.read_lines(spark, path, folders=True)).select(
+        "seq", "layer", "source_type", *_round(4, "x1", "y1", "x2", "y2")
+    )
+
+
 @query
 def stored_models(spark, folder):
     """Results to model files in the shared folder, read back."""

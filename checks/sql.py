@@ -818,6 +818,11 @@ def oracle_sql() -> dict[str, str]:
         _SEGMENTS, f"select plan_id, seq, layer, source_type, {_rounded(4, *_ENDS)} from segments"
     )
     q["stored_drawings"] = q["drawing_round_trip"]
+    q["drawing_by_lines"] = _with(
+        _SEGMENTS,
+        f"""select row_number() over (order by plan_id, seq) - 1 as seq, layer, source_type, {_rounded(4, *_ENDS)}
+            from segments""",
+    )
     q["stored_models"] = _with(
         _AUTO_WALLS + _METADATA + _PLANS,
         """select plan_id, 'model' as state, 3 as generation, coalesce(wall_count, 0) as wall_count,

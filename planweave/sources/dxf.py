@@ -27,6 +27,11 @@ _VECTOR_NAMES = "{" + ",".join(
 ) + "}"
 
 
+def drawing_name_filter() -> str:
+    """Pattern of file names that may be drawings, for a reader's ``pathGlobFilter``."""
+    return _VECTOR_NAMES
+
+
 def read_drawings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per file: ``plan_id`` (the full path), ``name``, ``source_type``, ``reject_reason``, ``text``.
 
@@ -171,7 +176,7 @@ def _first_number(tags: Column, code: int) -> Column:
     return F.get(_values(tags, code), F.lit(0)).try_cast("double")
 
 
-def _entity(tags: Column) -> Column:
+def entity_of_tags(tags: Column) -> Column:
     """One entity from its tags; the first tag names the type."""
     kind = F.get(tags, F.lit(0))["value"]
     is_line, is_arc = kind == "LINE", kind == "ARC"
@@ -197,11 +202,16 @@ def _entity(tags: Column) -> Column:
     )
 
 
+def opens_record(code: Column, value: Column) -> Column:
+    """Whether a tag starts a record of its own; vertices belong to their polyline."""
+    return (code == 0) & ~value.isin("VERTEX", "SEQEND")
+
+
 def _records(tags: Column) -> Column:
     """Tags cut at every record start; vertices stay with their polyline."""
 
     def starts(t: Column, k: Column) -> Column:
-        return F.when((t["code"] == 0) & ~t["value"].isin("VERTEX", "SEQEND"), k)
+        return F.when(opens_record(t["code"], t["value"]), k)
 
     def cut(opens: Column) -> Column:
         ends = F.concat(F.slice(opens, 2, F.size(opens)), F.array(F.size(tags)))
@@ -223,7 +233,7 @@ def _with_entities(drawings: DataFrame) -> DataFrame:
         span = F.regexp_replace(opened, _CLOSING, "")
     records = _bound(_tag_array(span), _records)
     return drawings.withColumn(
-        "entities", F.filter(F.transform(records, _entity), lambda e: ~e["paper"])
+        "entities", F.filter(F.transform(records, entity_of_tags), lambda e: ~e["paper"])
     )
 
 
@@ -290,6 +300,13 @@ def line_record(layer: Column) -> Column:
     )
 
 
+def drawing_frame(unit_code: int = 6) -> tuple[str, str]:
+    """What stands before and after the entities of a drawing."""
+    head = f"  0\nSECTION\n  2\nHEADER\n  9\n$INSUNITS\n 70\n{unit_code}\n  0\nENDSEC\n"
+    head += "  0\nSECTION\n  2\nENTITIES\n"
+    return head, "  0\nENDSEC\n  0\nEOF\n"
+
+
 def write_dxf_text(
     segments: DataFrame, unit_code: int = 6, part_lines: int = TEXT_PART_LINES
 ) -> DataFrame:
@@ -298,9 +315,7 @@ def write_dxf_text(
     A plan of up to ``part_lines`` segments is one row. A larger one continues in further
     rows; the texts in ``part_no`` order are the file.
     """
-    head = f"  0\nSECTION\n  2\nHEADER\n  9\n$INSUNITS\n 70\n{unit_code}\n  0\nENDSEC\n"
-    head += "  0\nSECTION\n  2\nENTITIES\n"
-    tail = "  0\nENDSEC\n  0\nEOF\n"
+    head, tail = drawing_frame(unit_code)
     part = F.floor(F.col("seq") / part_lines).cast("bigint")
     spans = segments.groupBy("plan_id").agg(F.min(part).alias("first"), F.max(part).alias("last"))
     item = F.struct("seq", line_record(F.col("layer")).alias("text"))
