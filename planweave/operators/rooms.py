@@ -9,6 +9,7 @@ from planweave import constants as K
 from planweave.functions import geometry as G
 from planweave.operators.entities import arc_array, polyline_array
 from planweave.operators.running import running_total
+from planweave.storage import materialize
 
 # Rooms per report row; larger plans continue in further parts.
 REPORT_ROOMS = 10_000
@@ -439,6 +440,7 @@ def plan_segments_from_rooms(
     ``seq`` is the drawing order with gaps, so no plan has to be sorted in one task.
     """
     columns = ["plan_id", "seq", "layer", "source_type", "x1", "y1", "x2", "y2"]
+    rooms = materialize(rooms)
     walls = double_line(dedupe_edges(room_edges(rooms)), thickness, mode)
     wall_seq = (F.col("room_no") * 4 + F.col("side_no")) * 2 + F.col("face_no")
     walls = walls.withColumns(
