@@ -100,13 +100,15 @@ def model_wall_totals(models: DataFrame, keys: list[str]) -> DataFrame:
 def write_models(results: DataFrame, path: str, buckets: int = 64, format: str = "json") -> None:
     """Write the successful results, spread over ``buckets`` folders; failures write nothing.
 
-    Rows of a bucket come together first, so a bucket has few files; large ones are split again.
+    Rows of a bucket come together first, so a bucket has few files; large ones are split again. Text is
+    compressed, as its field names repeat in every wall.
     """
     kept = results.filter("success").withColumn(
         "bucket", F.pmod(F.xxhash64("plan_id"), F.lit(buckets)).cast("int")
     )
     together = kept.hint("rebalance", "bucket")
-    together.write.mode("overwrite").partitionBy("bucket").format(format).save(path)
+    packed = {"compression": "gzip"} if format == "json" else {}
+    together.write.mode("overwrite").partitionBy("bucket").format(format).options(**packed).save(path)
 
 
 def write_boxes_flat(boxes: DataFrame, path: str, format: str = "parquet") -> None:
