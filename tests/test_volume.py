@@ -8,6 +8,7 @@ import pytest
 from planweave.operators import fragments, pairing, rooms as R, stats as S
 from planweave.plans.process import process
 from planweave.sources import models
+from planweave.storage import materialize
 
 
 def _plan(df):
@@ -71,3 +72,46 @@ def test_drawn_rooms_are_placed_once(spark):
     )
     drawn = R.plan_segments_from_rooms(R.layout_rectangular(rooms))
     assert "ExistingRDD" not in _plan(drawn) and drawn.count() > 8
+
+
+def _pairs(candidates):
+    return sorted(map(tuple, candidates.select("plan_id", "i", "j", "layer", "distance", "plan_lines", "a_length", "b_x1").collect()))
+
+
+def test_lines_move_once_to_meet_each_other(lines, monkeypatch):
+    """Both sides of the pair join are one exchange; what is found stays the same."""
+    found = process(lines, auto_scale=False).lines
+    for limit in (0, 30, 10_000):
+        monkeypatch.setattr(pairing, "SMALL_PLAN_LINES", limit)
+        candidates = pairing.pair_candidates(found, None)
+        assert _pairs(candidates) == _pairs(pairing.pair_candidates(found, 5))
+        candidates.collect()
+        assert "ReusedExchange" in _plan(candidates)
+
+
+def test_first_rules_find_all_pairs_and_move_lines_once(spark):
+    rng = random.Random(9)
+    schema = "plan_id string, seq bigint, layer string, x1 double, y1 double, x2 double, y2 double, length double, plan_lines bigint, plan_levels bigint"
+    rows = []
+    for plan, size in (("dense", 8), ("wide", 40), ("edges", 12)):
+        for n in rng.sample(range(1000), 130):
+            x, y = (rng.uniform(-size, size) for _ in "xy")
+            if plan == "edges":  # midpoints on and next to the borders of cells
+                x, y = (round(v / 4) * 4 * 1.001 + rng.choice([0, -1, 1, 1e-9, -1e-9, 0.5]) for v in (x, y))
+            dx, dy = rng.choice([(1.0, 0.0), (0.0, 1.5), (2.0, 0.1), (-1.0, 0.02), (0.0, 0.0)])
+            ends = (x - dx, y - dy, x + dx, y + dy)
+            rows.append((plan, n, rng.choice(["A", "B", None]), *ends, ((2 * dx) ** 2 + (2 * dy) ** 2) ** 0.5, 130, 0))
+    rows.append(("edges", 2000, "A", *[float("nan")] * 4, 1.0, 130, 0))
+    rows.append(("edges", 2001, "A", *[None] * 4, 1.0, 130, 0))
+    table = materialize(spark.createDataFrame(rows, schema))
+    G = pairing.G
+    a, b = (pairing._renamed(table, side, ["plan_id"]) for side in ("a_", "b_"))
+    joined = a.join(b, "plan_id").filter("a_seq < b_seq").withColumnsRenamed({"a_layer": "layer", "a_plan_lines": "plan_lines"})
+    p, q = G.ends("a_"), G.ends("b_")
+    want = joined.withColumn("distance", G.midpoint_distance(p, q)).filter("distance <= 1 and a_length >= 1e-9").filter(
+        G.is_parallel_v1(G.angle(p), G.angle(q)) & G.axial_overlap(p, q, pairing.K.V1_OVERLAP_TOLERANCE, F.col("a_length"))
+    ).withColumnsRenamed({"a_seq": "i", "b_seq": "j"})
+    found = pairing.pair_candidates_v1(table)
+    assert len(_pairs(found)) > 100 and _pairs(found) == _pairs(want)
+    found.collect()
+    assert "ReusedExchange" in _plan(found)
