@@ -115,3 +115,10 @@ def test_first_rules_find_all_pairs_and_move_lines_once(spark):
     assert len(_pairs(found)) > 100 and _pairs(found) == _pairs(want)
     found.collect()
     assert "ReusedExchange" in _plan(found)
+
+
+def test_nested_walls_of_one_part_meet_their_model_by_the_plan(lines):
+    found = process(lines, auto_scale=False).models
+    assert not [line for line in _plan(found).splitlines() if "Join" in line and "part_no" in line]
+    rows = found.collect()
+    assert len(rows) == 10 and all(r.part_no == 0 and r.metadata.wall_count == len(r.walls) for r in rows)
