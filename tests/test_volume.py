@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from planweave.operators import fragments, pairing, rooms as R, stats as S
+from planweave.operators import fragments, model, pairing, rooms as R, stats as S
 from planweave.plans.process import process
 from planweave.sources import models
 from planweave.storage import materialize
@@ -122,3 +122,13 @@ def test_nested_walls_of_one_part_meet_their_model_by_the_plan(lines):
     assert not [line for line in _plan(found).splitlines() if "Join" in line and "part_no" in line]
     rows = found.collect()
     assert len(rows) == 10 and all(r.part_no == 0 and r.metadata.wall_count == len(r.walls) for r in rows)
+
+
+def test_only_plans_of_several_parts_are_told_where_a_part_starts(spark):
+    rows = [("one", 0, ["a", "b"]), ("many", 0, []), ("many", 7, ["c", "d"]), ("many", 9, ["e"]), ("empty", 0, None), (None, 0, ["x"])]
+    parts = spark.createDataFrame(rows, "plan_id string, part_no bigint, walls array<string>").cache()
+    placed = model.placed_walls(parts)
+    assert "Window" not in _plan(placed)
+    assert sorted(map(tuple, placed.collect())) == [
+        ("many", 0, "c"), ("many", 1, "d"), ("many", 2, "e"), ("one", 0, "a"), ("one", 1, "b"),
+    ]
