@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planweave.storage import Folder
+from planweave.storage import Folder, materialize
 
 BUCKETS = 64
+# Ids that a removal may send to every task.
+SENT_IDS = 1_000_000
 _DATA, _VERSIONS = "data", "versions"
 
 
@@ -49,13 +51,17 @@ class ModelStore:
         key = F.col(key) if isinstance(key, str) else key
         return F.pmod(F.xxhash64(key.cast("string")), F.lit(self.buckets)).cast("int")
 
-    def write(self, rows: DataFrame) -> tuple[str, list[int]]:
-        """Write rows as files of their buckets, sorted by plan; gives the name of the write and its buckets."""
+    def write(self, rows: DataFrame, together: bool = False) -> tuple[str, list[int]]:
+        """Write rows as files of their buckets, sorted by plan; gives the name of the write and its buckets.
+
+        ``together`` tells that rows come from files of the store as they lie, so a task has few buckets already.
+        """
         name = uuid.uuid4().hex
         placed = rows.withColumn("bucket", self.bucket())
         # Rows of a bucket come together, large buckets are split again; plans in order keep lookups narrow.
-        together = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "plan_id", "part_no")
-        together.write.partitionBy("bucket").format(self.format).save(f"{self.path}/{_DATA}/{name}")
+        gathered = placed if together else placed.hint("rebalance", "bucket")
+        ordered = gathered.sortWithinPartitions("bucket", "plan_id", "part_no")
+        ordered.write.partitionBy("bucket").format(self.format).save(f"{self.path}/{_DATA}/{name}")
         written = Folder(self.spark, f"{self.path}/{_DATA}/{name}").names()
         return name, sorted(int(n.removeprefix("bucket=")) for n in written if n.startswith("bucket="))
 
@@ -130,15 +136,17 @@ def delete_models(spark: SparkSession, path: str, ids: DataFrame, key: str = "pl
 
     Buckets that hold none of the plans keep their files. The others are written anew without the plans, as
     one write each, and the next version swaps them all at once: a reader sees all of the removal or none.
-    Files of earlier versions stay for their readers until ``clean_store``.
+    Files of earlier versions stay for their readers until ``clean_store``. Up to ``SENT_IDS`` ids go to the
+    stored rows; beyond that, rows and ids meet by a shuffle.
     """
     store = current_store(spark, path)
     wanted, buckets = _wanted(store, ids, key)
-    held = store.rows(buckets).select("plan_id").join(wanted, "plan_id", "left_semi").distinct()
+    held = materialize(store.rows(buckets).select("plan_id").join(wanted, "plan_id", "left_semi").distinct())
     touched = [r[0] for r in held.select(store.bucket()).distinct().collect()]
     if touched:
-        kept = store.rows(touched).join(wanted, "plan_id", "left_anti")
-        name, there = store.write(kept)
+        few = held.count() <= SENT_IDS
+        kept = store.rows(touched).join(F.broadcast(held) if few else held, "plan_id", "left_anti")
+        name, there = store.write(kept, together=few)
         store.commit({**store.writes, **{b: [name] if b in there else [] for b in touched}})
     return wanted.join(store.rows(buckets).select("plan_id"), "plan_id", "left_anti")
 

@@ -4,10 +4,11 @@ import glob
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from planweave.operators import fragments, model, pairing, rooms as R, stats as S
 from planweave.plans.process import process
-from planweave.sources import models
+from planweave.sources import models, store
 from planweave.storage import materialize
 
 
@@ -132,3 +133,27 @@ def test_only_plans_of_several_parts_are_told_where_a_part_starts(spark):
     assert sorted(map(tuple, placed.collect())) == [
         ("many", 0, "c"), ("many", 1, "d"), ("many", 2, "e"), ("one", 0, "a"), ("one", 1, "b"),
     ]
+
+
+def test_a_removal_leaves_stored_rows_where_they_lie(spark, tmp_path, monkeypatch):
+    results = spark.range(60).select(
+        F.col("id").alias("plan_id"), F.lit(0).cast("bigint").alias("part_no"), F.lit(True).alias("success"), F.array("id").alias("walls"),
+    )
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 44, 99, None)], "plan_id bigint")
+    plans, write = [], store.ModelStore.write
+    monkeypatch.setattr(store.ModelStore, "write", lambda self, rows, *a, **k: plans.append(_plan(rows)) or write(self, rows, *a, **k))
+    held = {}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for sent in (1_000_000, 0):
+            monkeypatch.setattr(store, "SENT_IDS", sent)
+            path = str(tmp_path / f"s{sent}")
+            store.create_store(results, path, buckets=4)
+            missing = store.delete_models(spark, path, ids)
+            held[sent] = sorted(int(r.plan_id) for r in store.current_store(spark, path).rows().collect())
+            assert [r.plan_id for r in missing.collect()] == ["99"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert held[0] == held[1_000_000] == [n for n in range(60) if n not in (1, 2, 3, 44)]
+    assert "SortMergeJoin" not in plans[1] and "SortMergeJoin" in plans[3]
