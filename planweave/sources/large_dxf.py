@@ -25,22 +25,25 @@ def read_lines(spark: SparkSession, path: str | list[str], folders: bool = False
     reader = spark.read.option("lineSep", "\n")
     if not folders:
         reader = reader.option("pathGlobFilter", drawing_name_filter())
-    file = decoded_path(F.col("_metadata.file_path"))
     rows = materialize(
         reader.text(path).select(
-            (F.regexp_extract(file, r"(?s)^(.*)/[^/]*$", 1) if folders else file).alias("plan_id"),
-            file.alias("file"),
+            F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("start"),
             F.monotonically_increasing_id().alias("row"),
             F.replace("value", F.lit("\r"), F.lit("")).alias("line"),
         )
     )
-    # One row per range of a file, so this window is bounded by the size of a drawing over that of a range.
-    before = Window.partitionBy("plan_id").orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy("plan_id", "file", "start").agg(F.count("*").alias("n"), F.min("row").alias("first")).select(
-        "plan_id", "file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")
+    # One row per range of a file, so this window is bounded by the size of a drawing over that of a range, and a path is made
+    # out once per range.
+    named = decoded_path(F.col("file"))
+    before = Window.partitionBy("plan_id").orderBy("name", "start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = materialize(
+        rows.groupBy("file", "start")
+        .agg(F.count("*").alias("n"), F.min("row").alias("first"))
+        .withColumns({"plan_id": F.regexp_extract(named, r"(?s)^(.*)/[^/]*$", 1) if folders else named, "name": named})
+        .select("plan_id", "file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     )
-    return rows.join(ranges, ["plan_id", "file", "start"]).select(
+    return rows.join(ranges, ["file", "start"]).select(
         "plan_id", (F.col("row") + F.col("shift")).alias("line_no"), "line"
     )
 
@@ -79,7 +82,7 @@ def _records(lines: DataFrame, chunk_lines: int) -> DataFrame:
     record before it, which the number of records in earlier chunks tells.
     """
     body = (
-        lines.join(entity_sections(lines), "plan_id")
+        lines.join(materialize(entity_sections(lines)), "plan_id")
         .filter((F.col("line_no") >= F.col("first")) & (F.col("line_no") < F.col("stop")))
         .select("plan_id", (F.col("line_no") - F.col("first")).alias("at"), "line")
         .withColumn("chunk", F.floor(F.col("at") / chunk_lines))
@@ -101,17 +104,25 @@ def _records(lines: DataFrame, chunk_lines: int) -> DataFrame:
     )
     # One row per chunk.
     earlier = Window.partitionBy("plan_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = pieces.groupBy("plan_id", "chunk").agg(F.max("inside").alias("n")).select(
-        "plan_id", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    chunks = materialize(
+        pieces.groupBy("plan_id", "chunk").agg(F.max("inside").alias("n")).select(
+            "plan_id", "chunk", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+        )
     )
-    return (
+    # Only what a chunk begins or ends with may go on elsewhere; all other records lie in their chunk and need not move.
+    cut = (F.col("inside") == 0) | (F.col("inside") == F.col("n"))
+    placed = (
         pieces.join(chunks, ["plan_id", "chunk"])
         .withColumn("record", F.col("before") + F.col("inside"))
         .filter(F.col("record") > 0)
+    )
+    joined = (
+        placed.filter(cut)
         .groupBy("plan_id", "record")
         .agg(F.sort_array(F.collect_list(F.struct("chunk", "tags"))).alias("pieces"))
         .select("plan_id", "record", F.flatten(F.transform("pieces", lambda p: p["tags"])).alias("tags"))
     )
+    return placed.filter(~cut).select("plan_id", "record", "tags").unionByName(joined)
 
 
 def _entities(lines: DataFrame, chunk_lines: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from planweave.operators import fragments, model, pairing, rooms as R, stats as S
 from planweave.plans.process import process
-from planweave.sources import models, store
+from planweave.sources import dxf, large_dxf, models, store
 from planweave.storage import materialize
 
 
@@ -157,3 +157,16 @@ def test_a_removal_leaves_stored_rows_where_they_lie(spark, tmp_path, monkeypatc
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert held[0] == held[1_000_000] == [n for n in range(60) if n not in (1, 2, 3, 44)]
     assert "SortMergeJoin" not in plans[1] and "SortMergeJoin" in plans[3]
+
+
+def test_only_records_at_the_borders_of_chunks_move(spark, tmp_path):
+    for name in ("a.dxf", "b.dxf"):
+        body = "".join(f"  0\nLINE\n  8\nWALL\n 10\n{n}\n 20\n0\n 11\n{n + 1}\n 21\n0\n" for n in range(40))
+        (tmp_path / name).write_text(body.join(dxf.drawing_frame()))
+    lines = large_dxf.read_lines(spark, str(tmp_path))
+    stored = spark.read.parquet(next(f for f in lines.inputFiles() if "part-" in f).rsplit("/", 1)[0])
+    assert "plan_id" not in stored.columns or "line" not in stored.columns  # a path is made out once per range
+    records = large_dxf._records(lines, 50)
+    assert "Union" in _plan(records) and records.count() == records.select("plan_id", "record").distinct().count() == 80
+    found = large_dxf.segments_of_lines(lines, 50).collect()
+    assert sorted((r.plan_id[-5:], r.seq, r.x2) for r in found) == [(p, n, n + 1.0) for p in ("a.dxf", "b.dxf") for n in range(40)]
