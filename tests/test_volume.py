@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from planweave import storage
 from planweave.operators import fragments, model, pairing, rooms as R, stats as S
 from planweave.plans.process import process
 from planweave.sources import dxf, large_dxf, models, store
@@ -170,3 +171,19 @@ def test_only_records_at_the_borders_of_chunks_move(spark, tmp_path):
     assert "Union" in _plan(records) and records.count() == records.select("plan_id", "record").distinct().count() == 80
     found = large_dxf.segments_of_lines(lines, 50).collect()
     assert sorted((r.plan_id[-5:], r.seq, r.x2) for r in found) == [(p, n, n + 1.0) for p in ("a.dxf", "b.dxf") for n in range(40)]
+
+
+def test_tasks_take_bounded_rows_where_a_table_is_large(lines, monkeypatch):
+    """Walls are sorted and gathered by tasks of so many rows, behind the exchange, and models stay the same."""
+    small = process(lines, auto_scale=False)
+    assert small._partitions is None
+    monkeypatch.setattr(storage, "TASK_ROWS", 20)
+    found = process(lines, auto_scale=False)
+    wanted = -(-found.lines.count() // 20)
+    assert wanted > 4 and found._partitions == wanted == found.walls.rdd.getNumPartitions()
+    for name in ("models", "results"):
+        mine, theirs = getattr(found, name), getattr(small, name)
+        plan = _plan(mine)
+        assert "REPARTITION_BY_NUM" in plan[plan.rindex("collect_list"):]  # nothing is gathered before it moves
+        assert mine.schema == theirs.schema
+        assert sorted(mine.collect(), key=str) == sorted(theirs.collect(), key=str)
