@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from planweave import storage
-from planweave.operators import fragments, model, pairing, rooms as R, stats as S
+from planweave.operators import fragments, model, numbering, pairing, rooms as R, stats as S
 from planweave.plans.process import process
-from planweave.sources import dxf, large_dxf, models, store
+from planweave.sources import derived, dxf, large_dxf, models, store
 from planweave.storage import materialize
 
 
@@ -187,3 +187,36 @@ def test_tasks_take_bounded_rows_where_a_table_is_large(lines, monkeypatch):
         assert "REPARTITION_BY_NUM" in plan[plan.rindex("collect_list"):]  # nothing is gathered before it moves
         assert mine.schema == theirs.schema
         assert sorted(mine.collect(), key=str) == sorted(theirs.collect(), key=str)
+
+
+def test_positions_come_from_tasks_of_bounded_rows(spark, monkeypatch):
+    df = spark.range(300).select(
+        F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("k"), (F.col("id") * 7919 % 301).alias("v")
+    )
+    small = numbering.with_position(df, "k", [F.col("v")], "n")
+    monkeypatch.setattr(storage, "TASK_ROWS", 20)
+    found = numbering.with_position(df, "k", [F.col("v")], "n")
+    assert found.rdd.getNumPartitions() == 15 and "REPARTITION_BY_NUM" in _plan(found)
+    assert sorted(found.collect(), key=str) == sorted(small.collect(), key=str)
+    assert numbering.with_position(df.filter("k > 9"), "k", [F.col("v")], "n").count() == 0
+
+
+def test_segments_move_only_what_is_drawn(spark, tmp_path):
+    """Rows that differ in other columns alone draw the same line, so those columns need not order them."""
+    rng = random.Random(3)
+    rest = {"l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "string"}
+    drawn = [
+        tuple(v if rng.random() < 0.95 else None for v in (rng.randrange(24), rng.randrange(3), rng.randrange(9), rng.randrange(9), float(rng.randrange(1, 9))))
+        for _ in range(60)
+    ]
+    rows = [(*d, *([rng.random() * 9] * 3), *(str(rng.randrange(9)) for _ in range(3))) for d in drawn for _ in range(rng.randrange(1, 4))]
+    schema = "l_orderkey bigint, l_linenumber bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+    table = spark.createDataFrame(rows, schema + ", ".join(f"{n} {t}" for n, t in rest.items()))
+    table.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = derived.segments(spark, str(tmp_path))
+    assert not [n for n in rest if n in _plan(found)]
+    every = numbering.with_position(
+        table.withColumn("plan_id", F.expr("l_orderkey div 8")), "plan_id", [F.col(n) for n in table.columns], "seq"
+    )
+    want = derived._drawn(every)
+    assert found.count() == len(rows) and sorted(found.collect(), key=str) == sorted(want.collect(), key=str)
