@@ -74,11 +74,16 @@ def segment_array(e: Column, steps: int = K.ARC_STEPS) -> Column:
         .when(e["type"] == "ARC", arc_array(e, steps))
         .otherwise(_none())
     )
-    broken = F.exists(
-        found,
-        lambda s: s["x1"].isNull() | s["y1"].isNull() | s["x2"].isNull() | s["y2"].isNull(),
-    )
-    return F.when(broken, _none()).otherwise(found)
+
+    def whole(segments: Column) -> Column:
+        broken = F.exists(
+            segments,
+            lambda s: s["x1"].isNull() | s["y1"].isNull() | s["x2"].isNull() | s["y2"].isNull(),
+        )
+        return F.when(broken, _none()).otherwise(segments)
+
+    # Bound, so that segments are made once, not again for the result.
+    return F.get(F.transform(F.array(found), whole), F.lit(0))
 
 
 def entity_struct() -> Column:

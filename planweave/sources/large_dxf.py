@@ -24,7 +24,7 @@ _FILE_BLOCKS = 16
 
 _BLOCK = "file string, start bigint, row bigint, n int, head binary, after binary, text binary"
 _TAGS = "array<struct<code:int,value:string>>"
-_FIELDS = "type:string,layer:string,xs:array<string>,ys:array<string>,radius:string,start_deg:string,end_deg:string,closed:string,paper:string"
+_FIELDS = "type:string,layer:string,xs:array<double>,ys:array<double>,xs_text:array<string>,ys_text:array<string>,radius:string,start_deg:string,end_deg:string,closed:string,paper:string"
 
 # The blocks that lines were read in.
 _read_blocks: WeakKeyDictionary[DataFrame, DataFrame] = WeakKeyDictionary()
@@ -40,11 +40,10 @@ def _blocks_of_files(most_lines: int) -> Callable[[Iterator], Iterator]:
         for batch in batches:
             for file, content in zip(*batch.columns, strict=True):
                 # What Spark's reader of lines does too: no mark of the encoding, no line behind the last line end.
-                data = content.as_buffer().to_pybytes().removeprefix(b"\xef\xbb\xbf").replace(b"\r", b"")
+                data = content.as_buffer().to_pybytes().removeprefix(b"\xef\xbb\xbf")
                 if not data:
                     continue
-                if not data.endswith(b"\n"):
-                    data += b"\n"
+                data = (data if data.endswith(b"\n") else data + b"\n").replace(b"\r", b"")
                 ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
                 rows = range(0, len(ends), most_lines)
                 # Where each block begins, and the end of the text.
@@ -259,8 +258,12 @@ def _taken_apart(chunk_lines: int) -> Callable[[Iterator], Iterator]:
 
     def number(code: bytes) -> int:
         code = code.strip(blanks)
-        digits = code[1:] if code[:1] in (b"+", b"-") else code
-        return int(code) if digits.isdigit() and -(1 << 31) <= int(code) < 1 << 31 else -1
+        sign, digits = (code[:1], code[1:]) if code[:1] in (b"+", b"-") else (b"", code)
+        small = digits.lstrip(b"0") or b"0"
+        if not digits.isdigit() or len(small) > 10:
+            return -1
+        found = int(sign + small)
+        return found if -(1 << 31) <= found < 1 << 31 else -1
 
     def parsed(batches: Iterator) -> Iterator:
         import numpy as np
@@ -300,12 +303,21 @@ def _taken_apart(chunk_lines: int) -> Callable[[Iterator], Iterator]:
             is_line = is_kind("LINE")[of]
 
             def numbers(wanted, other):
+                """Numbers where all are plain, else their texts, which Spark reads in more ways."""
                 at = np.flatnonzero(points & ((code == wanted) | ((code == other) & is_line)))
-                bounds = np.searchsorted(of[at], np.arange(n + 1)).astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(bounds), value.take(pa.array(at)))
-
-            fields = [kind, first(8), numbers(10, 11), numbers(20, 21), *(first(c) for c in (40, 50, 51, 70, 67))]
-            names = ["type", "layer", "xs", "ys", "radius", "start_deg", "end_deg", "closed", "paper"]
+                bounds = pa.array(np.searchsorted(of[at], np.arange(n + 1)).astype(np.int32))
+                texts = value.take(pa.array(at))
+                try:
+                    found = texts.cast(pa.float64())
+                except pa.ArrowInvalid:
+                    found = None
+                if found is None or not np.isfinite(found.to_numpy()).all():
+                    return pa.nulls(n, pa.list_(pa.float64())), pa.ListArray.from_arrays(bounds, texts)
+                return pa.ListArray.from_arrays(bounds, found), pa.nulls(n, pa.list_(pa.string()))
+
+            (xs, xs_text), (ys, ys_text) = numbers(10, 11), numbers(20, 21)
+            fields = [kind, first(8), xs, ys, xs_text, ys_text, *(first(c) for c in (40, 50, 51, 70, 67))]
+            names = ["type", "layer", "xs", "ys", "xs_text", "ys_text", "radius", "start_deg", "end_deg", "closed", "paper"]
             return pa.StructArray.from_arrays(fields, names)
 
         def tags(code, value):
@@ -343,9 +355,11 @@ def _taken_apart(chunk_lines: int) -> Callable[[Iterator], Iterator]:
         import pyarrow as pa
 
         tag = pa.list_(pa.struct([("code", pa.int32()), ("value", pa.string())]))
-        text, texts = pa.string(), pa.list_(pa.string())
-        fields = pa.list_(pa.struct([("type", text), ("layer", text), ("xs", texts), ("ys", texts), *(
-            (name, text) for name in ("radius", "start_deg", "end_deg", "closed", "paper"))]))
+        text, texts, numbers = pa.string(), pa.list_(pa.string()), pa.list_(pa.float64())
+        fields = pa.list_(pa.struct([
+            ("type", text), ("layer", text), ("xs", numbers), ("ys", numbers), ("xs_text", texts), ("ys_text", texts),
+            *((name, text) for name in ("radius", "start_deg", "end_deg", "closed", "paper")),
+        ]))
         for plan, low, cut, head, tail, whole in parsed(batches):
             yield pa.RecordBatch.from_arrays(
                 [plan, pa.array([low], pa.int64()), pa.array([cut]), head, pa.nulls(1, tag) if tail is None else tail,
@@ -361,7 +375,7 @@ def _entity_of_fields(r: Column) -> Column:
     is_arc = r["type"] == "ARC"
 
     def numbers(name: str) -> Column:
-        return F.transform(r[name], lambda v: v.try_cast("double"))
+        return F.coalesce(r[name], F.transform(r[f"{name}_text"], lambda v: v.try_cast("double"))).alias(name)
 
     def arc(name: str) -> Column:
         return F.when(is_arc, r[name].try_cast("double")).alias(name)
@@ -371,7 +385,7 @@ def _entity_of_fields(r: Column) -> Column:
 
     return F.struct(
         r["type"].alias("type"), F.coalesce(r["layer"], F.lit("0")).alias("layer"),
-        numbers("xs").alias("xs"), numbers("ys").alias("ys"), arc("radius"), arc("start_deg"), arc("end_deg"),
+        numbers("xs"), numbers("ys"), arc("radius"), arc("start_deg"), arc("end_deg"),
         (whole("closed").bitwiseAND(F.lit(1)) == 1).alias("closed"), (whole("paper") == 1).alias("paper"),
     )
 

@@ -1,5 +1,6 @@
 """Drawings read by line ranges against the same drawings read as whole texts."""
 
+import gzip
 import random
 
 import pytest
@@ -131,3 +132,88 @@ def test_nothing_to_read(spark, tmp_path):
     assert large_dxf.entities_of_lines(lines).collect() == [] == large_dxf.segments_of_lines(lines).collect()
     with pytest.raises(ValueError, match="even"):
         large_dxf.segments_of_lines(lines, 7)
+
+
+def _line(*ends, layer="W", code="  8"):
+    return f"  0\nLINE\n{code}\n{layer}\n" + "".join(f"{c}\n{v}\n" for c, v in zip((10, 20, 11, 21), ends, strict=True))
+
+
+def test_numbers_and_codes_are_read_as_spark_reads_them(spark, tmp_path):
+    """Plain numbers are read by whole columns, others one by one; a drawing with one odd value has both kinds."""
+    odd = ["+5", "1d", "2F", "inf", "-Infinity", "NaN", "-nan", "nan(7)", "0x1p3", "1e400", "1e-400", "\t7", "5.", ".5", "1_0", "", "-0.0", "0.1"]
+    for n, value in enumerate(odd):
+        body = "".join(_line(k / 7, k, value if k == 5 else k + 0.3, 1) for k in range(9))
+        (tmp_path / f"{n}.dxf").write_text(HEAD + body + TAIL)
+    codes = ["8", "+8", "\t8", "08", "000000000000000008", "8.0", "8x", "", "-8", "\x7f8", "4294967304", "9" * 5000]
+    (tmp_path / "codes.dxf").write_text(HEAD + "".join(_line(0, 0, n, 1, code=c, layer=f"L{n}") for n, c in enumerate(codes)) + TAIL)
+    lines = large_dxf.read_lines(spark, str(tmp_path))
+    whole = dxf.dxf_segments(dxf.read_drawings(spark, str(tmp_path)))
+    found = [str(r) for r in _sorted(large_dxf.segments_of_lines(lines), "seq")]
+    assert found == [str(r) for r in _sorted(whole, "seq")] and len(found) > 9 * len(odd)
+
+
+def test_files_are_read_alike_whole_and_in_ranges(spark, tmp_path):
+    texts = {
+        "mark.txt": b"\xef\xbb\xbf  0\r\nA\r\n", "open.txt": b"x\n\n y ", "blank.txt": b"\n", "empty.txt": b"",
+        "bytes.txt": b"caf\xe9\n\xff\n" * 300, "carriage.txt": b"\r", "many.txt": b"".join(b"%d\n" % n for n in range(2000)),
+    }
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "packed.txt.gz").write_bytes(gzip.compress(b"p\nq\n"))
+    want = {n: [] if not d.removeprefix(b"\xef\xbb\xbf") else d.removeprefix(b"\xef\xbb\xbf").removesuffix(b"\n").split(b"\n") for n, d in texts.items()}
+    want = [line.replace(b"\r", b"") for n in sorted([*want, "packed.txt.gz"]) for line in want.get(n, [b"p", b"q"])]
+    for read in (large_dxf.read_lines, _lines_in_small_ranges):
+        found = read(spark, str(tmp_path), folders=True)
+        rows = found.select("line_no", F.col("line").cast("binary").alias("b")).orderBy("line_no").collect()
+        assert [r.line_no for r in rows] == list(range(len(rows)))
+        got = [bytes(r.b) for r in rows]
+        assert len(got) == len(want) and got == want
+
+
+def test_lines_of_any_table_are_gathered(spark, lines):
+    moved = lines.repartition(5, "line")
+    assert large_dxf._read_blocks.get(moved) is None
+    for chunk_lines in (2, 50):
+        found = _sorted(large_dxf.segments_of_lines(moved, chunk_lines), "seq")
+        assert found == _sorted(large_dxf.segments_of_lines(lines), "seq")
+
+
+def test_blocks_are_taken_apart_where_they_lie(spark, tmp_path, monkeypatch):
+    """No step moves or sorts lines or records, only one narrow row per block and the records at borders."""
+    (tmp_path / "a.dxf").write_text(HEAD + "".join(_line(n, 0, n, 1) for n in range(400)) + TAIL)
+    plans, store = [], large_dxf.materialize
+
+    def told(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, *args)
+
+    monkeypatch.setattr(large_dxf, "materialize", told)
+    found = large_dxf.segments_of_lines(large_dxf.read_lines(spark, str(tmp_path)), 100)
+    assert found.count() == 400
+    apart = [p for p in plans if "MapInArrow" in p]
+    assert len(apart) == 2  # what is read, and what is made of it
+    assert not [p for p in apart if "Sort" in p or "Exchange hashpartitioning" in p or "Exchange rangepartitioning" in p]
+
+
+def test_a_record_is_made_when_its_row_has_come_to_its_place(spark, tmp_path):
+    segments = spark.range(300).select(
+        F.col("id").alias("seq"), F.lit("WALL").alias("layer"),
+        *(F.expr(e).cast("double").alias(c) for c, e in (("x1", "id"), ("y1", "0"), ("x2", "id + 1"), ("y2", "-id"))),
+    )
+    record = dxf.line_record(F.col("layer"))
+    texts = []
+    for name, table, text in (("a", segments.withColumn("record", record), "record"), ("b", segments, record)):
+        large_dxf.write_lines(table.repartition(3), str(tmp_path / name), *dxf.drawing_frame(), text, "seq")
+        texts.append("".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*"))))
+    assert texts[0] == texts[1] and texts[0].count("LINE") == 300
+    assert texts[0].startswith(dxf.drawing_frame()[0]) and texts[0].endswith(dxf.drawing_frame()[1])
+
+
+def test_number_texts(spark):
+    rng = random.Random(9)
+    values = [None, 0.0, -0.0, float("nan"), float("inf"), 1e-6, -1e-6, -5e-7, 9.999999e-7, 1e9, -1e9, 1e300, 999999999.9999995]
+    values += [rng.choice([-1, 1]) * rng.random() * 10 ** rng.randrange(-8, 12) for _ in range(500)]
+    values += [(rng.randrange(10**9) + 0.5) / 1e6 for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "x1 double")
+    both = df.select(dxf._number("x1").alias("a"), F.format_string("%.6f", F.col("x1") + 0.0).alias("b")).collect()
+    assert [r.a for r in both] == [r.b for r in both]
