@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from planweave.operators.entities import segment_array
 from planweave.operators.running import running_total
-from planweave.sources.dxf import decoded_path, drawing_name_filter, entity_of_tags
+from planweave.sources.dxf import _reader_limit, decoded_path, drawing_name_filter, entity_of_tags
 from planweave.storage import TASK_ROWS, materialize
 
 # Lines of a block, which is one row and is taken apart in memory. Even, so that a code line and its value line stand together.
@@ -120,7 +120,7 @@ def read_lines(spark: SparkSession, path: str | list[str], folders: bool = False
     if not folders:
         lines, files = (r.option("pathGlobFilter", drawing_name_filter()) for r in (lines, files))
     file, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
-    most = min(_WHOLE_BYTES, _range_bytes(spark))
+    most = min(_WHOLE_BYTES, _range_bytes(spark), _reader_limit(spark))
     # Compressed parts are read by lines, which unpacks them.
     packed = file.rlike(r"\.(deflate|gz|bz2|zst|lz4|snappy)$")
     whole = files.load(path).filter((F.col("length") <= F.lit(most)) & ~packed).select(file.alias("file"), "content")

@@ -170,6 +170,18 @@ def test_files_are_read_alike_whole_and_in_ranges(spark, tmp_path):
         assert len(got) == len(want) and got == want
 
 
+def test_files_above_the_limit_of_the_reader_are_read_by_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("abc\n" * 50)
+    (tmp_path / "b.txt").write_text("d\n")
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "20")
+    try:
+        lines = large_dxf.read_lines(spark, str(tmp_path), folders=True)
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+    assert [r.line for r in lines.orderBy("line_no").collect()] == ["abc"] * 50 + ["d"]
+
+
 def test_lines_of_any_table_are_gathered(spark, lines):
     moved = lines.repartition(5, "line")
     assert large_dxf._read_blocks.get(moved) is None
